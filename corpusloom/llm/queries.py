@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import op1_tokens
+from . import op1_tokens, op2_secrets, op3_mixing
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
+    "op2_secret_scan": op2_secrets.op2_secret_scan,
+    "op3_poisson_mixing": op3_mixing.op3_poisson_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_secret_scan": op2_secrets.SQL,
+    "op3_poisson_mixing": op3_mixing.SQL,
+}
