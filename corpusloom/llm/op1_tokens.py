@@ -21,6 +21,7 @@ no files and no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -42,61 +43,87 @@ MAGIC = b"LHUF0001"
 MAX_BITS, BLOCK, STEP = 20, 65_536, 512
 #: Blocks that are decoded at once.
 LANES = 32
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and pieces of words, whose ids a worker remembers.
+REMEMBERED, REMEMBERED_PARTS = 400_000, 500_000
 SEPARATOR = "\x01"
+#: Letters that are composed and lower-cased one by one, then marks, which are one piece together at a word's end.
+_PIECES = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
     Such a tokenizer gives a text the ids of its words one after another, so each
-    distinct word is encoded once and remembered.
+    distinct word is encoded once and remembered.  A word of letters with marks
+    at its end is encoded as these two pieces, as the tokenizer's own pattern
+    cuts there; pieces need no normalizing, and many words share them.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        mark = self._ids([SEPARATOR])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = [w for w in words if SEPARATOR not in w] if self.mark is not None else []
-        for w in [w for w in words if SEPARATOR in w] if plain else words:
-            self.known[w] = np.asarray(self._ids([w])[0], "<u4").tobytes()
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.asarray(self._ids([f" {SEPARATOR} ".join(part)])[0], "<u4")
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        marks = self.pieces.encode(SEPARATOR).ids
+        if len(marks) != 1:
+            raise ValueError("the separator isn't a single id")
+        self.mark = marks[0]
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        if len(self.parts) + len(parts) > REMEMBERED_PARTS:
+            self.parts = {"": b""}
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.asarray(self.pieces.encode_batch_fast([f" {SEPARATOR} ".join(some)])[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part) - 1:
+            if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer joins words across white space")
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(part, [*ends.tolist(), len(ids)], strict=True):
-                self.known[w] = raw[4 * begin : 4 * end]
+            raw, begin, wide = ids.tobytes(), 0, ids.itemsize
+            for x, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
+                self.parts[x] = raw[wide * begin : wide * end]
                 begin = end + 1
 
+    def _learn(self, words: set[str]) -> None:
+        cut: list[tuple[str, str, str]] = []
+        odd: list[str] = []
+        for w in words:
+            if m := _PIECES(w.lower()):
+                cut.append((w, m[1], m[2]))
+            else:
+                odd.append(w)
+        new = {x for _, *two in cut for x in two}.difference(self.parts)
+        if len(self.parts) + len(new) > REMEMBERED_PARTS:
+            new = {x for _, *two in cut for x in two if x}
+        self._encode_parts(list(new))
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, a, b in cut)
+        for at in range(0, len(odd), 512):
+            some = odd[at : at + 512]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words[w] = np.asarray(e.ids, self.kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian ids of each text, of the width that kind says."""
         words = [_WORDS.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*words).difference(self.known)
+        held = set().union(*words)
+        new = held.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = held
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = set().union(*words)
-            self._learn(list(new))
-        get = self.known.__getitem__
+            gc.disable()  # nothing here has cycles, and what is remembered is much to look through
+            self._learn(new)
+            gc.enable()
+        get = self.words.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
@@ -111,8 +138,8 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def encode_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, ids): ids as little-endian 32-bit integers with end_id appended."""
-    end = struct.pack("<I", end_id)
+    """Rows (doc_id, ids): ids with end_id appended, little-endian, of the width of the tokenizer's kind."""
+    end = np.asarray([end_id], word_encoder(tokenizer).kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -123,13 +150,13 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     return _shared.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(encoded: DataFrame, size: int) -> np.ndarray:
+def count_ids(encoded: DataFrame, size: int, kind: str) -> np.ndarray:
     """How often each id below size occurs; what reaches the driver is one row per id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -317,9 +344,9 @@ class FileReader:
         self.file.close()
 
 
-def write_files(encoded: DataFrame, size: int, folder: str, parts: int) -> dict:
+def write_files(encoded: DataFrame, size: int, kind: str, folder: str, parts: int) -> dict:
     """Write rows (doc_id, ids) in ascending doc_id order; returns the manifest, which is written last."""
-    lengths = code_lengths(count_ids(encoded, size))
+    lengths = code_lengths(count_ids(encoded, size, kind))
     codes = canonical_codes(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +355,9 @@ def write_files(encoded: DataFrame, size: int, folder: str, parts: int) -> dict:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if writer is None:
                     writer = FileWriter(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.lhuf", codes, lengths)
-                writer.add(doc_id, np.frombuffer(raw, "<u4"))
-                total += len(raw) // 4
+                ids = np.frombuffer(raw, kind)
+                writer.add(doc_id, ids)
+                total += len(ids)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": writer.uri, "docs": len(writer.doc_ids), "tokens": total}])
@@ -391,7 +419,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     spark = docs.sparkSession
     folder = folder or _shared.work_dir(spark, "token-files")
     encoded = _shared.materialize(encode_table(docs, tokenizer, end_id, id_col, text_col), "token-ids")
-    write_files(encoded, max(word_encoder(tokenizer).size, end_id + 1), folder, _shared.shuffle_partitions(spark))
+    write_files(encoded, max(word_encoder(tokenizer).size, end_id + 1), word_encoder(tokenizer).kind, folder, _shared.shuffle_partitions(spark))
     return read_files(spark, folder)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_tokens, op2_secrets, op3_mixing, op7_simhash
+from . import op1_tokens, op2_secrets, op3_mixing, op4_quality, op7_simhash
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
     "op2_secret_scan": op2_secrets.op2_secret_scan,
     "op3_poisson_mixing": op3_mixing.op3_poisson_mixing,
+    "op4_quality_rules": op4_quality.op4_quality_rules,
     "op7_simhash_near_dedup": op7_simhash.op7_simhash_near_dedup,
 }
 
