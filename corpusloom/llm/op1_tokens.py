@@ -71,7 +71,7 @@ class WordEncoder:
         self.pieces = Tokenizer(self.tokenizer.model)
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size()
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.kind = "<u4"
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
         marks = self.pieces.encode(SEPARATOR).ids
