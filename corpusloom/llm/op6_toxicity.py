@@ -33,8 +33,9 @@ from . import _shared
 
 SAMPLE, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 4, 0.7, 3, 1
 WINDOW, STRIDE, LONG = 32, 24, 64
-BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 13, 16, 12, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE = 10, 128, 4e-3
+BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
+#: UNHEARD: the share of words that a batch shows by their n-grams alone.
+EPOCHS, BATCH, RATE, UNHEARD = 7, 128, 4e-3, 0.5
 #: Windows that are scored at once.
 LANES = 2048
 _MARKS = b".,;:!?\"'()[]{}"
@@ -85,12 +86,12 @@ class Words:
             self.word, self.grams, self.counts = _hashes(list(index))
             self.starts = np.cumsum(self.counts) - self.counts
 
-    def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        """The input vector of each word, after a row of zeros."""
+    def inputs(self, p: dict[str, np.ndarray], whole: np.ndarray | float = 1.0) -> np.ndarray:
+        """The input vector of each word, after a row of zeros; whole: what the embedding of each whole word counts."""
         out = np.zeros((self.n + 1, WIDTH), np.float32)
         if self.n:
             sums = np.add.reduceat(p["grams"][self.grams], self.starts, axis=0)
-            out[1:] = p["words"][self.word] + sums / self.counts[:, None]
+            out[1:] = p["words"][self.word] * whole + sums / self.counts[:, None]
         return out
 
 
@@ -110,6 +111,16 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(owner)
 
 
+def _added(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values, summed by their place among n."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.diff(sorted_at, prepend=-1))
+    out[sorted_at[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -159,9 +170,9 @@ def forward(p: dict[str, np.ndarray], inputs: np.ndarray, rows: np.ndarray, keep
     return _sigmoid(pooled @ p["o"] + p["c"])
 
 
-def gradients(p: dict[str, np.ndarray], words: Words, rows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(p: dict[str, np.ndarray], words: Words, rows: np.ndarray, labels: np.ndarray, whole: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
     """Of the mean cross entropy."""
-    inputs, s, k = words.inputs(p), {}, HIDDEN
+    inputs, s, k = words.inputs(p, whole), {}, HIDDEN
     error = ((forward(p, inputs, rows, s) - labels) / len(rows)).astype(np.float32)
     g = {"o": s["pooled"].T @ error, "c": error.sum(keepdims=True)}
     d_pooled = error[:, None] * p["o"]
@@ -174,7 +185,7 @@ def gradients(p: dict[str, np.ndarray], words: Words, rows: np.ndarray, labels:
     d_h += d_hidden @ p["A"].T
     d_inputs = np.zeros_like(inputs)
     for i, d in enumerate("fb"):
-        d_gates, d_u = np.zeros((len(inputs), 3 * k), np.float32), np.zeros_like(p[f"{d}U"])
+        steps, d_u = np.empty((WINDOW, len(rows), 3 * k), np.float32), np.zeros_like(p[f"{d}U"])
         ahead = np.zeros((len(rows), k), np.float32)
         for t, real, h, z, r, n, hn in reversed(s[d]):
             total = d_h[t, :, i * k : (i + 1) * k] + ahead
@@ -183,14 +194,14 @@ def gradients(p: dict[str, np.ndarray], words: Words, rows: np.ndarray, labels:
             d_z = here * (h - n) * z * (1 - z)
             d_r = d_n * hn * r * (1 - r)
             d_hu = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            np.add.at(d_gates, rows[:, t], np.concatenate([d_z, d_r, d_n], axis=1))
+            steps[t] = np.concatenate([d_z, d_r, d_n], axis=1)
             d_u += h.T @ d_hu
             ahead = here * z + d_hu @ p[f"{d}U"].T + np.where(real, 0, total)
+        d_gates = _added(rows.T.reshape(-1), steps.reshape(-1, 3 * k), len(inputs))
         g |= {f"{d}U": d_u, f"{d}W": inputs.T @ d_gates, f"{d}b": d_gates.sum(axis=0)}
         d_inputs += d_gates @ p[f"{d}W"].T
-    g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-    np.add.at(g["words"], words.word, d_inputs[1:])
-    np.add.at(g["grams"], words.grams, np.repeat(d_inputs[1:] / words.counts[:, None], words.counts, axis=0))
+    g["words"] = _added(words.word, d_inputs[1:] * whole, len(p["words"]))
+    g["grams"] = _added(words.grams, np.repeat(d_inputs[1:] / words.counts[:, None], words.counts, axis=0), len(p["grams"]))
     return g
 
 
@@ -231,7 +242,8 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[st
             used = used[used > 0]
             part = Words([[named[j - 1] for j in used]])
             small = local.reshape(some.shape) + (0 if (some == 0).any() else 1)
-            g = gradients(p, part, small, labels[owner[picked[at : at + BATCH]]].astype(np.float32))
+            heard = (dice.random((part.n, 1)) >= UNHEARD).astype(np.float32) / (1 - UNHEARD)
+            g = gradients(p, part, small, labels[owner[picked[at : at + BATCH]]].astype(np.float32), heard)
             step += 1
             rate = RATE * min(1.0, 2 * (1 - step * BATCH / (EPOCHS * max(BATCH, len(picked)))) + 0.05) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, x in g.items():
