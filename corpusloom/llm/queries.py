@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_tokens, op2_secrets, op3_mixing, op4_quality, op6_toxicity, op7_simhash
+from . import op1_tokens, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
     "op2_secret_scan": op2_secrets.op2_secret_scan,
     "op3_poisson_mixing": op3_mixing.op3_poisson_mixing,
     "op4_quality_rules": op4_quality.op4_quality_rules,
+    "op5_byte_bpe": op5_bpe.op5_byte_bpe,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op7_simhash_near_dedup": op7_simhash.op7_simhash_near_dedup,
 }
