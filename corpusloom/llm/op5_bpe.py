@@ -31,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared
 
-#: Units of text whose ids a worker remembers, and pairs of tokens.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_000_000
+#: Units of text, matches of the pattern and pairs of tokens that a worker remembers.
+REMEMBERED, REMEMBERED_MATCHES, REMEMBERED_PAIRS = 300_000, 400_000, 1_000_000
 #: White space as the pattern's \\s has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that the pattern never matches across: it cuts before a space that precedes a visible character, and after other white space.
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: Letters, then marks: two matches of the pattern.
+_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
+
 
 class Vocabulary:
     """Tokens by rank, and how each is made of two others."""
@@ -49,10 +52,15 @@ class Vocabulary:
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        self.longest = max(map(len, self.ranks))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            lengths.setdefault(token[-3:], set()).add(len(token))
+        #: By the last bytes of a prefix: how long the tokens are that can end there, the longest first.
+        self.lengths = {end: tuple(sorted(x | {n for k in (1, 2) if end[-k:] in self.ranks for n in (k,)}, reverse=True)) for end, x in lengths.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.joins: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {"": b""}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one last; None for a single byte."""
@@ -111,11 +119,14 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         v, last = self.vocabulary, self.last
         self.data += more
-        data, ranks, may_follow = self.data, v.ranks, v.may_follow
+        data, ranks, lengths = self.data, v.ranks, v.lengths
         for end in range(len(last), len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and (not begin or may_follow(last[begin], token)):
+            for n in lengths.get(data[max(0, end - 3) : end]) or lengths.get(data[max(0, end - 2) : end]) or (1,):
+                begin = end - n
+                token = ranks.get(data[begin:end]) if begin >= 0 else None
+                if token is None:
+                    continue
+                if not begin or v.may_follow(last[begin], token):
                     last.append(token)
                     break
             else:
@@ -150,26 +161,28 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _vocabularies[path, pattern]
 
 
-def encode_matches(v: Vocabulary, matches: list[bytes]) -> list[list[int]]:
-    """Encodings of distinct byte strings; in sorted order, what one shares with the next is kept."""
-    out: list[list[int]] = [[]] * len(matches)
+def encode_sorted(v: Vocabulary, matches: list[bytes]) -> Iterator[list[int]]:
+    """Encodings of sorted byte strings; the states of what one shares with the next are kept."""
     prefixes = Prefixes(v)
-    for i in sorted(range(len(matches)), key=matches.__getitem__):
-        new, old = matches[i], prefixes.data
+    for new in matches:
+        old = prefixes.data
         n = min(len(new), len(old))
         if new[:n] != old[:n]:
             n = next(k for k in range(n) if new[k] != old[k])
         prefixes.cut(n)
         prefixes.append(new[n:])
-        out[i] = prefixes.ids()
-    return out
+        yield prefixes.ids()
 
 
 def _learn(v: Vocabulary, units: set[str]) -> None:
-    cut = [(u, [m.encode() for m in v.pattern.findall(u)]) for u in units]
-    distinct = list({m for _, ms in cut for m in ms})
-    packed = {m: np.asarray(ids, "<u4").tobytes() for m, ids in zip(distinct, encode_matches(v, distinct), strict=True)}
-    v.known.update((u, b"".join(map(packed.__getitem__, ms))) for u, ms in cut)
+    cut = [(u, m.groups() if (m := _SIMPLE(u)) else v.pattern.findall(u)) for u in units]
+    every = {m for _, ms in cut for m in ms}
+    new = every.difference(v.matches)
+    if len(v.matches) + len(new) > REMEMBERED_MATCHES:
+        v.matches, new = {"": b""}, every - {""}
+    order = sorted(m.encode() for m in new)
+    v.matches.update((m.decode(), np.asarray(ids, "<u4").tobytes()) for m, ids in zip(order, encode_sorted(v, order), strict=True))
+    v.known.update((u, b"".join(map(v.matches.__getitem__, ms))) for u, ms in cut)
 
 
 def encode(v: Vocabulary, texts: list[str]) -> list[bytes]:
