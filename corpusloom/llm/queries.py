@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_tokens, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
+from . import op1_tokens, op10_neighbours, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash.op7_simhash_near_dedup,
     "op8_token_counts": op8_counts.op8_token_counts,
     "op9_warc": op9_warc.op9_warc,
+    "op10_nearest_neighbours": op10_neighbours.op10_nearest_neighbours,
 }
 
 SQL = {
