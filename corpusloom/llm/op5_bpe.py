@@ -221,11 +221,11 @@ def coded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_c
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                    columns.append(pa.array([np.frombuffer(x, "<u4").view("<i4") for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _shared.texts_of(docs, id_col, text_col).mapInArrow(run, schema)
 
 

@@ -58,16 +58,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_hash: Column | None = None) -> DataFrame:
+    """Rows (doc_id, row_hash, fp); row_hash is null unless an expression for it is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _shared.slices(whole):
                 found = [fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], ["doc_id", "row_hash", "fp"])
 
-    return _shared.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
+    row = F.lit(None).cast("long") if row_hash is None else row_hash
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text, row.alias("row_hash")).mapInArrow(run, "doc_id long, row_hash long, fp long")
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -123,17 +125,40 @@ def components(pairs: DataFrame) -> DataFrame:
     return _follow(_shared.materialize(pointers, "pointers"), "pointers")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """A row for each document: doc_id, fingerprint, component_id (the smallest doc_id that links reach)."""
-    printed = _shared.materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _rooted(printed: DataFrame, most: int) -> DataFrame:
+    """Rows (fp, least, root): distinct fingerprints, their smallest doc_id and the smallest fingerprint that links reach."""
     least = _shared.materialize(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_pairs(least, most))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """A row for each document: doc_id, fingerprint, component_id (the smallest doc_id that links reach)."""
+    printed = _shared.materialize(fingerprints(docs, id_col, text_col, shingle).drop("row_hash"), "fingerprints")
+    rooted = _rooted(printed, most)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written first, so that both sides of the last join are plain exchanges, whose large partitions Spark splits.
     classes = _shared.materialize(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return printed.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """The documents without near-duplicates: of each component the row of the smallest id stays, null ids last, with all its columns.
+
+    Of rows with that id the one of the smallest hash stays, and of equal rows one.
+    """
+    row_hash = F.xxhash64(*(docs[c] for c in docs.columns))
+    printed = _shared.materialize(fingerprints(docs, id_col, text_col, shingle, row_hash), "fingerprints")
+    classes = _shared.materialize(_rooted(printed, most).select("fp", "root"), "classes")
+    first = printed.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("kept"))
+    repeats = printed.groupBy("doc_id", "row_hash").agg(F.count("*").alias("n"))
+    kept = first.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.row_hash").alias("kept_hash"))
+    kept = kept.join(repeats, kept["doc_id"].eqNullSafe(repeats["doc_id"]) & (F.col("kept_hash") == F.col("row_hash"))).select("kept_hash", kept["doc_id"].alias("kept_id"), "n")
+    kept = _shared.materialize(kept, "kept")
+    joined = docs.withColumn("kept_hash_", row_hash).join(kept, (F.col("kept_hash_") == F.col("kept_hash")) & docs[id_col].cast("long").eqNullSafe(F.col("kept_id")))
+    once = joined.where("n = 1").select(*(docs[c] for c in docs.columns))
+    return once.unionByName(joined.where("n > 1").select(*(docs[c] for c in docs.columns)).distinct())
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_shared.read_table(spark, sf_dir, "documents"))
