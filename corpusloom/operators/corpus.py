@@ -74,12 +74,12 @@ def dispositions(docs: DataFrame, passes: Column, index: DataFrame, min_chars: i
 
     A later copy of a contaminated document is a duplicate.
     """
-    cleaned = docs.select("row_id", "source", passes.alias("passes"), X.nonblank(F.col("text")).alias("raw")).withColumn("text", X.clean(F.col("raw"), normalize))
+    cleaned = docs.select("row_id", "source", passes.alias("passes"), X.nonblank(F.col("text")).alias("raw"), F.lit(min_chars).alias("least_chars")).withColumn("text", X.clean(F.col("raw"), normalize))
     early = (
         F.when(~F.col("passes"), "filtered")
         .when(F.col("raw").isNull(), "missing")
         .when(F.col("text") == "", "empty")
-        .when(F.length("text") < F.lit(min_chars), "short")
+        .when(F.length("text") < F.col("least_chars"), "short")
     )
     staged = cleaned.withColumn("early", early)
     survivors = staged.where("early IS NULL")
