@@ -34,8 +34,8 @@ from . import _shared
 SAMPLE, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 4, 0.7, 3, 1
 WINDOW, STRIDE, LONG = 32, 24, 64
 BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
-#: UNHEARD: the share of words that a batch shows by their n-grams alone.
-EPOCHS, BATCH, RATE, UNHEARD = 7, 128, 4e-3, 0.5
+#: Passes over the sample, more of them where these are fewer than STEPS steps.  UNHEARD: the share of words that a batch shows by their n-grams alone.
+EPOCHS, STEPS, BATCH, RATE, UNHEARD = 7, 240, 128, 4e-3, 0.5
 #: Windows that are scored at once.
 LANES = 2048
 _MARKS = b".,;:!?\"'()[]{}"
@@ -224,7 +224,9 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[st
     rows, owner = windows(words.ids)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     named = list(dict.fromkeys(w for t in texts for w in t))
-    for epoch in range(EPOCHS):
+    clean = int((labels == 0).sum())
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(texts) + clean)))
+    for epoch in range(epochs):
         inputs = words.inputs(p)
         scored = np.concatenate([forward(p, inputs, rows[i : i + LANES]) for i in range(0, len(rows), LANES)])
         picked = []
@@ -245,7 +247,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[st
             heard = (dice.random((part.n, 1)) >= UNHEARD).astype(np.float32) / (1 - UNHEARD)
             g = gradients(p, part, small, labels[owner[picked[at : at + BATCH]]].astype(np.float32), heard)
             step += 1
-            rate = RATE * min(1.0, 2 * (1 - step * BATCH / (EPOCHS * max(BATCH, len(picked)))) + 0.05) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = RATE * min(1.0, 2 * (1 - step * BATCH / (epochs * max(BATCH, len(picked)))) + 0.05) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, x in g.items():
                 m[name] += 0.1 * (x - m[name])
                 v[name] += 0.001 * (x * x - v[name])
