@@ -36,8 +36,8 @@ WINDOW, STRIDE, LONG = 32, 24, 64
 BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
 #: Passes over the sample, more of them where these are fewer than STEPS steps.  UNHEARD: the share of words that a batch shows by their n-grams alone.
 EPOCHS, STEPS, BATCH, RATE, UNHEARD = 7, 240, 128, 4e-3, 0.5
-#: Windows that are scored at once.
-LANES = 2048
+#: Windows that are scored at once, and words whose inputs are made at once.
+LANES, AT_ONCE = 2048, 16_384
 _MARKS = b".,;:!?\"'()[]{}"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,9 +89,12 @@ class Words:
     def inputs(self, p: dict[str, np.ndarray], whole: np.ndarray | float = 1.0) -> np.ndarray:
         """The input vector of each word, after a row of zeros; whole: what the embedding of each whole word counts."""
         out = np.zeros((self.n + 1, WIDTH), np.float32)
-        if self.n:
-            sums = np.add.reduceat(p["grams"][self.grams], self.starts, axis=0)
-            out[1:] = p["words"][self.word] * whole + sums / self.counts[:, None]
+        whole = np.broadcast_to(np.asarray(whole, np.float32), (self.n, 1))
+        for a in range(0, self.n, AT_ONCE):
+            b = min(a + AT_ONCE, self.n)
+            low, high = self.starts[a], self.starts[b - 1] + self.counts[b - 1]
+            sums = np.add.reduceat(p["grams"][self.grams[low:high]], self.starts[a:b] - low, axis=0)
+            out[1 + a : 1 + b] = p["words"][self.word[a:b]] * whole[a:b] + sums / self.counts[a:b, None]
         return out
 
 
