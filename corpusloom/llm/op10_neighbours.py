@@ -10,8 +10,10 @@ the true one is chi-square distributed; the search stops when a vector nearer
 than the k-th found would lie beyond the next leaf with a probability below
 1 - ``CONFIDENCE``.
 
-Shards and blocks of queries are files in the shared folder, and each pair of
-them is a piece of work of its own, of bounded size.  Equal vectors of a shard
+Shards and blocks of queries are files in the shared folder.  A task takes one
+block of queries through every ``TASKS``-th shard, one shard after another, and
+carries the k best found along, so later shards stop sooner and what a query
+gives rise to doesn't grow with the number of shards.  Equal vectors of a shard
 are one entry with its k + 1 smallest ids, since ties go to smaller ids.
 
 Defined results: vectors that are null, empty or zero, or hold null or
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from . import _shared
 
 DIMENSIONS, LEAF, CONFIDENCE, SEED = 8, 32, 0.97, 5
-#: Vectors of a shard and queries of a block, about.
-SHARD, QUERIES = 16_384, 16_384
+#: Vectors of a shard and queries of a block, about, and tasks that share the shards for a block.
+SHARD, QUERIES, TASKS = 4_096, 16_384, 8
 #: Leaves that a search verifies between tests.
 AT_ONCE = 4
 
@@ -89,8 +91,9 @@ class Shard:
         self.group_ids, self.group_of = ids[kept], group[kept]
         self.starts = np.searchsorted(self.group_of, np.arange(len(x) + 1))
 
-    def search(self, query_id: int, q: np.ndarray, k: int, ratio: float) -> list[tuple[float, int]]:
-        """The k best (score, id) found, but for the query's own id."""
+    def search(self, query_id: int, q: np.ndarray, k: int, ratio: float, before: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """The k best (score, id) found here and before, but for the query's own id."""
+        floor = before[-1][0] if len(before) >= k else None
         p = q @ self.g
         gap = np.maximum(0, np.maximum(self.low - p, p - self.high))
         reach = (gap * gap).sum(axis=1)
@@ -98,10 +101,9 @@ class Shard:
         length = self.norm2 + float(q @ q)
         best, at = np.empty(0), np.empty(0, np.int64)
         for i in range(0, len(order), AT_ONCE):
-            if len(best) > k:
-                worst = max(length - 2 * best.min(), 1e-12)
-                if reach[order[i]] >= ratio * worst:
-                    break
+            last = max([x for x in (float(best.min()) if len(best) > k else None, floor) if x is not None], default=None)
+            if last is not None and reach[order[i]] >= ratio * max(length - 2 * last, 1e-12):
+                break
             some = np.concatenate([self.leaves[j] for j in order[i : i + AT_ONCE]])
             at = np.concatenate([at, some])
             best = np.concatenate([best, self.vectors[some] @ q])
@@ -112,6 +114,7 @@ class Shard:
                 best, at = best[inside], at[inside]
         exact = (self.vectors[at] * q).sum(axis=1)
         found = [(-float(s), int(x)) for s, j in zip(exact, at, strict=True) for x in self.group_ids[self.starts[j] : self.starts[j + 1]] if x != query_id]
+        found += [(-s, x) for s, x in before]
         return [(-s, x) for s, x in sorted(found)[:k]]
 
 
@@ -137,26 +140,17 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _files(rows: DataFrame, folder: str, n: int) -> list[tuple[str, int]]:
-    """Write (vec_id, vector, size) as files of about n-th parts, each of one vector length; their paths and lengths."""
+    """Write (vec_id, vector, size) as n files of about equal size for each vector length; their paths and lengths."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            sizes = np.asarray(b.column(2))
-            flat, ids = np.asarray(b.column(1).flatten()), np.asarray(b.column(0))
-            starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                mine = held.setdefault(int(size), ([], []))
-                mine[0].append(ids[at])
-                mine[1].append(flat[starts[at][:, None] + np.arange(size)])
-        for size, (ids, vectors) in held.items():
-            uri = f"{folder}/{uuid.uuid4().hex}.npz"
-            _save(uri, np.concatenate(ids), np.concatenate(vectors))
-            yield pa.RecordBatch.from_pylist([{"path": uri, "size": size}])
-
-    dealt = rows.select("vec_id", "vector", "size").repartition(n, "vec_id")
-    return [(r.path, r["size"]) for r in dealt.mapInArrow(run, "path string, size long").collect()]
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        size, ids = group["size"][0].as_py(), np.asarray(group["vec_id"])
+        uri = f"{folder}/{uuid.uuid4().hex}.npz"
+        _save(uri, ids, np.asarray(group["vector"].chunk(0).flatten()).reshape(-1, size))
+        return pa.table({"path": [uri], "size": pa.array([size], pa.int64())})
+
+    dealt = rows.select("vec_id", "vector", F.col("size").cast("long").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"))
+    return [(r.path, r["size"]) for r in dealt.groupBy("size", "part").applyInArrow(run, "path string, size long").collect()]
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 20, confidence: float = CONFIDENCE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -178,18 +172,23 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, confidence: float = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for work in b.to_pylist():
-                shard = Shard(*_load(work["shard"]), norm2, k + 1)
                 ids, queries = _load(work["block"])
+                best: list[list[tuple[float, int]]] = [[] for _ in ids]
+                for path in work["shards"]:
+                    shard = Shard(*_load(path), norm2, k + 1)
+                    for i, (query_id, q) in enumerate(zip(ids.tolist(), queries, strict=True)):
+                        best[i] = shard.search(query_id, q, k, ratio, best[i])
                 for at in range(0, len(ids), 1024):
-                    found = [(int(i), x, s) for i, q in zip(ids[at : at + 1024], queries[at : at + 1024], strict=True) for s, x in shard.search(int(i), q, k, ratio)]
+                    found = [(i, x, s) for i, each in zip(ids[at : at + 1024].tolist(), best[at : at + 1024], strict=True) for s, x in each]
                     columns = list(zip(*found, strict=True)) or [(), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    # Blocks against shards: a row for each pair of files of one vector length.
-    left = spark.createDataFrame(shards, "shard string, size long")
-    right = spark.createDataFrame(blocks, "block string, size long")
-    pairs = _shared.spread(left.join(F.broadcast(right), "size").select("shard", "block"), len(shards) * len(blocks))
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    work = []
+    for block, size in blocks:
+        mine = sorted(path for path, n in shards if n == size)
+        work += [(block, mine[i::TASKS]) for i in range(min(TASKS, len(mine)))]
+    tasks = _shared.spread(spark.createDataFrame(work, "block string, shards array<string>"), len(work))
+    found = tasks.mapInArrow(run, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
