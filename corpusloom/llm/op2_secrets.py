@@ -7,9 +7,9 @@ lists are intersected and united by document as the queries say, which leaves
 candidates; the pattern then runs over the whole texts of these alone.  A rule
 without mandatory trigrams runs over every text.
 
-Documents are dealt out by a hash once; the index is built, intersected and
-joined back under that partitioning, so texts move a single time.  The hash is
-of doc_id and text: should two rows share it, both get the trigrams of both,
+Postings carry a hash of doc_id and text instead of the text, so building and
+intersecting the index moves little; each text moves once, when candidates are
+joined back to it.  Should two rows share a hash, both get the trigrams of both,
 which only adds candidates.
 
 Defined results: a null text is empty and has no secrets; null or repeated
@@ -201,7 +201,7 @@ def rule_spans(text: Column, rule: Rule, no: int) -> Column:
 
 
 def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds spans, an array of structs (start, kind_no, end) in order, to rows with row_key and text, dealt out by row_key."""
+    """Adds spans, an array of structs (start, kind_no, end) in order, to rows with row_key and text."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     if queries:
         trigrams = sorted(set().union(*(q.trigrams() for q in queries.values())))
@@ -220,7 +220,7 @@ def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, the number of spans of each kind (n_<kind>), spans as kind:start:end, and their SHA-256."""
     rows = _shared.texts_of(docs, id_col, text_col).withColumn("row_key", row_key())
-    found = with_spans(rows.repartition("row_key"), rules)
+    found = with_spans(rows, rules)
     names = F.array(*(F.lit(r.kind) for r in rules))
     spelled = F.transform("spans", lambda s: F.concat_ws(":", names[s["kind_no"]], s["start"].cast("string"), s["end"].cast("string")))
     kind_nos = F.transform("spans", lambda s: s["kind_no"])
@@ -238,7 +238,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(docs[c] for c in others)).alias("others"),
     ).withColumn("row_key", row_key())
-    done = with_spans(packed.repartition("row_key"), rules)
+    done = with_spans(packed, rules)
     text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
