@@ -89,7 +89,7 @@ def record(page_id: int | None, url: str | None, date: str, payload: bytes, refe
 def records(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
     """Offset, compressed length and bytes of each record of an archive, read in order."""
     store, path = _shared.filesystem(uri)
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:  # else a name in .gz would be unpacked already
         data, offset = f.read(chunk), 0
         while data:
             d, parts, length = zlib.decompressobj(31), [], 0
@@ -158,7 +158,7 @@ def write_archives(marked: DataFrame, folder: str, roll: int = ROLL) -> list[tup
                     uri, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     store, path = _shared.filesystem(uri)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 data = record(*row)
                 out.write(data)
                 size, n = size + len(data), n + 1
