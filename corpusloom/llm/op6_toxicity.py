@@ -35,7 +35,7 @@ SAMPLE, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 4, 0.7, 3, 1
 WINDOW, STRIDE, LONG = 32, 24, 64
 BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
 #: Passes over the sample, more of them where these are fewer than STEPS steps.  UNHEARD: the share of words that a batch shows by their n-grams alone.
-EPOCHS, STEPS, BATCH, RATE, UNHEARD = 7, 240, 128, 4e-3, 0.5
+EPOCHS, MOST_EPOCHS, STEPS, BATCH, RATE, UNHEARD = 7, 110, 240, 128, 4e-3, 0.5
 #: Windows that are scored at once, and words whose inputs are made at once.
 LANES, AT_ONCE = 2048, 16_384
 _MARKS = b".,;:!?\"'()[]{}"
@@ -228,7 +228,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[st
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     named = list(dict.fromkeys(w for t in texts for w in t))
     clean = int((labels == 0).sum())
-    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(texts) + clean)))
+    epochs = max(EPOCHS, min(MOST_EPOCHS, -(-STEPS * BATCH // (len(texts) + clean))))
     for epoch in range(epochs):
         inputs = words.inputs(p)
         scored = np.concatenate([forward(p, inputs, rows[i : i + LANES]) for i in range(0, len(rows), LANES)])
