@@ -13,17 +13,47 @@ from pyspark.sql import types as T
 KEEP, TRAILING = 0.95, (60, 300, 1800)
 AXES = {"step": "step", "tokens": "tokens_seen", "wall time": "elapsed_time"}
 SERIES = ("train_loss", "smoothed_loss", "validation_loss")
+#: Steps of one block of a run that is smoothed.
+BLOCK = 50_000
 
 
-def smooth(df: DataFrame, run: str, order: str, value: str, keep: float = KEEP) -> DataFrame:
-    """Adds smoothed, the exponential average of each run's values in order, which begins with the first."""
+def smooth(df: DataFrame, run: str, order: str, value: str, keep: float = KEEP, block: int = BLOCK) -> DataFrame:
+    """Adds smoothed, the exponential average of each run's values in the order of a number, which begins with the first.
+
+    In two levels, so that no task holds a whole run: what each block of the order adds to the average,
+    the average before each block, then the rows of a block from there.  Missing values don't count.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("smoothed", T.DoubleType())])
+    df = df.withColumn("block_", F.floor(F.col(order) / block))
+
+    def averages(values: pd.Series, before: float) -> pd.Series:
+        """From the average before the values; from the first of them if that is missing."""
+        return pd.concat([pd.Series([before]), values.astype(float)]).ewm(alpha=1 - keep, adjust=False, ignore_na=True).mean().iloc[1:]
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(order)[value]
+        known = values.dropna()
+        first = known.iloc[0] if len(known) else None
+        return pd.DataFrame({"run_": [key[0]], "at_": [key[1]], "n_": [len(known)], "first_": [first], "added_": [averages(values, 0.0).iloc[-1]]})
+
+    def carried(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, now, before = rows.sort_values("at_"), None, []
+        for n, first, more in zip(rows["n_"], rows["first_"], rows["added_"], strict=True):
+            before.append(now)
+            if n:
+                now = (first if now is None else now) * keep ** int(n) + more
+        return rows[["run_", "at_"]].assign(before_=pd.Series(before, rows.index, dtype=float))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        return rows.assign(smoothed=rows[value].astype(float).ewm(alpha=1 - keep, adjust=False, ignore_na=True).mean())
-
-    return df.groupBy(run).applyInPandas(one, schema)
+        return rows.assign(smoothed=averages(rows[value], rows["before_"].iloc[0]).to_numpy())[schema.names]
+
+    keys = T.StructType([T.StructField("run_", df.schema[run].dataType), T.StructField("at_", T.LongType())])
+    totals = T.StructType([*keys.fields, T.StructField("n_", T.LongType()), T.StructField("first_", T.DoubleType()), T.StructField("added_", T.DoubleType())])
+    blocks = df.select(run, order, value, "block_").groupBy(run, "block_").applyInPandas(added, totals)
+    before = blocks.groupBy("run_").applyInPandas(carried, T.StructType([*keys.fields, T.StructField("before_", T.DoubleType())]))
+    joined = df.join(before, df[run].eqNullSafe(before["run_"]) & df["block_"].eqNullSafe(before["at_"]), "left").drop("run_", "at_")
+    return joined.groupBy(run, "block_").applyInPandas(one, schema)
 
 
 def trailing(df: DataFrame, run: str, elapsed: str, value: str, order: str, spans: tuple[int, ...] = TRAILING) -> DataFrame:

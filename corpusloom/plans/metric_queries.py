@@ -32,6 +32,12 @@ def smoothed_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.smooth(runs(spark, sf_dir).where("step < 1000"), "run", "step", "value").select("run", "step", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
 
 
+@query()
+def whole_smoothed_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run over all of its records; recursive SQL is too slow for that."""
+    return M.smooth(runs(spark, sf_dir), "run", "step", "value").select("run", "step", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
+
+
 @query(
     f"""WITH {_RUNS}, l AS (SELECT run, arg_max(elapsed, step) AS latest FROM r GROUP BY run)
 SELECT run, round(avg(value) FILTER (latest - elapsed <= 60), 6) AS avg_60s, round(avg(value) FILTER (latest - elapsed <= 300), 6) AS avg_300s, round(avg(value) FILTER (latest - elapsed <= 1800), 6) AS avg_1800s FROM r JOIN l USING (run) WHERE value <> 0 GROUP BY run"""
