@@ -70,6 +70,15 @@ def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).where("step % 10 = 0").select("step", F.round(rate, 9).alias("rate"))
 
 
+@query(
+    f"""WITH {_RUNS} SELECT step, round(CASE WHEN tokens_seen < 200000 THEN 0.003 * tokens_seen / 200000 ELSE 0.0003 + 0.0027 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (tokens_seen - 200000) / 1800000)))) END, 9) AS rate FROM r"""
+)
+def whole_learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every record."""
+    rate = M.learning_rate(F.col("tokens_seen"), 0.003, 0.0003, 200_000, 2_000_000)
+    return runs(spark, sf_dir).select("step", F.round(rate, 9).alias("rate"))
+
+
 @query(f"WITH {_RUNS} SELECT step, CASE WHEN value > 0 THEN round(greatest(4000000 - tokens_seen, 0) / value, 6) END AS eta, round(100.0 * tokens_seen / 4000000, 6) AS progress FROM r")
 def eta_and_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, seen = F.lit(4_000_000), F.col("tokens_seen")

@@ -1,5 +1,7 @@
 """Queries that take whole tables, against plain Python on small fixtures."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as M
@@ -36,3 +38,13 @@ def test_whole_runs_are_smoothed(spark):
     for run in {e.run for e in events}:
         own = [e for e in events if e.run == run]
         assert all(abs(got[run, e.event_id] - want) < 2e-6 for e, want in zip(own, averages([e.value for e in own]), strict=True))
+
+
+def test_every_record_has_a_rate(spark):
+    got = {r.step: r.rate for r in QUERIES["whole_learning_rates"](spark, DATA).collect()}
+    assert set(got) == {r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()}
+    for step, rate in got.items():
+        seen = step * 512
+        share = min(1.0, max(0.0, (seen - 200_000) / 1_800_000))
+        want = 0.003 * seen / 200_000 if seen < 200_000 else 0.0003 + 0.0027 * 0.5 * (1 + math.cos(math.pi * share))
+        assert abs(rate - want) < 1e-8
