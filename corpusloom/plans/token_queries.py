@@ -191,6 +191,12 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reconcile(listed, table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'both' END AS status FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id")
+def whole_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with all labels."""
+    return V.reconcile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
 @query("SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def listed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.repeated(table(spark, sf_dir, "documents"), ["text"])

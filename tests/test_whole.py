@@ -48,3 +48,10 @@ def test_every_record_has_a_rate(spark):
         share = min(1.0, max(0.0, (seen - 200_000) / 1_800_000))
         want = 0.003 * seen / 200_000 if seen < 200_000 else 0.0003 + 0.0027 * 0.5 * (1 + math.cos(math.pi * share))
         assert abs(rate - want) < 1e-8
+
+
+def test_all_documents_are_reconciled(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (1, 2, 3, 6, 6)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (2, 3, 3, 9)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.doc_id, r.status) for r in QUERIES["whole_reconciliation"](spark, str(tmp_path)).collect())
+    assert got == [(1, "missing"), (2, "both"), (3, "both"), (6, "missing"), (9, "extra")]
