@@ -207,3 +207,10 @@ def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
     return V.unmatched(o, c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))
+
+
+@query("SELECT o_custkey, count(*) AS orders FROM orders ANTI JOIN (SELECT c_custkey FROM customer) ON o_custkey = c_custkey GROUP BY 1")
+def whole_unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer doesn't exist; none on clean tables."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return V.unmatched(table(spark, sf_dir, "orders"), c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))

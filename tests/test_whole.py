@@ -55,3 +55,10 @@ def test_all_documents_are_reconciled(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (2, 3, 3, 9)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     got = sorted((r.doc_id, r.status) for r in QUERIES["whole_reconciliation"](spark, str(tmp_path)).collect())
     assert got == [(1, "missing"), (2, "both"), (3, "both"), (6, "missing"), (9, "extra")]
+
+
+def test_orders_match_all_customers(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1), (2, 3), (3, 7), (4, 7), (5, 8), (6, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.o_custkey, r.orders) for r in QUERIES["whole_unmatched_rows"](spark, str(tmp_path)).collect())
+    assert got == [(7, 2), (8, 1)]
