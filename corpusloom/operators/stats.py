@@ -15,6 +15,11 @@ def added(histograms: DataFrame, column: str = "token") -> DataFrame:
     return histograms.groupBy(column).agg(F.sum("n").alias("n"))
 
 
+def counted(vocabulary: DataFrame, histogram: DataFrame, column: str = "token") -> DataFrame:
+    """Every entry of a vocabulary with its frequency, 0 where it wasn't seen."""
+    return vocabulary.select(column).distinct().join(histogram, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def top(histogram: DataFrame, n: int = 100, column: str = "token") -> DataFrame:
     """The most frequent, of equal counts the smaller token."""
     return histogram.where("n > 0").orderBy(F.desc("n"), column).limit(n)

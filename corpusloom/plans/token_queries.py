@@ -180,6 +180,13 @@ def vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where("source IN ('src1', 'src2')").select("token").distinct().join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(f"WITH {_WORDS}, f AS (SELECT token, count(*) AS n FROM tw GROUP BY token), v AS (SELECT DISTINCT token FROM tw) SELECT token, coalesce(n, 0) AS n FROM v LEFT JOIN f USING (token)")
+def whole_vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents with its frequencies over all sources."""
+    w = word_tokens(spark, sf_dir)
+    return A.counted(w, A.frequency(w))
+
+
 @query(f"WITH {_SHARDS} SELECT split, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS shards, CAST(sum(token_count) AS BIGINT) <= 66000 AS within FROM sh GROUP BY split")
 def assembly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark, sf_dir).groupBy("split").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("shards")).withColumn("within", F.col("tokens") <= 66000)

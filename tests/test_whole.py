@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as M
+from corpusloom.operators import stats as A
 from corpusloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -62,3 +63,13 @@ def test_orders_match_all_customers(spark, tmp_path):
     spark.createDataFrame([(1, 1), (2, 3), (3, 7), (4, 7), (5, 8), (6, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted((r.o_custkey, r.orders) for r in QUERIES["whole_unmatched_rows"](spark, str(tmp_path)).collect())
     assert got == [(7, 2), (8, 1)]
+
+
+def test_vocabulary_of_all_sources(spark, tmp_path):
+    rows = [(1, "src1", "a b a", "en"), (2, "src2", "b c", "en"), (3, "src7", "d a", "de"), (4, "src9", None, "de")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.token: r.n for r in QUERIES["whole_vocabulary_frequencies"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 3, "b": 2, "c": 1, "d": 1}
+    vocabulary = spark.createDataFrame([("a",), ("z",)], "token string")
+    seen = spark.createDataFrame([("a", 3), ("b", 2)], "token string, n long")
+    assert {r.token: r.n for r in A.counted(vocabulary, seen).collect()} == {"a": 3, "z": 0}
