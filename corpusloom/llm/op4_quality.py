@@ -4,15 +4,16 @@ The rules count words, symbols, repeated lines and repeated three-word windows o
 the whole text.  The classifier hashes word unigrams and bigrams and byte
 n-grams of ``CHAR_NGRAMS`` into a fixed number of buckets; a text's score is the
 mean weight of each kind of n-gram, summed.  It is fitted on at most ``SAMPLE``
-labelled rows, those with the smallest hash of their id; of these, every
-``CALIBRATE``-th by that order is left out of the fit and used for Platt
-scaling.  Every document is scored in Arrow batches, and kept if its calibrated
+labelled rows, those with the smallest hash of their id, of either label half as
+far as it has so many; of each label, every ``CALIBRATE``-th by that order is left
+out of the fit and used for Platt scaling, weighted by the shares of the labels in
+all labelled rows.  Every document is scored in Arrow batches, and kept if its calibrated
 probability of good quality is at least ``THRESHOLD``.
 
 Defined results: a null text is empty, has no words and so fails the rules;
 labels that are null, or whose document is missing, aren't used; of several
 labels of an id the smallest counts, and of several texts the smallest;
-with fewer than ``LEAST`` rows of either label nothing can be learnt, and the
+with fewer than ``LEAST`` rows of either label, in all, nothing can be learnt, and the
 rules alone decide; an empty table gives no rows; extra columns are ignored by
 `quality_rows` and kept by `keep_good`.
 """
@@ -24,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _shared
 
-SAMPLE, CALIBRATE, LEAST, THRESHOLD = 4_000, 4, 20, 0.5
+SAMPLE, CALIBRATE, LEAST, THRESHOLD = 4_000, 4, 4, 0.5
 BITS, CHAR_NGRAMS, EPOCHS, RATE, DECAY = 17, (2, 3, 4), 6, 2.0, 1e-5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Bytes of a text that are hashed at once.
@@ -160,11 +161,16 @@ def sparse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at).astype(np.int32), np.concatenate(values).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model | None:
-    """Logistic regression by adaptive gradients, then Platt scaling on the rows left out; rows come in the order of their hash."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, given: tuple[int, int] | None = None) -> Model | None:
+    """Logistic regression by adaptive gradients, then Platt scaling on the rows left out; rows come in the order of their hash.
+
+    `given` has how many rows of labels 0 and 1 these were drawn from, if not all were taken.
+    """
     if min((labels == 0).sum(), (labels == 1).sum()) < LEAST:
         return None
-    left = np.arange(len(rows)) % CALIBRATE == CALIBRATE - 1
+    left = np.zeros(len(rows), bool)
+    for k in (0, 1):
+        left[np.flatnonzero(labels == k)[CALIBRATE - 1 :: CALIBRATE]] = True
     w, seen, bias = np.zeros((1 + len(CHAR_NGRAMS)) << BITS, np.float32), None, 0.0
     seen = np.full(len(w), 1e-8, np.float32)
     balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
@@ -178,21 +184,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model
             w[at] -= RATE * g / np.sqrt(seen[at]) * 0.1
             bias -= 0.05 * error
     scores = np.array([w[at] @ v + bias for at, v in rows])
-    slope, offset = platt(scores[left], labels[left])
+    stands = [1.0, 1.0] if given is None else [given[k] / (labels == k).sum() for k in (0, 1)]
+    weights = np.where(labels == 1, stands[1], stands[0])
+    slope, offset = platt(scores[left], labels[left], (weights / weights.mean())[left])
     return Model(w.reshape(-1, 1 << BITS), bias, slope, offset)
 
 
-def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the probability, by Newton steps on smoothed targets."""
+def platt(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the probability, by Newton steps on smoothed targets; a row counts by its weight."""
     good, bad = int((labels == 1).sum()), int((labels == 0).sum())
     if not good or not bad:
         return 1.0, 0.0
     target = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     theta, x = np.array([1.0, 0.0]), np.stack([scores, np.ones(len(scores))], 1)
-    loss = lambda t: -float((target * np.log(_sigmoid(x @ t) + 1e-12) + (1 - target) * np.log(1 - _sigmoid(x @ t) + 1e-12)).sum())
+    loss = lambda t: -float((weights * (target * np.log(_sigmoid(x @ t) + 1e-12) + (1 - target) * np.log(1 - _sigmoid(x @ t) + 1e-12))).sum())
     for _ in range(50):
         p = _sigmoid(x @ theta)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weights * (p - target)))
         size = 1.0
         while size > 1e-4 and loss(theta - size * step) > loss(theta):
             size /= 2
@@ -206,7 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on a bounded sample: `sample` labelled rows at most reach the driver, as hashed counts."""
     given = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     given = given.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = given.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id")).orderBy("draw", "doc_id").limit(sample)
+    given = _shared.materialize(given.withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id")), "quality-labels")
+    counts = {r.label: r["count"] for r in given.groupBy("label").count().collect()}
+    parts = [given.where(F.col("label") == k).orderBy("draw", "doc_id").limit(sample) for k in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))  # `sample` rows of each at most
+    chosen = parts[0].unionByName(parts[1]).withColumn("place", place).orderBy("place", "label").limit(sample).drop("place")
     chosen = _shared.materialize(chosen, "quality-sample")
     texts = _shared.texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("draw").alias("draw"))
@@ -220,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     rows = texts.mapInArrow(run, "at binary, v binary, label int, draw long, doc_id long").collect()
     rows.sort(key=lambda r: (r.draw, r.doc_id))
-    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r.label for r in rows]))
+    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r.label for r in rows]), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def verdict(raw: bytes, n_words: int, n_repeat_words: int, model: Model | None, threshold: float) -> tuple[bool, bool, float | None]:

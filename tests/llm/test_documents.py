@@ -144,6 +144,40 @@ def test_quality_learns(spark):
     assert all(0 <= p <= 1 for _, p in kept.values())
 
 
+def test_quality_learns_a_rare_label(spark):
+    rows = []
+    for i in range(1200):
+        good = int(i % 40 != 0)  # 30 bad of 1,200; a plain sample of 120 has about 3
+        words = [f"w{(i * 7 + k) % 50}" for k in range(60)]
+        rows.append((i, " ".join(words) if good else " ".join(w.upper() + "%%%" for w in words), good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = Q.train(df, df.select("doc_id", "quality"), sample=120)
+    assert model is not None
+    kept = {r.doc_id: r.kept for r in Q.quality_rows(df, model).collect()}
+    assert sum(kept[i] == (i % 40 != 0) for i in range(1200)) >= 1190
+
+
+def test_quality_learns_on_the_smallest_tables(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))  # 11 labels of quality 0
+    rows = Q.quality_rows(docs, Q.train(docs, labels)).join(labels, "doc_id").where("NOT base_failed").collect()
+    assert any(not r.kept for r in rows) and all(r.kept for r in rows if r.quality == 1)
+
+
+def test_calibration_follows_label_shares():
+    dice = np.random.default_rng(5)
+    labels = np.repeat([0, 1], 400)
+    rows = [(np.array([0], np.int32), np.array([x], np.float32)) for x in dice.normal(labels * 1.0, 1.5)]
+    order = dice.permutation(800)
+    rows, labels = [rows[i] for i in order], labels[order]
+    shares = []
+    for given in ((400, 400), (400, 8000)):
+        m = Q.fit(rows, labels, given)
+        p = Q._sigmoid(m.slope * (np.array([m.weights.ravel()[0] * v[0] for _, v in rows]) + m.bias) + m.offset)
+        shares.append([p[labels == k].mean() for k in (0, 1)])
+    assert abs(np.mean(shares[0]) - 0.5) < 0.05
+    assert abs((400 * shares[1][0] + 8000 * shares[1][1]) / 8400 - 8000 / 8400) < 0.02
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     rows = []
     for i in range(240):
