@@ -135,6 +135,39 @@ def batches(stream: DataFrame, rows: int, columns: int) -> DataFrame:
     return gathered.where(F.size("x") == columns).select("batch", "row", F.transform("x", lambda x: x["token"]).alias("inputs"), F.transform("x", lambda x: x["target"]).alias("targets"))
 
 
+def stream_pieces(docs: DataFrame, size: int, order: str = "row_id", ahead: int = 0, block: int = 1_000) -> DataFrame:
+    """Documents (order, ids) as one stream in their order, cut where parts of `size` positions end: rows (part, pos, ids).
+
+    A part also has the first `ahead` positions of the next one.  Slices are made before they become rows, so none holds its whole document.
+    """
+    sizes = running_sum(docs.select(order, F.size("ids").cast("long").alias("n_")), [], order, {"end_": F.col("n_")}, block)
+    placed = docs.join(sizes.select(order, (F.col("end_") - F.col("n_")).alias("start_"), "end_"), order).where("end_ > start_")
+    start, end = F.col("start_"), F.col("end_")
+
+    def piece(p: Column) -> Column:
+        a, b = F.greatest(start, p * size), F.least(end, (p + 1) * size + ahead)
+        return F.struct(p.alias("part"), a.alias("pos"), F.slice("ids", (a - start + 1).cast("int"), (b - a).cast("int")).alias("ids"))
+
+    parts = F.sequence(F.floor(F.greatest(start - ahead, F.lit(0)) / size), F.floor((end - 1) / size))
+    return placed.select(F.explode(F.transform(parts, piece)).alias("p")).select("p.*")
+
+
+def scanned(docs: DataFrame, size: int, end_id: int) -> DataFrame:
+    """Least and largest id, end marks and tokens of each shard of a stream of documents (row_id, ids)."""
+    s = stream_pieces(docs, size).groupBy(F.col("part").alias("shard"))
+    ends = F.size(F.filter("ids", lambda x: x == end_id)).cast("long")
+    return s.agg(F.min(F.array_min("ids")).alias("least"), F.max(F.array_max("ids")).alias("most"), F.sum(ends).alias("ends"), F.sum(F.size("ids").cast("long")).alias("tokens"))
+
+
+def packed(docs: DataFrame, rows: int, columns: int) -> DataFrame:
+    """What `batches` gives for the stream of documents (row_id, ids), without a row for each token."""
+    whole = docs.where(F.size("ids") > 0).agg(F.sum(F.size("ids").cast("long")).alias("n"), F.min_by(F.slice("ids", 1, 1), "row_id").alias("ids")).where("n > 0")
+    wrap = whole.select(F.floor((F.col("n") - 1) / columns).alias("part"), F.col("n").alias("pos"), "ids")
+    gathered = stream_pieces(docs, columns, ahead=1).unionByName(wrap).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))  # `columns` + 1 at most
+    x = gathered.select("part", F.flatten(F.transform("x", lambda x: x["ids"])).alias("x")).where(F.size("x") == columns + 1)
+    return x.select(F.floor(F.col("part") / rows).alias("batch"), (F.col("part") % rows).alias("row"), F.slice("x", 1, columns).alias("inputs"), F.slice("x", 2, columns).alias("targets"))
+
+
 def rolling_windows(ids: Column, most: int, start_id: int) -> Column:
     """Windows (tokens, score_start) that score each token once: a start mark, the token before, then up to most - 1 new ones."""
     stride = most - 1

@@ -221,3 +221,27 @@ def whole_unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer doesn't exist; none on clean tables."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return V.unmatched(table(spark, sf_dir, "orders"), c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))
+
+
+_CORPUS = "st AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, token FROM (SELECT doc_id, unnest(x) AS token, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, list_append(list_transform(string_split(text, ' '), lambda x: 4 + length(x)), 3) AS x FROM documents WHERE text IS NOT NULL)))"
+
+
+def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents: 4 and the length of each word, then 3 as the end mark."""
+    ids = F.concat(F.transform(F.split("text", " ", -1), lambda x: F.length(x) + 4), F.array(F.lit(3)))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("row_id"), ids.alias("ids"))
+
+
+@query(f"WITH {_CORPUS} SELECT pos // 1000 AS shard, min(token) AS least, max(token) AS most, count(*) FILTER (token = 3) AS ends, count(*) AS tokens FROM st GROUP BY 1")
+def corpus_shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.scanned(corpus_ids(spark, sf_dir), 1000, 3)
+
+
+@query(
+    f"""WITH {_CORPUS}, n AS (SELECT *, coalesce(lead(token) OVER (ORDER BY pos), (SELECT token FROM st WHERE pos = 0)) AS target FROM st)
+SELECT pos // 128 AS batch, pos % 128 // 32 AS row, string_agg(token, ',' ORDER BY pos) AS inputs, string_agg(target, ',' ORDER BY pos) AS targets FROM n GROUP BY ALL HAVING count(*) = 32"""
+)
+def corpus_packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = K.packed(corpus_ids(spark, sf_dir), 4, 32)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return b.select("batch", "row", text("inputs"), text("targets"))

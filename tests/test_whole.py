@@ -2,10 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as M
 from corpusloom.operators import stats as A
+from corpusloom.operators import tokens as K
 from corpusloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -73,3 +75,16 @@ def test_vocabulary_of_all_sources(spark, tmp_path):
     vocabulary = spark.createDataFrame([("a",), ("z",)], "token string")
     seen = spark.createDataFrame([("a", 3), ("b", 2)], "token string, n long")
     assert {r.token: r.n for r in A.counted(vocabulary, seen).collect()} == {"a": 3, "z": 0}
+
+
+@pytest.mark.parametrize("last", [5, 6, 7])
+def test_stream_of_documents(spark, last):
+    docs = [(i * 700, [10 * i + k % 7 for k in range(n)] + [3]) for i, n in enumerate([2, 0, 40, 1, 1, 15, last], 1)]
+    stream = [x for _, ids in docs for x in ids]
+    df = spark.createDataFrame(docs, "row_id long, ids array<int>").repartition(3)
+    got = {(r.batch * 2 + r.row): (r.inputs, r.targets) for r in K.packed(df, 2, 4).collect()}
+    ring = [*stream, stream[0]]
+    assert got == {k: (ring[4 * k : 4 * k + 4], ring[4 * k + 1 : 4 * k + 5]) for k in range(len(stream) // 4)}
+    shards = {r.shard: (r.least, r.most, r.ends, r.tokens) for r in K.scanned(df, 10, 3).collect()}
+    parts = [stream[i : i + 10] for i in range(0, len(stream), 10)]
+    assert shards == {i: (min(p), max(p), p.count(3), len(p)) for i, p in enumerate(parts)}
