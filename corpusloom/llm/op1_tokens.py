@@ -21,18 +21,18 @@ no files and no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +43,84 @@ MAGIC = b"LHUF0001"
 MAX_BITS, BLOCK, STEP = 20, 65_536, 512
 #: Blocks that are decoded at once.
 LANES = 32
-#: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED, REMEMBERED_PARTS = 400_000, 500_000
-SEPARATOR = "\x01"
-#: Letters that are composed and lower-cased one by one, then marks, which are one piece together at a word's end.
-_PIECES = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
-
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_WORDS = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: Bytes of text that are looked at together, and bytes of the longest word whose ids a worker remembers.
+STRETCH, LONGEST = 4 << 20, 64
+#: Pieces of words, and other words, whose ids a worker remembers.
+REMEMBERED_PIECES, REMEMBERED_WORDS = 800_000, 100_000
+#: What a tokenizer file must say for its words to be cut into letters and the marks after them.
+_CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+_SPACE, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: its class and its lower case; by code point below 0x250: the lower case of composed letters, else 0."""
+    classes, lower = np.full(256, _OTHER, np.uint8), np.arange(256, dtype=np.uint8)
+    classes[[32, *range(9, 14)]] = _SPACE
+    letters = [*range(65, 91), *range(97, 123)]
+    classes[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
+    classes[letters] = _LETTER
+    lower[65:91] += 32
+    wide = np.zeros(0x250, np.uint16)
+    for c in range(0xC0, 0x250):
+        low = chr(c).lower()
+        if chr(c).isalpha() and len(low) == 1 and 0xC0 <= ord(low) < 0x250:
+            wide[c] = ord(low)
+    return classes, lower, wide
+
+
+_CLASSES, _LOWER, _WIDE = _byte_classes()
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of them, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class _Pool:
+    """Ids of remembered strings, found by an Arrow lookup of many strings at once; begun anew beyond `most` strings."""
+
+    def __init__(self, kind: str, most: int) -> None:
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.binary())
+        self.ids, self.starts, self.lengths = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: pa.BinaryArray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys = pa.concat_arrays([self.keys, keys])
+
+    def places(self, wanted: pa.BinaryArray, learn: Callable[[pa.BinaryArray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where each of the distinct wanted strings stands; `learn` gives ids and their numbers for new ones."""
+        if len(self.keys) + len(wanted) > self.most:
+            self.clear()
+        at = pc.index_in(wanted, self.keys)
+        if at.null_count:
+            new, known = wanted.filter(at.is_null()), len(self.keys)
+            self.add(new, *learn(new))
+            at = np.asarray(at.fill_null(-1)).astype(np.int64)
+            at[at < 0] = np.arange(known, known + len(new))
+            return at
+        return np.asarray(at).astype(np.int64)
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and never joins across it.
 
-    Such a tokenizer gives a text the ids of its words one after another, so each
-    distinct word is encoded once and remembered.  A word of letters with marks
-    at its end is encoded as these two pieces, as the tokenizer's own pattern
-    cuts there; pieces need no normalizing, and many words share them.
+    Such a tokenizer gives a text the ids of its words one after another.  Words
+    are told apart by numpy over the bytes of many texts at once.  A word of
+    letters with marks at its end is two pieces, as the tokenizer's own pattern
+    cuts there; pieces need no normalizing, many words share them, and each
+    distinct one is encoded once.  All other words go through the tokenizer as
+    they stand, special tokens in them included.  Should a file have other rules
+    than `_CUTS`, every text goes through its tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,64 +128,143 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = Tokenizer(self.tokenizer.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, "rb") as f:
+            said = json.load(f)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        marks = self.pieces.encode(SEPARATOR).ids
-        if len(marks) != 1:
-            raise ValueError("the separator isn't a single id")
-        self.mark = marks[0]
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > REMEMBERED_PARTS:
-            self.parts = {"": b""}
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            ids = np.asarray(self.pieces.encode_batch_fast([f" {SEPARATOR} ".join(some)])[0].ids, self.kind)
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer joins words across white space")
-            raw, begin, wide = ids.tobytes(), 0, ids.itemsize
-            for x, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                self.parts[x] = raw[wide * begin : wide * end]
-                begin = end + 1
-
-    def _learn(self, words: set[str]) -> None:
-        cut: list[tuple[str, str, str]] = []
-        odd: list[str] = []
-        for w in words:
-            if m := _PIECES(w.lower()):
-                cut.append((w, m[1], m[2]))
-            else:
-                odd.append(w)
-        new = {x for _, *two in cut for x in two}.difference(self.parts)
-        if len(self.parts) + len(new) > REMEMBERED_PARTS:
-            new = {x for _, *two in cut for x in two if x}
-        self._encode_parts(list(new))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, a, b in cut)
-        for at in range(0, len(odd), 512):
-            some = odd[at : at + 512]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.asarray(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of the width that kind says."""
-        words = [_WORDS.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        held = set().union(*words)
-        new = held.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = held
-        if new:
-            gc.disable()  # nothing here has cycles, and what is remembered is much to look through
-            self._learn(new)
-            gc.enable()
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        self.words = self._cuts(said)
+        if self.words:
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.size, bool)
+            self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(said["model"]["end_of_word_suffix"])]] = True
+            self.known, self.others = _Pool(self.kind, REMEMBERED_PIECES), _Pool(self.kind, REMEMBERED_WORDS)
+
+    @staticmethod
+    def _cuts(said: dict) -> bool:
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        model = said["model"]
+        return (
+            said.get("normalizer") == _CUTS["normalizer"]
+            and said.get("post_processor") is None
+            and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": _CUTS["pattern"]}, "Removed", True)
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+            and (model["type"], bool(model["end_of_word_suffix"]), model["dropout"]) == ("BPE", True, None)
+            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or re.fullmatch(r"\w*[!-/:-@\[-`{-~]*", t["content"]) for t in said["added_tokens"])
+        )
+
+    def _learn_pieces(self, new: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces are encoded many at once; each ends with the only id that closes a word."""
+        each = 4000
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(new), each), len(new)], pa.int32()), new.cast(pa.string()))
+        joined = pc.binary_join(lists, " ").to_pylist()
+        ids = np.concatenate([np.asarray(self.pieces.encode_batch_fast([t])[0].ids, self.kind) for t in joined])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new) or ends[-1] != len(ids):
+            raise ValueError("a piece doesn't end with an id that closes a word")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn_words(self, new: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new.cast(pa.string()).to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(lengths.sum())), lengths
+
+    def _stretch(self, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that begin at these bytes, one after another, and how many each has."""
+        classes, low = _CLASSES[x], _LOWER[x]
+        far = np.flatnonzero(x >= 0x80)
+        lead = far[(x[far] >= 0xC3) & (x[far] <= 0xC9)]
+        point = _WIDE[((x[lead].astype(np.int64) & 0x1F) << 6) | (x[lead + 1] & 0x3F)]
+        lead, point = lead[point > 0], point[point > 0]
+        classes[lead] = classes[lead + 1] = _LETTER
+        low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 0x3F
+        edge = np.empty(len(x), bool)
+        edge[0], edge[1:] = True, classes[1:] != classes[:-1]
+        edge[begins[begins < len(x)]] = True
+        at = np.flatnonzero(edge)  # runs of one class, cut where texts begin
+        kind = classes[at]
+        starts_text = np.zeros(len(x) + 1, bool)
+        starts_text[begins] = True
+        solid = kind != _SPACE
+        fresh = solid.copy()
+        fresh[1:] &= ~solid[:-1] | starts_text[at[1:]]
+        first = np.flatnonzero(fresh)  # the first run of each word
+        if not len(first):
+            return np.empty(0, self.kind), np.zeros(len(begins), np.int64)
+        word = np.cumsum(fresh) - 1
+        runs = np.bincount(word[solid], minlength=len(first))
+        second = np.minimum(first + 1, len(kind) - 1)
+        plain = (kind[first] == _LETTER) & ((runs == 1) | (runs == 2) & (kind[second] == _MARK))
+        bounds = np.append(at, len(x)).astype(np.int32)
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(low)])
+        of_plain = np.zeros(len(at), bool)
+        of_plain[solid] = plain[word[solid]]
+        coded = whole.filter(pa.array(of_plain)).dictionary_encode()
+        place = self.known.places(coded.dictionary, self._learn_pieces)
+        taken = np.flatnonzero(of_plain)
+        place = place[np.asarray(coded.indices)]
+        where, start, length = taken, self.known.starts[place], self.known.lengths[place]
+        pool = self.known.ids
+        if not plain.all():
+            odd = np.flatnonzero(~plain)
+            left, right = bounds[first[odd]], bounds[first[odd] + runs[odd]]
+            between = np.stack([left, right], 1).reshape(-1)
+            every = pa.BinaryArray.from_buffers(pa.binary(), len(between) - 1, [None, pa.py_buffer(between), pa.py_buffer(x)])
+            words = every.take(pa.array(np.arange(0, len(between) - 1, 2)))
+            o_start, o_length, o_pool = self._other_words(words, right - left)
+            where = np.concatenate([where, first[odd]])
+            start, length = np.concatenate([start, len(pool) + o_start]), np.concatenate([length, o_length])
+            pool = np.concatenate([pool, o_pool])
+            order = np.argsort(where, kind="stable")
+            where, start, length = where[order], start[order], length[order]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return pool[_ragged(start, length)], np.diff(ends[np.append(np.searchsorted(at[where], begins), len(where))])
+
+    def _other_words(self, words: pa.BinaryArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of ids of each word, and the ids; very long words aren't remembered."""
+        short, start, length = sizes <= LONGEST, np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        coded = words.filter(pa.array(short)).dictionary_encode()
+        place = self.others.places(coded.dictionary, self._learn_words)
+        place = place[np.asarray(coded.indices)]
+        start[short], length[short] = self.others.starts[place], self.others.lengths[place]
+        ids, n = self._learn_words(words.filter(pa.array(~short)))
+        start[~short], length[~short] = len(self.others.ids) + np.cumsum(n) - n, n
+        return start, length, np.concatenate([self.others.ids, ids])
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has; a null text is empty."""
+        texts = texts.fill_null("")
+        if not self.words:
+            return self._learn_words(texts.cast(pa.binary()))
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        x = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        cuts, counts, parts = _stretches(x, offsets), np.zeros(len(texts), np.int64), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")  # texts that have bytes here
+            ids, n = self._stretch(x[a:b], np.maximum(offsets[i:j] - a, 0))
+            parts.append(ids)
+            counts[i:j] += n
+        return np.concatenate([np.empty(0, self.kind), *parts]), counts
+
+
+def _stretches(x: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Where bytes are cut into parts of about STRETCH: at beginnings of texts, or after a space in a longer text."""
+    cuts, n = [0], len(x)
+    while n - cuts[-1] > STRETCH:
+        at = cuts[-1] + STRETCH
+        begin = int(offsets[np.searchsorted(offsets, at, "right") - 1])
+        if begin <= cuts[-1]:
+            end, begin = int(offsets[np.searchsorted(offsets, at, "right")]), at
+            while begin < end and not (space := np.flatnonzero(_CLASSES[x[begin : min(begin + 65_536, end)]] == _SPACE)).size:
+                begin = min(begin + 65_536, end)
+            begin += int(space[0]) if begin < end else 0
+        cuts.append(begin)
+    return [*cuts, n] if n > cuts[-1] else cuts
+
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -137,15 +277,23 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> pa.BinaryArray:
+    """Ids of each text as bytes, with end_id after them."""
+    ends = np.cumsum(counts + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, end_id, ids.dtype)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = ids
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends * out.itemsize]).astype(np.int32)), pa.py_buffer(out)])
+
+
 def encode_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, ids): ids with end_id appended, little-endian, of the width of the tokenizer's kind."""
-    end = np.asarray([end_id], word_encoder(tokenizer).kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _shared.slices(whole):
-                ids = word_encoder(tokenizer).encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+            for b in _shared.slices(whole, rows=whole.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0), with_end(*word_encoder(tokenizer).encode(b.column(1)), end_id)], ["doc_id", "ids"])
 
     return _shared.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 

@@ -1,11 +1,13 @@
 """Token files, byte-level BPE and token counts against the libraries and plain programs."""
 
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -25,7 +27,6 @@ def crc(ids):
 
 def test_token_files(spark, odd_docs, odd_rows, no_docs):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     got = H.token_files(odd_docs, WORDS, 2).collect()
     want = sorted((-1 if i is None else i, len(ids), crc(ids)) for i, x in odd_rows for ids in [[*t.encode(x or "", add_special_tokens=False).ids, 2]])
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
@@ -38,12 +39,31 @@ def test_token_files(spark, odd_docs, odd_rows, no_docs):
     assert H.token_files(no_docs, WORDS, 2).count() == 0
 
 
-def test_words_are_encoded_as_whole_texts():
+@pytest.mark.parametrize("stretch", [H.STRETCH, 40, 7])
+def test_words_are_encoded_as_whole_texts(monkeypatch, stretch):
+    """Special tokens in a text are special, as the library has them; stretches end within texts and words."""
+    monkeypatch.setattr(H, "STRETCH", stretch)
     t, e, dice = Tokenizer.from_file(WORDS), H.WordEncoder(WORDS), random.Random(3)
-    t.encode_special_tokens = True
-    letters = "aAbß é'’s.,!12\n\t\x1c\x85   \x01İΣσς中🙂é-"
-    texts = ["".join(dice.choice(letters) for _ in range(dice.randrange(60))) for _ in range(400)]
-    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    letters = [*"aAbß é'’s.,!12\n\t\x1c\x85\u00a0\u3000\x01İΣσς中🙂é-ȺɏŉÀÞ×÷ªº\u0301\u212a", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "don't", "we'll ", " the "]
+    texts = ["".join(dice.choice(letters) for _ in range(dice.randrange(60))) for _ in range(1500)] + ["", None, "x" * 500, "中" * 300, "a <|endoftext|> b"]
+    ids, n = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert e.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_small_memories_and_other_tokenizers(monkeypatch, tmp_path):
+    monkeypatch.setattr(H, "REMEMBERED_PIECES", 30)
+    monkeypatch.setattr(H, "REMEMBERED_WORDS", 5)
+    monkeypatch.setattr(H, "STRETCH", 200)
+    said = json.load(open(WORDS))
+    said["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    texts = [f"word{i % 7} Other{'x' * (i % 90)} more, {i}" for i in range(200)]
+    for path, by_word in ((WORDS, True), (str(tmp_path / "cased.json"), False)):
+        t, e = Tokenizer.from_file(path), H.WordEncoder(path)
+        ids, n = e.encode(pa.array(texts))
+        assert e.words == by_word
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @pytest.mark.parametrize("n,limit", [(1, 20), (2, 20), (300, 9), (5000, 20), (40, 6)])
