@@ -63,7 +63,8 @@ def test_records_in_small_reads(tmp_path):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(N, "SHARD", 150)
+    monkeypatch.setattr(N, "CELL", 150)
+    monkeypatch.setattr(N, "QUERIES", 20)
     dice = np.random.default_rng(3)
     vectors = {i: (dice.normal(size=16) + 3 * dice.normal(size=(5, 16))[i % 5] * 0 + np.eye(16)[i % 5] * 4).astype(np.float32) for i in range(600)}
     for i in range(100, 300, 3):
@@ -89,6 +90,41 @@ def test_neighbours(spark, monkeypatch):
     assert {r.vec_id for r in few} == {1, 2}
 
 
+def _cell(x, keep=21):
+    norm2 = float((x * x).sum(axis=1).max())
+    return N.Cell(N.Cell.build(np.arange(len(x)), x, norm2, keep))
+
+
+def test_neighbours_walk_the_tree():
+    dice = np.random.default_rng(1)
+    cell = _cell(dice.normal(size=(1000, 12)))
+    q = dice.normal(size=(7, 12))
+    p, radius = q @ cell.g, dice.uniform(0, 60, 7)
+    which, leaf = cell.walk(p, radius)
+    want = [(i, j) for i in range(7) for j in range(1 << cell.levels) if ((cell.points[cell.leaf_bounds[j] : cell.leaf_bounds[j + 1]] - p[i]) ** 2).sum(axis=1).min() <= radius[i]]
+    assert set(want) <= set(zip(which.tolist(), leaf.tolist(), strict=True)) and len(which) < 7 << cell.levels
+    begin, end = cell.home(p, 22)
+    assert (end - begin >= 22).all() and (end - begin < 1000).all()
+
+
+@pytest.mark.parametrize("spread,share", [(1.0, 0.9), (0.05, 0.2)])
+def test_neighbours_stop_early(spread, share):
+    """Recall and the share of vectors that are verified, at random directions and in clusters."""
+    dice = np.random.default_rng(2)
+    x = dice.normal(size=(60, 64))[np.arange(6000) % 60] + dice.normal(size=(6000, 64)) * (spread if spread < 1 else 100)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    cell, asked = _cell(x), np.arange(0, 6000, 20)
+    best = [[] for _ in asked]
+    cell.search(asked, x[asked], 20, N.stop_ratio(), best)
+    hits = 0
+    for i, found in zip(asked, best, strict=True):
+        scores = (x * x[i]).sum(axis=1)
+        nearest = [j for j in np.lexsort((np.arange(6000), -scores)).tolist() if j != i][:20]
+        hits += len(set(nearest) & {j for _, j in found})
+    assert hits >= 0.9 * 20 * len(asked)
+    assert cell.verified < share * len(asked) * 6000
+
+
 def test_pipeline(spark):
     """Against plain programs, stage by stage."""
     import corpus_pipeline as P
