@@ -91,6 +91,14 @@ def slug(c: Column) -> Column:
     return F.when(s == "", F.raise_error(F.lit("a source name has no letters or digits"))).otherwise(s)
 
 
+def source_slug(name: str) -> str:
+    """What `slug` gives for one name."""
+    s = re.sub("[^a-zA-Z0-9_-]+", "-", name).strip("-").lower()
+    if not s:
+        raise ValueError("a source name has no letters or digits")
+    return s
+
+
 def render(template: str, columns: dict[str, Column]) -> Column:
     """A template's {field} placeholders filled with stripped fields; null if any is null or blank."""
     parts, needed = [], []

@@ -2,50 +2,100 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import nonblank, slug, strip
+from ..functions.text import nonblank, source_slug, strip
 
 #: Fixed values.
 DELIMITER = "<|endoftext|>"
 LINE_SUFFIXES, JSON_LINE_SUFFIXES = (".txt", ".text", ".md", ".markdown"), (".jsonl", ".ndjson")
 ROW_BITS = 40
+#: Files whose numbers are broadcast, a few hundred bytes each.
+MOST_LISTED = 100_000
 
 
 def _paths(paths: list[str] | str) -> list[str]:
-    found = sorted([paths] if isinstance(paths, str) else paths)
+    found = sorted({paths} if isinstance(paths, str) else set(paths))
     if not found:
         raise FileNotFoundError("no files to read")
     return found
 
 
-def with_row_id(df: DataFrame, paths: list[str], index: Column) -> DataFrame:
-    """Adds row_id, which follows the order of the paths and then of the rows in them."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0)
-    order = F.create_map(*(F.lit(x) for i, p in enumerate(paths) for x in (PurePosixPath(p).name, i)))
-    return df.withColumn("row_id", (F.coalesce(order[name], F.lit(0)).cast("long") * (1 << ROW_BITS) + index).cast("long"))
+def _plain(path: Column) -> Column:
+    """A file's URI with one slash after its scheme, however Spark spells it."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
 
 
-def parquet(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def file_numbers(df: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """Rows (file_, file_no): the files that Spark lists for a scan, or those of several scans, in the order of their whole paths.
+
+    The driver holds a path for each file, as Spark itself does for any scan.
+    """
+    spark = df.sparkSession
+    rows = [(p, i) for i, p in enumerate(sorted(set(df.inputFiles() if listed is None else listed)))]
+    return spark.createDataFrame(rows, "path string, file_no long").select(_plain(F.col("path")).alias("file_"), "file_no")
+
+
+def _joined(df: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """Adds file_no to rows with file_; the list is broadcast up to MOST_LISTED files and joined by a shuffle beyond."""
+    numbers = file_numbers(df, listed)
+    few = len(df.inputFiles() if listed is None else listed) <= MOST_LISTED
+    return df.join(F.broadcast(numbers) if few else numbers, "file_")
+
+
+def with_row_id(df: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """Adds row_id to a scan of Parquet: the number of its file in the order of whole paths, then the place of the row in it."""
+    rows = df.select("*", _plain(F.col("_metadata.file_path")).alias("file_"), F.col("_metadata.row_index").alias("at_"))
+    return _joined(rows, listed or df.inputFiles()).withColumn("row_id", F.col("file_no") * (1 << ROW_BITS) + F.col("at_")).select(*df.columns, "row_id")
+
+
+def with_line_id(df: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """Adds row_id to a scan of one text column, in the order of files and then of lines.
+
+    A line takes a byte at least, so the first byte of its block plus the lines
+    before it in the block is less than the first byte of the next block.
+    """
+    place = [F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        for b in batches:
+            at = []
+            for key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                now, n = (now, n + 1) if key == now else (key, 0)
+                at.append(key[1] + n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int64())], ["value", "file_", "at_"])
+
+    counted = df.select("value", *place).mapInArrow(number, "value string, file_ string, at_ long").withColumn("file_", _plain(F.col("file_")))
+    return _joined(counted, listed or df.inputFiles()).select("value", (F.col("file_no") * (1 << ROW_BITS) + F.col("at_")).alias("row_id"))
+
+
+def parquet(spark: SparkSession, paths: list[str] | str, listed: list[str] | None = None) -> DataFrame:
     """Parquet files; row_id is the place of a row over all files in path order."""
-    found = _paths(paths)
-    return with_row_id(spark.read.parquet(*found), found, F.col("_metadata.row_index"))
+    return with_row_id(spark.read.parquet(*_paths(paths)), listed)
 
 
-def json_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """JSON lines, compressed or not; a line that is no object is an error."""
-    return spark.read.option("mode", "FAILFAST").json(_paths(paths))
+def json_rows(spark: SparkSession, paths: list[str] | str, listed: list[str] | None = None) -> DataFrame:
+    """JSON lines, compressed or not, with row_id; a line that is no object is an error."""
+    found = _paths(paths)
+    schema = spark.read.option("mode", "FAILFAST").json(found).schema
+    rows = with_line_id(spark.read.text(found), listed).where(strip(F.col("value")) != "")
+    return rows.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "row_id").select("r.*", "row_id")
 
 
-def delimited(spark: SparkSession, paths: list[str] | str, delimiter: str = DELIMITER) -> DataFrame:
-    """Documents that a delimiter ends, stripped, without empty ones; every delimiter counts, also several on a line."""
-    return spark.read.option("lineSep", delimiter).text(_paths(paths)).select(nonblank(F.col("value")).alias("text")).where("text IS NOT NULL")
+def delimited(spark: SparkSession, paths: list[str] | str, delimiter: str = DELIMITER, listed: list[str] | None = None) -> DataFrame:
+    """Documents that a delimiter ends, stripped, without empty ones, with row_id; every delimiter counts, also several on a line."""
+    rows = with_line_id(spark.read.option("lineSep", delimiter).text(_paths(paths)), listed)
+    return rows.select(nonblank(F.col("value")).alias("text"), "row_id").where("text IS NOT NULL")
 
 
 def lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -81,35 +131,54 @@ def json_documents(spark: SparkSession, paths: list[str] | str, field: str = "te
 
 
 def local(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Rows of local files by their suffix; all Parquet, or all of another kind."""
+    """Rows of local files by their suffix, with a row_id over all of them; Parquet alone, or JSON lines and text mixed."""
     found = _paths(paths)
-    kinds = {"parquet" if p.endswith(".parquet") else "json" if p.endswith((".json.gz", *JSON_LINE_SUFFIXES)) else "text" if p.endswith(LINE_SUFFIXES) else p for p in found}
-    readers = {"parquet": parquet, "json": json_rows, "text": delimited}
-    if len(kinds) != 1 or (kind := kinds.pop()) not in readers:
-        raise ValueError(f"unsupported files: {found}")
-    return readers[kind](spark, found)
+    kinds = {p: "parquet" if p.endswith(".parquet") else "json" if p.endswith((".json.gz", *JSON_LINE_SUFFIXES)) else "text" if p.endswith(LINE_SUFFIXES) else "" for p in found}
+    if "" in kinds.values() or "parquet" in kinds.values() and len(set(kinds.values())) > 1:
+        raise ValueError(f"unsupported files: {[p for p, k in kinds.items() if k in ('', 'parquet')][:5]}")
+    readers = {"parquet": parquet, "json": json_rows, "text": lambda s, p, listed: delimited(s, p, listed=listed)}
+    listed = spark.read.format("binaryFile").load(found).inputFiles()
+    parts = [readers[k](spark, [p for p in found if kinds[p] == k], listed=listed) for k in sorted(set(kinds.values()))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def directory(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
     """Documents of all text, JSON-line and JSON files under a folder."""
-    each = {"*.{txt,text,md,markdown}": lines, "*.{jsonl,ndjson}": lambda s, p: json_lines(s, p, field), "*.json": lambda s, p: json_documents(s, p, field)}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    listed = sorted(r.path for r in files.collect())  # paths only
-    out = None
-    for pattern, read in each.items():
-        endings = tuple("." + e for e in pattern.removeprefix("*.").strip("{}").split(","))
-        if mine := [p for p in listed if p.endswith(endings)]:
-            out = read(spark, mine) if out is None else out.unionByName(read(spark, mine))
-            listed = [p for p in listed if p not in set(mine)]
-    if listed or out is None:
-        raise ValueError(f"unsupported or no files: {listed[:5]}")
-    return out
+    kinds = {LINE_SUFFIXES: lines, JSON_LINE_SUFFIXES: lambda s, p: json_lines(s, p, field), (".json",): lambda s, p: json_documents(s, p, field)}
+    listed = sorted(map(unquote, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()))
+    mine = {endings: [p for p in listed if p.endswith(endings)] for endings in kinds}
+    odd = [p for p in listed if not p.endswith(tuple(e for endings in kinds for e in endings))]
+    if odd or not listed:
+        raise ValueError(f"unsupported or no files: {odd[:5]}")
+    return reduce(DataFrame.unionByName, [kinds[k](spark, p) for k, p in mine.items() if p])
 
 
 def source_folder(spark: SparkSession, root: str, name: str, subdir: str | None = None, pattern: str = "*.parquet") -> DataFrame:
-    """The Parquet files of one source under a root; an error if there are none."""
-    folder = subdir or spark.range(1).select(slug(F.lit(name))).first()[0]
-    return spark.read.option("pathGlobFilter", pattern).parquet(f"{root}/{folder}")
+    """The files of one source under a root that a pattern of their names picks, by `local`; an error if there are none."""
+    folder = subdir or source_slug(name)
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/{folder}").inputFiles()
+        files = list(map(unquote, files))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = []
+    if not files:
+        raise FileNotFoundError(f"no files of {name!r} match {root}/{folder}/{pattern}")
+    return local(spark, files)
+
+
+def benchmark_rows(spark: SparkSession, sets: Mapping[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Rows (benchmark, text) of benchmark sets: for each name the files of its configurations and splits, and the fields to join.
+
+    Benchmarks are numbered in the order of the mapping; empty fields are left out.
+    """
+    out = []
+    for i, (paths, fields) in enumerate(sets.values()):
+        rows = local(spark, paths)
+        text = F.concat_ws(" ", *(F.nullif(rows[f].cast("string"), F.lit("")) for f in fields))
+        out.append(rows.select(F.lit(i).alias("benchmark"), text.alias("text")))
+    return reduce(DataFrame.unionByName, out)
 
 
 MANIFEST_ENTRY = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("token_count", T.LongType())]))
@@ -133,19 +202,40 @@ def manifest_entries(m: DataFrame) -> DataFrame:
 
 
 def source_entries(entries: DataFrame, source: str, split: str) -> DataFrame:
-    """The entries of one source, by the prefix of their path."""
-    name = F.lower(F.regexp_replace(F.regexp_replace(F.lit(source), "[^a-zA-Z0-9_-]+", "-"), "^-+|-+$", ""))
-    prefix = F.concat(F.lit("sources/"), name, F.lit(f"/{split}/"))
-    return entries.where((F.col("split") == split) & F.replace("path", F.lit("\\"), F.lit("/")).startswith(prefix))
+    """The entries of one source, by the prefix of their path; an error if there are none."""
+    prefix = F.lit(f"sources/{source_slug(source)}/{split}/")
+    found = entries.where((F.col("split") == split) & F.replace("path", F.lit("\\"), F.lit("/")).startswith(prefix))
+    if found.isEmpty():
+        raise ValueError(f"the manifest has no {split} shards of {source!r}")
+    return found
+
+
+def resolved(entries: DataFrame, manifest_path: str, disk: DataFrame | None = None) -> DataFrame:
+    """Entries with `uri`: an absolute path as it stands, another under the manifest's folder.
+
+    With the paths of files on disk (uri), an entry that isn't there is looked for
+    by its name in the folder `val` beside the manifest.
+    """
+    folder = manifest_path.rpartition("/")[0] or "."
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    absolute = F.rlike(path, F.lit("^(/|[A-Za-z]:/|[A-Za-z][A-Za-z0-9+.-]+://?)"))
+    out = entries.withColumn("uri", F.when(absolute, path).otherwise(F.concat(F.lit(f"{folder}/"), path)))
+    if disk is None:
+        return out
+    there = disk.select(F.col("uri").alias("there_")).distinct()
+    aside = F.concat(F.lit(f"{folder}/val/"), F.element_at(F.split("path", r"[/\\]"), -1))
+    known = out.join(there, out["uri"] == there["there_"], "left")
+    return known.withColumn("uri", F.when(F.col("there_").isNull(), aside).otherwise(F.col("uri"))).drop("there_")
 
 
 def metrics(spark: SparkSession, path: str, schema: str, keep: int = 50_000) -> DataFrame:
-    """Records of a metrics file, the last ones; broken lines are skipped."""
-    rows = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("path"))
-    rows = rows.withColumn("line", F.monotonically_increasing_id())
-    parsed = rows.select("path", "line", F.from_json("value", schema).alias("r")).where("r IS NOT NULL AND NOT (to_json(r) = '{}')")
-    w = Window.partitionBy("path").orderBy(F.desc("line"))
-    return parsed.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= keep).select("path", "line", "r.*")
+    """Records of metrics files, the last ones of each; broken lines are skipped."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_"))
+    # Within a block rows come in order, so the running id orders them; blocks of a file may go to any task.
+    rows = rows.withColumn("line_", F.monotonically_increasing_id())
+    parsed = rows.select("path", "block_", "line_", F.from_json("value", schema).alias("r")).where("r IS NOT NULL AND NOT (to_json(r) = '{}')")
+    w = Window.partitionBy("path").orderBy(F.desc("block_"), F.desc("line_"))
+    return parsed.withColumn("from_end", F.row_number().over(w)).where(F.col("from_end") <= keep).select("path", "from_end", "r.*")
 
 
 def run_files(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -196,7 +286,6 @@ class _RemoteReader(DataSourceReader):
         import importlib
         import json
         import time
-        from collections.abc import Mapping
 
         o = self.options
         open_rows = importlib.import_module(o["module"]).open_rows
@@ -216,3 +305,11 @@ class _RemoteReader(DataSourceReader):
                 if failures > int(o.get("retries", "5")) or any(d in str(e).lower() for d in RemoteRows.DENIED):
                     raise
                 time.sleep(min(60.0, float(o.get("backoff", "5")) * 2 ** (failures - 1)))
+
+
+def remote_documents(spark: SparkSession, module: str, dataset: str, text_field: str = "text", max_documents: int | None = None, **options: str) -> DataFrame:
+    """Texts of a remote set that aren't blank, in its order, with row_no; up to so many documents."""
+    spark.dataSource.register(RemoteRows)
+    rows = spark.read.format("remote_rows").options(module=module, dataset=dataset, **options).load()
+    texts = rows.select("row_no", nonblank(F.get_json_object("row", f"$['{text_field}']")).alias("text")).where("text IS NOT NULL")
+    return texts if max_documents is None else texts.orderBy("row_no").limit(max_documents)

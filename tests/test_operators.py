@@ -155,7 +155,9 @@ def test_remote_rows_resume(spark, tmp_path, monkeypatch):
 def test_manifest_and_metrics(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"train_shards": [{"path": "sources/a-b/train/x.bin", "token_count": 3}], "val_shards": []}))
     e = R.manifest_entries(R.manifest(spark, str(tmp_path / "m.json")))
-    assert R.source_entries(e, "A b", "train").count() == 1 and R.source_entries(e, "c", "train").count() == 0
+    assert R.source_entries(e, "A b", "train").count() == 1 and R.source_entries(e, "a-b", "train").first().path.endswith("x.bin")
+    with pytest.raises(ValueError, match="no val shards"):
+        R.source_entries(e, "A b", "val")
     (tmp_path / "metrics.jsonl").write_text('{"step": 1, "train_loss": 4.2}\nbroken\n{"step": 2, "train_loss": 3.8}\n')
     assert [r.step for r in R.metrics(spark, str(tmp_path / "metrics.jsonl"), "step long, train_loss double", 1).collect()] == [2]
     B.write_json(str(tmp_path / "o.json"), {"b": 1, "a": 2})
