@@ -1,8 +1,8 @@
 """Quality rules: counts by rule, and a calibrated logistic regression over hashed n-grams.
 
 The rules count words, symbols, repeated lines and repeated three-word windows of
-the whole text.  The classifier hashes word unigrams and bigrams and byte
-n-grams of ``CHAR_NGRAMS`` into a fixed number of buckets; a text's score is the
+the whole text.  The classifier hashes word unigrams and bigrams and character
+n-grams of ``CHAR_NGRAMS`` code points into a fixed number of buckets; a text's score is the
 mean weight of each kind of n-gram, summed.  It is fitted on at most ``SAMPLE``
 labelled rows, those with the smallest hash of their id, of either label half as
 far as it has so many; of each label, every ``CALIBRATE``-th by that order is left
@@ -33,7 +33,7 @@ from . import _shared
 SAMPLE, CALIBRATE, LEAST, THRESHOLD = 4_000, 4, 4, 0.5
 BITS, CHAR_NGRAMS, EPOCHS, RATE, DECAY = 17, (2, 3, 4), 6, 2.0, 1e-5
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Bytes of a text that are hashed at once.
+#: Characters of a text that are hashed at once.
 AT_ONCE = 1 << 20
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 #: Odd multipliers of the hashes.
@@ -89,39 +89,41 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h * _Q >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def hashed_ngrams(raw: bytes) -> list[np.ndarray]:
-    """Buckets of the n-grams of each kind: words (unigrams and bigrams), then bytes by length."""
-    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    out: list[np.ndarray] = []
-    solid = ~((x == 32) | ((x >= 9) & (x <= 13)))
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _grown(len(x) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * up[: len(x)])])
-    h = (sums[end] - sums[begin]) * down[begin]
-    pairs = (h[:-1] * _P + h[1:]) * _P + np.uint64(1)
-    out.append(_bucket(np.concatenate([h, pairs])))
-    for n in CHAR_NGRAMS:
-        if len(x) < n:
-            out.append(np.empty(0, np.int64))
-            continue
-        g = np.full(len(x) - n + 1, n, np.uint64)
-        for k in range(n):
-            g = g * np.uint64(257) + x[k : len(x) - n + 1 + k]
-        out.append(_bucket(g))
-    return out
-
-
-def pieces(raw: bytes) -> Iterator[bytes]:
-    """A very long text in parts that end at white space, so that no word is cut."""
-    at = 0
-    while len(raw) - at > AT_ONCE:
-        end = at + AT_ONCE
-        while end < len(raw) and raw[end] not in _SPACE:
-            end += 1
-        yield raw[at:end]
-        at = end
-    yield raw[at:]
+def hashed_ngrams(text: str) -> Iterator[list[np.ndarray]]:
+    """Buckets of the n-grams of each kind: words (unigrams and bigrams), then characters by length.
+
+    A long text comes in parts; words and n-grams that go on past a border are whole all the same.
+    """
+    most = max(CHAR_NGRAMS)
+    open_hash, open_size, before = np.zeros(1, np.uint64), 0, np.empty(0, np.uint64)
+    for at in range(0, max(1, len(text)), AT_ONCE):
+        x = np.frombuffer(text[at : at + AT_ONCE + most - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        own = x[:AT_ONCE]
+        solid = ~((own == 32) | ((own >= 9) & (own <= 13)))
+        edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _grown(len(own) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own + np.uint64(1)) * up[: len(own)])])
+        words = (sums[end] - sums[begin]) * down[begin]
+        if open_size and len(begin) and begin[0] == 0:  # the word before the border goes on
+            words[:1] = open_hash + words[:1] * np.uint64(pow(int(_P), open_size, 1 << 64))
+            begin[0] = -open_size
+        elif open_size:
+            words = np.concatenate([open_hash, words])
+        open_size = 0
+        if len(end) and end[-1] == len(own) and at + AT_ONCE < len(text):  # so may the last one
+            open_hash, open_size, words = words[-1:], int(end[-1] - begin[-1]), words[:-1]
+        row = np.concatenate([before, words])
+        pairs = (row[:-1] * _P + row[1:]) * _P + np.uint64(1)
+        before = row[-1:]
+        out = [_bucket(np.concatenate([words, pairs]))]
+        for n in CHAR_NGRAMS:
+            size = max(0, min(len(own), len(x) - n + 1))
+            g = np.full(size, n, np.uint64)
+            for k in range(n):
+                g = g * _P + x[k : size + k]
+            out.append(_bucket(g))
+        yield out
 
 
 @dataclass
@@ -133,8 +135,8 @@ class Model:
 
     def raw_score(self, raw: bytes) -> float:
         totals, counts = np.zeros(len(self.weights)), np.zeros(len(self.weights))
-        for part in pieces(raw):
-            for i, b in enumerate(hashed_ngrams(part)):
+        for part in hashed_ngrams(raw.decode()):
+            for i, b in enumerate(part):
                 totals[i] += self.weights[i][b].sum(dtype=np.float64)
                 counts[i] += len(b)
         return float(self.bias + (totals / np.maximum(counts, 1)).sum())
@@ -150,8 +152,8 @@ def _sigmoid(z):
 def sparse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct positions in the flattened weights and their values, which sum to 1 in each kind."""
     kinds: list[np.ndarray] = [np.zeros(1 << BITS) for _ in range(1 + len(CHAR_NGRAMS))]
-    for part in pieces(raw):
-        for i, b in enumerate(hashed_ngrams(part)):
+    for part in hashed_ngrams(raw.decode()):
+        for i, b in enumerate(part):
             kinds[i] += np.bincount(b, minlength=1 << BITS)
     at, values = [], []
     for i, k in enumerate(kinds):

@@ -121,6 +121,58 @@ def test_rule_counts(odd_rows):
         assert Q.rule_counts(t.encode()) == by_hand_counts(t), t[:50]
 
 
+def plain_buckets(text):
+    """One n-gram after another."""
+    p, q, whole = int(Q._P), int(Q._Q), 1 << 64
+    bucket = lambda h: (h % whole) * q % whole >> 64 - Q.BITS
+    words = [sum((ord(c) + 1) * pow(p, i, whole) for i, c in enumerate(w)) % whole for w in re.split("[ \t-\r]+", text) if w]
+    out = [[bucket(h) for h in words] + [bucket((a * p + b) * p + 1) for a, b in zip(words, words[1:], strict=False)]]
+    for n in Q.CHAR_NGRAMS:
+        found = []
+        for i in range(len(text) - n + 1):
+            g = n
+            for c in text[i : i + n]:
+                g = (g * p + ord(c)) % whole
+            found.append(bucket(g))
+        out.append(found)
+    return [Counter(x) for x in out]
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 3, 7, 1 << 20])
+def test_hashed_ngrams(monkeypatch, at_once):
+    """Cut anywhere, against one n-gram after another."""
+    monkeypatch.setattr(Q, "AT_ONCE", at_once)
+    for text in ("", " ", "a", "ab", "déjà vu 中文 🙂 x", "  one two\tthree\nfour ", "longwordwithoutspaces", "a b c d"):
+        got = [Counter() for _ in range(1 + len(Q.CHAR_NGRAMS))]
+        for part in Q.hashed_ngrams(text):
+            for c, b in zip(got, part, strict=True):
+                c.update(b.tolist())
+        assert got == plain_buckets(text), (at_once, text)
+
+
+def test_a_text_of_several_parts():
+    text = ("déjà vu of many words " * 120_000)[:2_500_000]
+    whole = [sum(len(p[i]) for p in Q.hashed_ngrams(text)) for i in range(1 + len(Q.CHAR_NGRAMS))]
+    words = len(text.split())
+    assert len(text) > 2 * Q.AT_ONCE and whole == [2 * words - 1, *(len(text) - n + 1 for n in Q.CHAR_NGRAMS)]
+
+
+def test_quality_probability(spark, odd_docs, odd_rows):
+    """A fitted model over the odd rows, against the sum of mean weights."""
+    dice = np.random.default_rng(3)
+    m = Q.Model(dice.normal(size=(1 + len(Q.CHAR_NGRAMS), 1 << Q.BITS)).astype(np.float32), 0.3, 1.7, -0.2)
+    rows = Q.quality_rows(odd_docs, m).collect()
+    want = []
+    for i, t in odd_rows:
+        n_words, *_, repeated = by_hand_counts(t or "")
+        p = None
+        if not Q.base_failed(n_words, repeated):
+            z = 0.3 + sum(sum(float(m.weights[k][b]) * n for b, n in c.items()) / max(1, c.total()) for k, c in enumerate(plain_buckets(t or "")))
+            p = round(1 / (1 + np.exp(-(1.7 * z - 0.2))), 6)
+        want.append((-1 if i is None else i, p is not None and p >= Q.THRESHOLD, -1 if p is None else p))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.kept, -1 if r.probability is None else round(r.probability, 6)) for r in rows) == sorted(want)
+
+
 def test_quality(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (99, 0)], "doc_id long, quality int")
     assert Q.train(odd_docs, labels) is None
