@@ -21,10 +21,19 @@ FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if c.lower() !=
 HAN = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F))
 
 
+#: Characters below U+0300 that compatibility normalization may change; what only has others below U+0300 is normalized already.
+_UNSETTLED = "".join(f"\\x{{{c:x}}}" for c in range(0x300) if unicodedata.normalize("NFKC", chr(c)) != chr(c))
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility normalization; texts that have it already are passed on."""
-    return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility normalization; only texts that it may change go to a Python worker."""
+    unsettled = F.rlike(c, F.lit(f"[{_UNSETTLED}]|[^\\x{{0}}-\\x{{2ff}}]"))
+    return F.coalesce(_nfkc(F.when(unsettled, c)), c)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -75,6 +84,16 @@ def word_shingles(words: Column, width: int) -> Column:
     return bind(words, cut)
 
 
+def shingle_hashes(words: Column, width: int) -> Column:
+    """A 64-bit hash of every run of `width` words, in order, made of the hashes of the words."""
+
+    def cut(h: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(h) - (width - 1))
+        return F.when(F.size(h) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(h, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), cut)
+
+
 def segments(c: Column, most: int) -> Column:
     """Pieces of at most so many characters; an empty text is one empty piece."""
 

@@ -5,14 +5,17 @@ Rows carry `row_id`, an order that decides which of equal documents comes first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as X
 
 WIDTH, LEAST_HITS = 12, 2
-#: Shingles of an index that is broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Bytes that a broadcast index may take, and those of one of its rows with what a hash table adds.
+MOST_BROADCAST, ROW_BYTES = 256_000_000, 64
 
 
 def digest(c: Column) -> Column:
@@ -30,11 +33,6 @@ def drop_copies(docs: DataFrame, scope: list[str], text_col: str = "text", order
     return ranked_copies(docs, scope, text_col, order_col).where("copy_no = 1").drop("copy_no")
 
 
-def benchmark_text(df: DataFrame, fields: list[str]) -> Column:
-    """The non-empty fields, joined by spaces."""
-    return F.concat_ws(" ", *(F.nullif(df[f].cast("string"), F.lit("")) for f in fields))
-
-
 def shingle_index(benchmarks: DataFrame, width: int = WIDTH) -> DataFrame:
     """Distinct (benchmark, shingle) of rows (benchmark, text), whose text isn't cleaned."""
     words = X.normalized_words(F.col("text"))
@@ -46,12 +44,31 @@ def index_masks(index: DataFrame) -> DataFrame:
     return index.groupBy("shingle").agg(F.bit_or(F.expr("shiftleft(1, benchmark)")).alias("mask"))
 
 
+def hashed_index(index: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Distinct (benchmark, hash) of an index of shingles."""
+    one = F.element_at(X.shingle_hashes(F.split("shingle", " "), width), 1)
+    return index.select("benchmark", one.alias("hash")).distinct()
+
+
 def shingle_hits(docs: DataFrame, index: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    """Rows (keys, pos, benchmark): positions of documents whose shingle a benchmark has, repeats counted."""
+    """Rows (keys, pos, benchmark): positions of documents whose shingle a benchmark has, repeats counted.
+
+    Shingles are compared by 64-bit hashes, so no text and no shingle moves.  The
+    index is counted and broadcast while its hashes fit; beyond that positions are
+    joined by a shuffle of hashes, whose large partitions Spark splits.
+    """
+    hashed = storage.materialize(hashed_index(index, width), "shingle-index")
+    small = hashed.count() * ROW_BYTES <= MOST_BROADCAST
     words = X.normalized_words(F.col("text"))
-    at = docs.select(*keys, F.posexplode(X.word_shingles(words, width)).alias("pos", "shingle"))
-    small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return at.join(F.broadcast(index) if small else index, "shingle").select(*keys, "pos", "benchmark")
+    at = docs.select(*keys, F.posexplode(X.shingle_hashes(words, width)).alias("pos", "hash"))
+    return at.join(F.broadcast(hashed) if small else hashed, "hash").select(*keys, "pos", "benchmark")
+
+
+def beside(rows: DataFrame, more: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with the columns of the row of equal keys in more, null where there is none; null keys are equal."""
+    other = more.withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(other[f"{k}_"]) for k in keys))
+    return rows.join(other, same, "left").drop(*(f"{k}_" for k in keys))
 
 
 def hit_counts(hits: DataFrame, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -69,27 +86,43 @@ def decontaminate(docs: DataFrame, index: DataFrame, width: int = WIDTH, least:
     return docs.join(charged(shingle_hits(docs, index, width), least).select("row_id"), "row_id", "left_anti")
 
 
-def dispositions(docs: DataFrame, passes: Column, index: DataFrame, min_chars: int | Column = 0, width: int = WIDTH, least: int = LEAST_HITS, normalize: bool = True) -> DataFrame:
-    """Rows (row_id, source, text, disposition, benchmark): what becomes of each raw document, in the order in which things are tried.
-
-    A later copy of a contaminated document is a duplicate.
-    """
-    cleaned = docs.select("row_id", "source", passes.alias("passes"), X.nonblank(F.col("text")).alias("raw"), F.lit(min_chars).alias("least_chars")).withColumn("text", X.clean(F.col("raw"), normalize))
+def staged(docs: DataFrame, passes: Column, min_chars: int | Column = 0, normalize: bool = True, tokens: Column | None = None) -> DataFrame:
+    """Rows (row_id, source, text, early, digest, n_tokens), written once: cleaned texts, and what drops a document before copies are looked for."""
+    cleaned = docs.select("row_id", "source", passes.alias("passes"), X.nonblank(F.col("text")).alias("raw"), F.lit(min_chars).alias("least_chars"))
+    cleaned = cleaned.withColumn("text", X.clean(F.col("raw"), normalize))
     early = (
         F.when(~F.col("passes"), "filtered")
         .when(F.col("raw").isNull(), "missing")
         .when(F.col("text") == "", "empty")
         .when(F.length("text") < F.col("least_chars"), "short")
     )
-    staged = cleaned.withColumn("early", early)
-    survivors = staged.where("early IS NULL")
-    ranked = ranked_copies(survivors, ["source"])
-    first = ranked.where("copy_no = 1")
-    bad = charged(shingle_hits(first, index, width), least)
-    late = ranked.join(bad, "row_id", "left").withColumn("disposition", F.when(F.col("copy_no") > 1, "duplicate").when(F.col("benchmark").isNotNull(), "contaminated").otherwise("accepted"))
-    late = late.withColumn("benchmark", F.when(F.col("copy_no") == 1, F.col("benchmark")))
-    rest = staged.where("early IS NOT NULL").select("row_id", "source", "text", F.col("early").alias("disposition"), F.lit(None).cast("int").alias("benchmark"))
-    return late.select("row_id", "source", "text", "disposition", F.col("benchmark").cast("int").alias("benchmark")).unionByName(rest)
+    n = F.lit(None).cast("long") if tokens is None else tokens
+    out = cleaned.select("row_id", "source", "text", early.alias("early"), F.unhex(digest(F.col("text"))).alias("digest"), n.alias("n_tokens"))
+    return storage.materialize(out, "staged")
+
+
+def verdicts(rows: DataFrame, index: DataFrame, width: int = WIDTH, least: int = LEAST_HITS) -> DataFrame:
+    """Rows (row_id, source, n_tokens, disposition, benchmark, hits) of staged documents: what becomes of each, in the order in which things are tried.
+
+    A later copy of a contaminated document is a duplicate.  Only ids, digests and
+    hits are shuffled.  `hits` has the hits of a contaminated document by benchmark.
+    """
+    survivors = rows.where("early IS NULL")
+    w = Window.partitionBy("source", "digest").orderBy("row_id")
+    ranked = survivors.select("row_id", "source", "n_tokens", "digest").withColumn("copy_no", F.row_number().over(w)).drop("digest")
+    keys = ("source", "row_id")
+    found = storage.materialize(shingle_hits(survivors.select(*keys, "text"), index, width, keys), "shingle-hits")
+    counts = hit_counts(found, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("benchmark", "hits")))).alias("hits"))  # a row per benchmark
+    bad = beside(charged(found, least, keys), counts, keys)
+    disposition = F.when(F.col("copy_no") > 1, "duplicate").when(F.col("benchmark").isNotNull(), "contaminated").otherwise("accepted")
+    first = F.col("copy_no") == 1
+    late = beside(ranked, bad, keys).select("row_id", "source", "n_tokens", disposition.alias("disposition"), F.when(first, F.col("benchmark")).cast("int").alias("benchmark"), F.when(first, F.col("hits")).alias("hits"))
+    return late.unionByName(rows.where("early IS NOT NULL").select("row_id", "source", "n_tokens", F.col("early").alias("disposition")), allowMissingColumns=True)
+
+
+def dispositions(docs: DataFrame, passes: Column, index: DataFrame, min_chars: int | Column = 0, width: int = WIDTH, least: int = LEAST_HITS, normalize: bool = True, tokens: Column | None = None) -> DataFrame:
+    """`verdicts` of raw documents (row_id, source, text)."""
+    return verdicts(staged(docs, passes, min_chars, normalize, tokens), index, width, least)
 
 
 KINDS = ("filtered", "missing", "empty", "short", "duplicate", "contaminated", "accepted")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,35 @@ def frequency(tokens: DataFrame, column: str = "token") -> DataFrame:
     return tokens.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def id_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows (groups, token, n): how often each id occurs in the arrays `ids`, counted in each task first."""
+    names = [*groups, "token", "n"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in parts:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(groups))), strict=True))
+            for key in dict.fromkeys(keys):
+                mine = b.column(len(groups)).filter(pa.array([k == key for k in keys]))
+                n = np.bincount(np.asarray(mine.flatten()).astype(np.int64))
+                old = held.get(key, np.empty(0, np.int64))
+                held[key] = np.pad(old, (0, max(0, len(n) - len(old)))) + np.pad(n, (0, max(0, len(old) - len(n))))
+        for key, n in held.items():
+            at = np.flatnonzero(n)
+            columns = [pa.array([k] * len(at)) for k in key] + [pa.array(at, pa.int64()), pa.array(n[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = ", ".join(f"{g} {dict(rows.dtypes)[g]}" for g in groups)
+    counted = rows.select(*groups, "ids").mapInArrow(run, f"{kinds}, token long, n long")
+    return counted.groupBy(*groups, "token").agg(F.sum("n").alias("n"))
+
+
+def shard_statistics(shards: DataFrame, end: int | None) -> DataFrame:
+    """Rows (split, path, least, most, ends, tokens) of read shards (split, path, ids)."""
+    ends = F.size(F.filter("ids", lambda x: x == (-1 if end is None else end))).cast("long")
+    return shards.select("split", "path", F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), ends.alias("ends"), F.size("ids").cast("long").alias("tokens"))
+
+
 def added(histograms: DataFrame, column: str = "token") -> DataFrame:
     """Histograms of several sources as one."""
     return histograms.groupBy(column).agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import bind
 
 #: Rows of one block of a running sum; blocks of a group are summed first, so that no task holds a whole group.
@@ -21,14 +22,14 @@ def byte_count(c: Column) -> Column:
     return (F.octet_length(c) + 1).cast("long")
 
 
-def running_sum(df: DataFrame, groups: list[str], order: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """Adds inclusive running sums in the order of a whole number, in two levels: of blocks, then within them."""
+def running_sum(df: DataFrame, groups: list[str], order: str, sums: dict[str, Column], block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds inclusive running sums in the order of a whole number, in two levels: of blocks, then within them; columns may break ties."""
     at = F.floor(F.col(order) / block)
     df = df.withColumn("block_", at)
     totals = df.groupBy(*groups, "block_").agg(*(F.sum(c).alias(f"{k}_before") for k, c in sums.items()))
     w = Window.partitionBy(*groups).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*groups, "block_", *(F.coalesce(F.sum(f"{k}_before").over(w), F.lit(0)).alias(f"{k}_before") for k in sums))
-    inside = Window.partitionBy(*groups, "block_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*groups, "block_").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(totals, [*groups, "block_"])
     return df.withColumns({k: (F.col(k) + F.col(f"{k}_before")).cast("long") for k in sums}).drop("block_", *(f"{k}_before" for k in sums))
 
@@ -43,13 +44,15 @@ def quota(docs: DataFrame, val_ratio: float = 0.0, seed: int = 1337) -> DataFram
 
     Documents go to validation by a coin while both budgets are open, to the one
     that is open otherwise, and are cut to what is left of it; what is past both
-    is left out.  The three running sums give what this rule gives in sequence.
+    is left out.  The three running sums give what this rule gives in sequence;
+    what each adds is written, so that the plan doesn't grow with the next.
     """
+    docs = storage.materialize(docs, "quota")
     both = docs.withColumn("coin_", (coin(seed, "source", "row_id") < val_ratio) & (F.col("val_budget") > 0))
     n = F.col("n_tokens")
     both = running_sum(both, ["source"], "row_id", {"val_sum": F.when(F.col("coin_"), n).otherwise(0)})
     both = both.withColumn("val_", F.col("coin_") & (F.col("val_sum") - n < F.col("val_budget")))
-    both = running_sum(both, ["source"], "row_id", {"train_sum": F.when(~F.col("val_"), n).otherwise(0)})
+    both = storage.materialize(running_sum(both, ["source"], "row_id", {"train_sum": F.when(~F.col("val_"), n).otherwise(0)}), "quota")
     full = both.where(~F.col("val_") & (F.col("train_sum") >= F.col("budget"))).groupBy("source").agg(F.min("row_id").alias("full_at"))
     both = both.join(full, "source", "left").withColumn("late_", F.coalesce(F.col("row_id") > F.col("full_at"), F.lit(False)))
     both = running_sum(both, ["source"], "row_id", {"fill_sum": F.when(F.col("val_") | F.col("late_"), n).otherwise(0)})
@@ -105,6 +108,25 @@ def first_shuffled(df: DataFrame, seed: int, columns: list[str], n: int) -> Data
     return top.withColumn("place", F.row_number().over(Window.orderBy("key_", *columns))).drop("key_")
 
 
+def everything(*columns: str) -> Window:
+    """A window over all rows, for few of them."""
+    return Window.orderBy(*columns)
+
+
+def placed(df: DataFrame, groups: list[str], order: list[str], place: str = "place", parts: int = 64) -> DataFrame:
+    """Adds the place of each row in the order of hexadecimal keys, from 1, by group: in two levels, so that no task holds a group.
+
+    The first column of the order is a hash in hexadecimal; `parts` is a power of 16 of ranges of it at most.
+    """
+    digits = max(1, (parts - 1).bit_length() + 3 >> 2)
+    df = df.withColumn("range_", F.substring(order[0], 1, digits))
+    sizes = df.groupBy(*groups, "range_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*groups).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*groups, "range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    within = F.row_number().over(Window.partitionBy(*groups, "range_").orderBy(*order))
+    return df.withColumn("within_", within).join(sizes, [*groups, "range_"]).withColumn(place, (F.col("before_") + F.col("within_")).cast("long")).drop("range_", "within_", "before_")
+
+
 def shuffled(df: DataFrame, seed: int, columns: list[str]) -> DataFrame:
     """A global shuffle that the seed fixes, by a range exchange on the key."""
     return df.withColumn("shuffle_key", shuffle_key(seed, *columns)).orderBy("shuffle_key", *columns)

@@ -75,7 +75,7 @@ z AS (SELECT doc_id, source, text, CASE WHEN copy > 1 THEN 'duplicate' WHEN benc
 
 def disposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id").withColumnRenamed("lang", "language")
-    return C.dispositions(d, P.conditions(d, {"language": "en"}), index(spark, sf_dir), 200)
+    return C.dispositions(d, P.conditions(d, {"language": "en"}), index(spark, sf_dir), 200, tokens=K.word_count(F.col("text")))
 
 
 @query(f"WITH {_DISPOSED} SELECT source, count(*) AS raw, " + ", ".join(f"count(*) FILTER (disposition = '{k}') AS {k}" for k in C.KINDS) + " FROM z GROUP BY source")

@@ -1,8 +1,9 @@
-"""Whole preparations: one corpus, a mix of sources, an assembly of token sets, a global chunk shuffle."""
+"""Preparations as plans: the documents of one corpus or of a mix of sources, and how many tokens of each are taken."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from ..operators import tokens as K
 from ..spec import Source, scaled_budget, val_target
 
 
-def mix(disposed: DataFrame, budget: int | Column, val_budget: int | Column = 0, val_ratio: float = 0.0, seed: int = 1337) -> DataFrame:
+def mix(verdicts: DataFrame, budget: int | Column, val_budget: int | Column = 0, val_ratio: float = 0.0, seed: int = 1337) -> DataFrame:
     """Accepted documents up to each source's budget, with split and take."""
-    accepted = disposed.where("disposition = 'accepted'")
-    counted = accepted.select("source", "row_id", K.word_count(F.col("text")).alias("n_tokens"), F.lit(budget).cast("long").alias("budget"), F.lit(val_budget).cast("long").alias("val_budget"))
+    accepted = verdicts.where("disposition = 'accepted'")
+    counted = accepted.select("source", "row_id", "n_tokens", F.lit(budget).cast("long").alias("budget"), F.lit(val_budget).cast("long").alias("val_budget"))
     return K.quota(counted, val_ratio, seed)
 
 
@@ -27,26 +28,35 @@ def summary(taken: DataFrame) -> DataFrame:
 
 
 def source_rows(rows: DataFrame, spec: Source) -> DataFrame:
-    """Raw rows of one source as (row_id, source, text, passes)."""
+    """Raw rows of one source as (row_id, source, text, passes, min_chars)."""
     fields = {f: P.field(rows, f) for f in rows.columns}
     text = X.render(spec.text_template, fields) if spec.text_template else P.field(rows, spec.text_field)
     return rows.select("row_id", F.lit(spec.name).alias("source"), text.alias("text"), P.conditions(rows, spec.filters).alias("passes"), F.lit(spec.min_text_chars).alias("min_chars"))
 
 
+def all_rows(rows: Mapping[str, DataFrame], specs: list[Source]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (source_rows(rows[s.name], s) for s in specs))
+
+
+def by_source(values: Mapping[str, int]) -> Column:
+    """The value of each row's source."""
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("source")]
+
+
+def budgets(specs: list[Source], scale: float, val_ratio: float) -> tuple[dict[str, int], dict[str, int]]:
+    """Train and validation budgets by source."""
+    train = {s.name: scaled_budget(s.token_budget, scale) for s in specs}
+    return train, {k: val_target(n, val_ratio) for k, n in train.items()}
+
+
 def mix_sources(rows: Mapping[str, DataFrame], specs: list[Source], index: DataFrame, scale: float = 1.0, val_ratio: float = 0.0, seed: int = 1337, width: int = C.WIDTH) -> tuple[DataFrame, DataFrame]:
-    """All sources of a mix: the disposition of every raw row, and what is taken of the accepted ones.
+    """All sources of a mix, counted in words: the disposition of every raw row, and what is taken of the accepted ones.
 
     A source that falls short of its budget is an error where `require_full` is applied to what is taken.
     """
-    raw = None
-    for spec in specs:
-        one = source_rows(rows[spec.name], spec)
-        raw = one if raw is None else raw.unionByName(one)
-    disposed = C.dispositions(raw, F.col("passes"), index, F.col("min_chars"), width)
-    given = {s.name: scaled_budget(s.token_budget, scale) for s in specs}
-    table = F.create_map(*(F.lit(x) for s, n in given.items() for x in (s, n)))
-    val = F.create_map(*(F.lit(x) for s, n in given.items() for x in (s, val_target(n, val_ratio))))
-    return disposed, mix(disposed, table[F.col("source")], val[F.col("source")], val_ratio, seed)
+    judged = C.dispositions(all_rows(rows, specs), F.col("passes"), index, F.col("min_chars"), width, tokens=K.word_count(F.col("text")))
+    train, val = budgets(specs, scale, val_ratio)
+    return judged, mix(judged, by_source(train), by_source(val), val_ratio, seed)
 
 
 def require_full(taken: DataFrame, budgets: Mapping[str, int]) -> DataFrame:
@@ -64,24 +74,3 @@ def single(cleaned: DataFrame, val_ratio: float, seed: int) -> DataFrame:
         F.when(K.coin(seed, "row_id") < val_ratio, "val").otherwise("train").alias("split"), K.word_count(F.col("text")).alias("n"), X.mostly_ascii_letters(F.col("text")).alias("en")
     )
     return rows.groupBy("split").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.count_if("en").alias("en_like"), F.round(A.rate(F.sum("n"), F.count("*")), 6).alias("average"))
-
-
-def assemble(parts: list[DataFrame], target: int) -> DataFrame:
-    """Token entries of several sets one after another; an error unless they sum to the target."""
-    out = None
-    for i, p in enumerate(parts):
-        one = p.withColumn("part", F.lit(i))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    total = out.agg(F.sum("token_count")).first()[0] or 0
-    if total != target:
-        raise ValueError(f"the assembly has {total} tokens, not {target}")
-    return out
-
-
-def manifest(entries: DataFrame, statistics: DataFrame, **more: object) -> DataFrame:
-    """One JSON row: shards of each split in order, totals, statistics of the sources, and more."""
-    shards = entries.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("path", "token_count"))).alias("shards"), F.sum("token_count").alias("tokens"))  # a row per shard
-    listed = shards.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", F.struct("shards", "tokens"))))).alias("splits"))
-    told = statistics.agg(F.array_sort(F.collect_list(F.struct(*sorted(statistics.columns)))).alias("sources"))
-    fixed = [F.lit(v).alias(k) for k, v in sorted(({"version": 1, "dtype": "uint16"} | more).items())]
-    return listed.join(F.broadcast(told)).select(F.to_json(F.struct(*fixed, "sources", "splits")).alias("manifest"))

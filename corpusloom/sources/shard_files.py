@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,49 +14,91 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_ID = 65_535
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if re.match("[A-Za-z][A-Za-z0-9+.-]+:/", uri) else f"file://{os.path.abspath(uri)}")
+
+
+def _write_file(folder: str, name: str, ids: np.ndarray) -> None:
+    """Under a name of its own first and then renamed, so that a repeated task does no harm."""
+    if len(ids) and (ids.min() < 0 or ids.max() > MOST_ID):
+        raise ValueError("an id doesn't fit 16 bits")
+    store, base = _filesystem(folder)
+    store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+    own = f"{base}/{name}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(own) as out:
+        out.write(ids.astype("<u2").tobytes())
+    store.move(own, f"{base}/{name}")
 
 
 def write(tokens: DataFrame, folder: str) -> DataFrame:
-    """Write rows (split, shard_index, shard_offset, ids) as one file for each shard; rows (split, path, token_count), to be kept in a manifest.
+    """Write rows (split, shard_index, shard_offset, ids) as one file for each shard; rows (prefix, split, shard_index, path, token_count), to be kept in a manifest.
 
-    Shards are of a fixed size, so a group is bounded by it.  A file is written
-    under another name first and then renamed, so that a repeated task does no harm.
+    Files are named <prefix>/shard_<index>.bin; rows without a prefix have their split
+    for one.  Shards are of a fixed size, so a group is bounded by it.
     """
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        split, index = key
+        prefix, split, index = key
         ids = np.concatenate([np.asarray(x, np.int64) for x in rows.sort_values("shard_offset").ids])
-        if len(ids) and (ids.min() < 0 or ids.max() > MOST_ID):
-            raise ValueError("an id doesn't fit 16 bits")
-        store, base = _filesystem(folder)
-        store.create_dir(f"{base}/{split}", recursive=True)
-        name = f"{split}/shard_{index:06d}.bin"
-        with store.open_output_stream(f"{base}/{name}.{os.getpid()}.tmp") as out:
-            out.write(ids.astype("<u2").tobytes())
-        store.move(f"{base}/{name}.{os.getpid()}.tmp", f"{base}/{name}")
-        return pd.DataFrame([(split, index, name, len(ids))], columns=["split", "shard_index", "path", "token_count"])
+        name = f"{prefix}/shard_{index:06d}.bin"
+        _write_file(folder, name, ids)
+        return pd.DataFrame([(prefix, split, index, name, len(ids))], columns=["prefix", "split", "shard_index", "path", "token_count"])
+
+    prefix = F.col("prefix") if "prefix" in tokens.columns else F.col("split").alias("prefix")
+    rows = tokens.select(prefix, "split", "shard_index", "shard_offset", "ids")
+    return rows.groupBy("prefix", "split", "shard_index").applyInPandas(one, "prefix string, split string, shard_index long, path string, token_count long")
+
+
+def cut(pieces: DataFrame) -> DataFrame:
+    """Tokens of pieces (uri, file_tokens, at, tokens, and more) of shards: rows with ids in place of these four; each shard is read once.
+
+    A file whose size isn't twice its count is an error.
+    """
+    more = [f for f in pieces.schema.fields if f.name not in ("uri", "file_tokens", "at", "tokens")]
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = _load(key[0], int(rows.file_tokens.iloc[0]))
+        rows = rows.assign(ids=[ids[a : a + n].astype(np.int32) for a, n in zip(rows["at"], rows["tokens"], strict=True)])
+        return rows[[*(f.name for f in more), "ids"]]
+
+    schema = T.StructType([*more, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return pieces.groupBy("uri").applyInPandas(one, schema)
 
-    return tokens.select("split", "shard_index", "shard_offset", "ids").groupBy("split", "shard_index").applyInPandas(one, "split string, shard_index long, path string, token_count long")
+
+def copy(entries: DataFrame, folder: str) -> DataFrame:
+    """Write the first `take` tokens of each entry (uri, token_count, take, path) to a shard of our own at path; rows (path, take)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for r in rows.itertuples():
+                _write_file(folder, r.path, _load(r.uri, r.token_count)[: r.take])
+            yield rows[["path", "take"]]
+
+    return entries.select("uri", "token_count", "take", "path").mapInPandas(run, "path string, take long")
+
+
+def _load(uri: str, tokens: int) -> np.ndarray:
+    store, path = _filesystem(uri)
+    with store.open_input_stream(path) as f:
+        raw = f.read()
+    if len(raw) != 2 * tokens:
+        raise ValueError(f"{uri} has {len(raw)} bytes for {tokens} tokens")
+    return np.frombuffer(raw, "<u2")
 
 
 def read(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
     """Rows (split, entry_no, path, ids) of listed shards; a file whose size isn't twice its count is an error."""
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = _filesystem(folder)
         for rows in parts:
             for r in rows.itertuples():
-                with store.open_input_stream(f"{base}/{r.path}") as f:
-                    raw = f.read()
-                if len(raw) != 2 * r.token_count:
-                    raise ValueError(f"{r.path} has {len(raw)} bytes for {r.token_count} tokens")
-                yield pd.DataFrame({"split": [r.split], "entry_no": [r.entry_no], "path": [r.path], "ids": [np.frombuffer(raw, "<u2").astype(np.int32)]})
+                ids = _load(f"{folder}/{r.path}", r.token_count).astype(np.int32)
+                yield pd.DataFrame({"split": [r.split], "entry_no": [r.entry_no], "path": [r.path], "ids": [ids]})
 
     return entries.select("split", F.col("entry_no").cast("long").alias("entry_no"), "path", "token_count").mapInPandas(load, "split string, entry_no long, path string, ids array<int>")
 
@@ -62,11 +106,20 @@ def read(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
 def sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (path, bytes) of the shards on disk; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("path"), F.col("length").alias("bytes"))
+    root = folder.rstrip("/").rpartition("/")[2] + "/"
+    return files.select(F.substring_index("path", root, -1).alias("path"), F.col("length").alias("bytes"))
 
 
 def write_json(path: str, value: object) -> None:
     """Sorted keys, two spaces; the file appears whole or not at all."""
+    if "://" in path:
+        store, place = _filesystem(path)
+        store.create_dir(place.rpartition("/")[0], recursive=True)
+        own = f"{place}.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(own) as out:
+            out.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode())
+        store.move(own, place)
+        return
     with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), delete=False, encoding="utf-8") as f:
         json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
         f.flush()
@@ -74,6 +127,12 @@ def write_json(path: str, value: object) -> None:
     os.replace(f.name, path)
 
 
+def read_json(path: str) -> dict:
+    store, place = _filesystem(path)
+    with store.open_input_stream(place) as f:
+        return json.loads(f.read())
+
+
 def append_lines(path: str, record: dict) -> None:
     """One compact JSON line."""
     with open(path, "a", encoding="utf-8", buffering=1) as f:

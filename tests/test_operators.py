@@ -97,8 +97,6 @@ def test_shards_and_files(spark, tmp_path):
     assert V.passed(V.shard_violations(entries, disk, found, 100, {"train": 9}))
     bad = {(r.problem) for r in V.shard_violations(entries.where("shard_index < 2"), disk, found, 20, {"train": 9}).collect()}
     assert bad == {"unlisted file", "id out of range", "wrong total"}
-    m = json.loads(prepare.manifest(entries, spark.createDataFrame([("s", 9)], "name string, tokens long"), seed=3).first()[0])
-    assert m["splits"]["train"]["tokens"] == 9 and len(m["splits"]["train"]["shards"]) == 3
     np.array([1, 2, 3], "<u2").tofile(tmp_path / "train" / "shard_000000.bin")
     with pytest.raises(Exception, match="bytes for"):
         B.read(spark, str(tmp_path), entries).collect()
@@ -165,13 +163,6 @@ def test_manifest_and_metrics(spark, tmp_path):
     assert json.loads((tmp_path / "o.json").read_text()) == {"a": 2, "b": 1} and (tmp_path / "o.jsonl").read_text() == '{"a":1}\n'
 
 
-def test_assembly(spark):
-    parts = [spark.createDataFrame([("p", n)], "path string, token_count long") for n in (2, 3)]
-    assert prepare.assemble(parts, 5).count() == 2
-    with pytest.raises(ValueError):
-        prepare.assemble(parts, 6)
-
-
 def test_results_do_not_depend_on_partitions(spark):
     from corpusloom.plans.queries import QUERIES
 
