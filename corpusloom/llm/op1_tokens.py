@@ -37,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, _words
 
 MAGIC = b"LHUF0001"
 MAX_BITS, BLOCK, STEP = 20, 65_536, 512
 #: Blocks that are decoded at once.
 LANES = 32
 #: Bytes of text that are looked at together, and bytes of the longest word whose ids a worker remembers.
-STRETCH, LONGEST = 4 << 20, 64
+STRETCH, LONGEST = _words.STRETCH, 64
 #: Pieces of words, and other words, whose ids a worker remembers.
 REMEMBERED_PIECES, REMEMBERED_WORDS = 800_000, 100_000
 #: What a tokenizer file must say for its words to be cut into letters and the marks after them.
@@ -52,63 +52,20 @@ _CUTS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 }
-_SPACE, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
 
 
-def _byte_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By byte: its class and its lower case; by code point below 0x250: the lower case of composed letters, else 0."""
-    classes, lower = np.full(256, _OTHER, np.uint8), np.arange(256, dtype=np.uint8)
-    classes[[32, *range(9, 14)]] = _SPACE
-    letters = [*range(65, 91), *range(97, 123)]
-    classes[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
-    classes[letters] = _LETTER
+def _lower_cases() -> tuple[np.ndarray, np.ndarray]:
+    """The lower case of each byte of ASCII and, by code point below 0x250, of the composed letters, else 0."""
+    lower, wide = np.arange(256, dtype=np.uint8), np.zeros(0x250, np.uint16)
     lower[65:91] += 32
-    wide = np.zeros(0x250, np.uint16)
     for c in range(0xC0, 0x250):
         low = chr(c).lower()
         if chr(c).isalpha() and len(low) == 1 and 0xC0 <= ord(low) < 0x250:
             wide[c] = ord(low)
-    return classes, lower, wide
+    return lower, wide
 
 
-_CLASSES, _LOWER, _WIDE = _byte_classes()
-
-
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, so many of them, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
-class _Pool:
-    """Ids of remembered strings, found by an Arrow lookup of many strings at once; begun anew beyond `most` strings."""
-
-    def __init__(self, kind: str, most: int) -> None:
-        self.kind, self.most = kind, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = pa.array([], pa.binary())
-        self.ids, self.starts, self.lengths = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, keys: pa.BinaryArray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
-        self.keys = pa.concat_arrays([self.keys, keys])
-
-    def places(self, wanted: pa.BinaryArray, learn: Callable[[pa.BinaryArray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Where each of the distinct wanted strings stands; `learn` gives ids and their numbers for new ones."""
-        if len(self.keys) + len(wanted) > self.most:
-            self.clear()
-        at = pc.index_in(wanted, self.keys)
-        if at.null_count:
-            new, known = wanted.filter(at.is_null()), len(self.keys)
-            self.add(new, *learn(new))
-            at = np.asarray(at.fill_null(-1)).astype(np.int64)
-            at[at < 0] = np.arange(known, known + len(new))
-            return at
-        return np.asarray(at).astype(np.int64)
+_LOWER, _WIDE = _lower_cases()
 
 
 class WordEncoder:
@@ -138,7 +95,7 @@ class WordEncoder:
             self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.last = np.zeros(self.size, bool)
             self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(said["model"]["end_of_word_suffix"])]] = True
-            self.known, self.others = _Pool(self.kind, REMEMBERED_PIECES), _Pool(self.kind, REMEMBERED_WORDS)
+            self.known, self.others = _words.Pool(self.kind, REMEMBERED_PIECES), _words.Pool(self.kind, REMEMBERED_WORDS)
 
     @staticmethod
     def _cuts(said: dict) -> bool:
@@ -173,32 +130,15 @@ class WordEncoder:
 
     def _stretch(self, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts that begin at these bytes, one after another, and how many each has."""
-        classes, low = _CLASSES[x], _LOWER[x]
-        far = np.flatnonzero(x >= 0x80)
-        lead = far[(x[far] >= 0xC3) & (x[far] <= 0xC9)]
-        point = _WIDE[((x[lead].astype(np.int64) & 0x1F) << 6) | (x[lead + 1] & 0x3F)]
-        lead, point = lead[point > 0], point[point > 0]
-        classes[lead] = classes[lead + 1] = _LETTER
+        classes, lead, point = _words.classes_of(x, _WIDE)
+        low = _LOWER[x]
         low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 0x3F
-        edge = np.empty(len(x), bool)
-        edge[0], edge[1:] = True, classes[1:] != classes[:-1]
-        edge[begins[begins < len(x)]] = True
-        at = np.flatnonzero(edge)  # runs of one class, cut where texts begin
-        kind = classes[at]
-        starts_text = np.zeros(len(x) + 1, bool)
-        starts_text[begins] = True
-        solid = kind != _SPACE
-        fresh = solid.copy()
-        fresh[1:] &= ~solid[:-1] | starts_text[at[1:]]
-        first = np.flatnonzero(fresh)  # the first run of each word
+        at, kind, first, runs, word = _words.runs_of(classes, begins)
         if not len(first):
             return np.empty(0, self.kind), np.zeros(len(begins), np.int64)
-        word = np.cumsum(fresh) - 1
-        runs = np.bincount(word[solid], minlength=len(first))
-        second = np.minimum(first + 1, len(kind) - 1)
-        plain = (kind[first] == _LETTER) & ((runs == 1) | (runs == 2) & (kind[second] == _MARK))
-        bounds = np.append(at, len(x)).astype(np.int32)
-        whole = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(low)])
+        solid, plain = kind != _words.SPACE, _words.plain_words(kind, first, runs)
+        bounds = np.append(at, len(x))
+        whole = _words.strings(low, bounds)
         of_plain = np.zeros(len(at), bool)
         of_plain[solid] = plain[word[solid]]
         coded = whole.filter(pa.array(of_plain)).dictionary_encode()
@@ -211,16 +151,14 @@ class WordEncoder:
             odd = np.flatnonzero(~plain)
             left, right = bounds[first[odd]], bounds[first[odd] + runs[odd]]
             between = np.stack([left, right], 1).reshape(-1)
-            every = pa.BinaryArray.from_buffers(pa.binary(), len(between) - 1, [None, pa.py_buffer(between), pa.py_buffer(x)])
-            words = every.take(pa.array(np.arange(0, len(between) - 1, 2)))
+            words = _words.strings(x, between).take(pa.array(np.arange(0, len(between) - 1, 2)))
             o_start, o_length, o_pool = self._other_words(words, right - left)
             where = np.concatenate([where, first[odd]])
             start, length = np.concatenate([start, len(pool) + o_start]), np.concatenate([length, o_length])
             pool = np.concatenate([pool, o_pool])
             order = np.argsort(where, kind="stable")
             where, start, length = where[order], start[order], length[order]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        return pool[_ragged(start, length)], np.diff(ends[np.append(np.searchsorted(at[where], begins), len(where))])
+        return pool[_words.ragged(start, length)], _words.per_text(length, at[where], begins)
 
     def _other_words(self, words: pa.BinaryArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place and number of ids of each word, and the ids; very long words aren't remembered."""
@@ -235,36 +173,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each text has; a null text is empty."""
-        texts = texts.fill_null("")
         if not self.words:
-            return self._learn_words(texts.cast(pa.binary()))
-        texts = texts.cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        x = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        cuts, counts, parts = _stretches(x, offsets), np.zeros(len(texts), np.int64), []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            i, j = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")  # texts that have bytes here
-            ids, n = self._stretch(x[a:b], np.maximum(offsets[i:j] - a, 0))
+            return self._learn_words(texts.fill_null("").cast(pa.binary()))
+        x, offsets = _words.bytes_of(texts)
+        counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, self.kind)]
+        for part, mine, begins in _words.stretches(x, offsets, STRETCH):
+            ids, n = self._stretch(part, begins)
             parts.append(ids)
-            counts[i:j] += n
-        return np.concatenate([np.empty(0, self.kind), *parts]), counts
-
-
-def _stretches(x: np.ndarray, offsets: np.ndarray) -> list[int]:
-    """Where bytes are cut into parts of about STRETCH: at beginnings of texts, or after a space in a longer text."""
-    cuts, n = [0], len(x)
-    while n - cuts[-1] > STRETCH:
-        at = cuts[-1] + STRETCH
-        begin = int(offsets[np.searchsorted(offsets, at, "right") - 1])
-        if begin <= cuts[-1]:
-            end, begin = int(offsets[np.searchsorted(offsets, at, "right")]), at
-            while begin < end and not (space := np.flatnonzero(_CLASSES[x[begin : min(begin + 65_536, end)]] == _SPACE)).size:
-                begin = min(begin + 65_536, end)
-            begin += int(space[0]) if begin < end else 0
-        cuts.append(begin)
-    return [*cuts, n] if n > cuts[-1] else cuts
-
+            counts[mine] += n
+        return np.concatenate(parts), counts
 
 
 _encoders: dict[str, WordEncoder] = {}

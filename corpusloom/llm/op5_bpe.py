@@ -19,27 +19,33 @@ ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _shared
+from . import _shared, _words
 
-#: Units of text, matches of the pattern and pairs of tokens that a worker remembers.
-REMEMBERED, REMEMBERED_MATCHES, REMEMBERED_PAIRS = 300_000, 400_000, 1_000_000
+#: Matches of the pattern and other words whose ids a worker remembers, bytes of the longest of the latter, and pairs of tokens.
+REMEMBERED_MATCHES, REMEMBERED_WORDS, LONGEST, REMEMBERED_PAIRS = 1_000_000, 100_000, 64, 1_000_000
+#: Bytes of text that are looked at together.
+STRETCH = _words.STRETCH
 #: White space as the pattern's \\s has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs that the pattern never matches across: it cuts before a space that precedes a visible character, and after other white space.
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-
-#: Letters, then marks: two matches of the pattern.
-_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
+#: White space beyond ASCII: its runs with other white space are matched as one.
+_WIDE_SPACE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The pattern whose matches are told apart by `pieces`; another pattern runs over all words.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTERS = np.array([c >= 0xC0 and chr(c).isalpha() for c in range(0x250)], np.uint16)
 
 
 class Vocabulary:
@@ -52,15 +58,16 @@ class Vocabulary:
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.ranks:
-            lengths.setdefault(token[-3:], set()).add(len(token))
-        #: By the last bytes of a prefix: how long the tokens are that can end there, the longest first.
-        self.lengths = {end: tuple(sorted(x | {n for k in (1, 2) if end[-k:] in self.ranks for n in (k,)}, reverse=True)) for end, x in lengths.items()}
+        #: Finds all tokens that end at each byte, the longest first; bytes are characters there.
+        self.ends = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.ends.make_automaton()
+        self.longest = max(map(len, self.ranks))
+        self.plain = pattern == _PATTERN
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.joins: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {"": b""}
+        self.known, self.others = _words.Pool("<u4", REMEMBERED_MATCHES), _words.Pool("<u4", REMEMBERED_WORDS)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one last; None for a single byte."""
@@ -119,28 +126,47 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         v, last = self.vocabulary, self.last
         self.data += more
-        data, ranks, lengths = self.data, v.ranks, v.lengths
-        for end in range(len(last), len(data) + 1):
-            for n in lengths.get(data[max(0, end - 3) : end]) or lengths.get(data[max(0, end - 2) : end]) or (1,):
-                begin = end - n
-                token = ranks.get(data[begin:end]) if begin >= 0 else None
-                if token is None:
-                    continue
-                if not begin or v.may_follow(last[begin], token):
-                    last.append(token)
-                    break
-            else:
+        joins, done = v.joins, len(last) - 1  # bytes that have their token
+        if done == len(self.data):
+            return
+        for end, (token, n) in v.ends.iter(self.data.decode("latin-1"), max(0, done + 1 - v.longest)):
+            if end < done:
+                continue
+            if end > done:
                 raise ValueError("a byte isn't in the vocabulary")
+            begin = end + 1 - n
+            if begin:
+                if (stays := joins.get(last[begin] << 32 | token)) is None:
+                    stays = v.may_follow(last[begin], token)
+                if not stays:
+                    continue
+            last.append(token)
+            done += 1
+        if done < len(self.data):
+            raise ValueError("a byte isn't in the vocabulary")
 
     def cut(self, size: int) -> None:
         """Keep the first bytes alone; their states stay valid."""
         self.data, self.last = self.data[:size], self.last[: size + 1]
 
-    def replace(self, begin: int, end: int, by: bytes) -> None:
-        """An edit: states before it stay, those after it are found anew."""
-        rest = self.data[end:]
+    def replace(self, begin: int, end: int, by: bytes) -> int:
+        """An edit: states before it stay, and those after it are found until they agree with the old ones over the longest token; how many were found.
+
+        From there on each state follows from equal states and equal bytes.
+        """
+        data, last, most = self.data, self.last, self.vocabulary.longest
+        moved, at = begin + len(by) - end, end  # old bytes from `end` on stand `moved` further
         self.cut(begin)
-        self.append(by + rest)
+        self.append(by)
+        while at < len(data):
+            upto = min(at + most, len(data))
+            self.append(data[at:upto])
+            if upto - at == most and self.last[at + 1 + moved :] == last[at + 1 : upto + 1]:
+                self.data += data[upto:]
+                self.last += last[upto + 1 :]
+                return upto + moved - begin
+            at = upto
+        return len(self.data) - begin
 
     def ids(self, size: int | None = None) -> list[int]:
         """The encoding of the first bytes, or of all."""
@@ -174,35 +200,98 @@ def encode_sorted(v: Vocabulary, matches: list[bytes]) -> Iterator[list[int]]:
         yield prefixes.ids()
 
 
-def _learn(v: Vocabulary, units: set[str]) -> None:
-    cut = [(u, m.groups() if (m := _SIMPLE(u)) else v.pattern.findall(u)) for u in units]
-    every = {m for _, ms in cut for m in ms}
-    new = every.difference(v.matches)
-    if len(v.matches) + len(new) > REMEMBERED_MATCHES:
-        v.matches, new = {"": b""}, every - {""}
-    order = sorted(m.encode() for m in new)
-    v.matches.update((m.decode(), np.asarray(ids, "<u4").tobytes()) for m, ids in zip(order, encode_sorted(v, order), strict=True))
-    v.known.update((u, b"".join(map(v.matches.__getitem__, ms))) for u, ms in cut)
-
-
-def encode(v: Vocabulary, texts: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of each text."""
-    units = [_UNITS.findall(t) for t in texts]
-    held = set().union(*units)
-    new = held.difference(v.known)
-    if len(v.known) + len(new) > REMEMBERED:
-        v.known.clear()
-        new = held
-    if new:
-        gc.disable()  # nothing here has cycles, and what is remembered is much to look through
-        _learn(v, new)
-        gc.enable()
-    get = v.known.__getitem__
-    return [b"".join(map(get, u)) for u in units]
-
-
-def decode(v: Vocabulary, raw: bytes) -> bytes:
-    return b"".join(map(v.bytes.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+def _encode_matches(v: Vocabulary, matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct byte strings, one after another, and how many each has."""
+    order = sorted(range(len(matches)), key=matches.__getitem__)
+    ids: list[list[int]] = [[]] * len(matches)
+    for i, found in zip(order, encode_sorted(v, [matches[i] for i in order]), strict=True):
+        ids[i] = found
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum())), lengths
+
+
+def _encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for strings that the pattern cuts further."""
+    matches = [v.pattern.findall(w) for w in words]
+    each = list(dict.fromkeys(chain.from_iterable(matches)))
+    ids, lengths = _encode_matches(v, [m.encode() for m in each])
+    starts, place = np.cumsum(lengths) - lengths, {m: i for i, m in enumerate(each)}
+    at = np.fromiter((place[m] for ms in matches for m in ms), np.int64, sum(map(len, matches)))
+    ends = np.concatenate([[0], np.cumsum(lengths[at])])
+    return ids[_words.ragged(starts[at], lengths[at])], np.diff(ends[np.cumsum([0, *map(len, matches)])])
+
+
+def pieces(x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pattern's matches begin in texts with ASCII white space alone, and whether each is one; else it is a word that the pattern cuts further.
+
+    The pattern gives white space before a word its last character, if that is a space, to the word.
+    """
+    classes, _, _ = _words.classes_of(x, _LETTERS)
+    at, kind, first, runs, _ = _words.runs_of(classes, begins)
+    plain, mark = _words.plain_words(kind, first, runs), np.zeros(len(x), np.uint8)
+    blank = kind == _words.SPACE
+    mark[at[blank]] = 1
+    text_at = np.zeros(len(x) + 1, bool)
+    text_at[begins] = True
+    before = np.zeros(len(first), bool)  # words right after white space of their text
+    before[first > 0] = blank[first[first > 0] - 1] & ~text_at[at[first[first > 0]]]
+    start = at[first] - (before & (x[np.maximum(at[first] - 1, 0)] == 32))
+    lone = at[first][before & (start == at[first])] - 1  # white space of its own before a word
+    mark[lone] = 1
+    mark[start] = np.where(plain, 1, 2)
+    two = plain & (runs == 2)
+    mark[at[first[two] + 1]] = 1
+    place = np.flatnonzero(mark)
+    return place, mark[place] == 1
+
+
+def _stretch(v: Vocabulary, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts that begin at these bytes, one after another, and how many each has."""
+    place, single = pieces(x, begins)
+    every = _words.strings(x, np.append(place, len(x)))
+    coded = every.filter(pa.array(single)).dictionary_encode()
+    at = v.known.places(coded.dictionary, lambda new: _encode_matches(v, new.to_pylist()))[np.asarray(coded.indices)]
+    start, length, pool = np.empty(len(place), np.int64), np.empty(len(place), np.int64), v.known.ids
+    start[single], length[single] = v.known.starts[at], v.known.lengths[at]
+    if not single.all():
+        odd = np.flatnonzero(~single)
+        short = np.diff(np.append(place, len(x)))[odd] <= LONGEST
+        learn = lambda new: _encode_words(v, new.cast(pa.string()).to_pylist())
+        coded = every.take(pa.array(odd[short])).dictionary_encode()
+        at = v.others.places(coded.dictionary, learn)[np.asarray(coded.indices)]
+        start[odd[short]], length[odd[short]] = len(pool) + v.others.starts[at], v.others.lengths[at]
+        ids, n = learn(every.take(pa.array(odd[~short])))
+        pool = np.concatenate([pool, v.others.ids, ids])
+        start[odd[~short]], length[odd[~short]] = len(pool) - len(ids) + np.cumsum(n) - n, n
+    return pool[_words.ragged(start, length)], _words.per_text(length, place, begins)
+
+
+def encode(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and how many each text has; a null text is empty."""
+    texts = texts.fill_null("")
+    wide = np.asarray(pc.match_substring_regex(texts, _WIDE_SPACE)) if v.plain else np.ones(len(texts), bool)
+    counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, "<u4")]
+    if wide.any():  # by runs that the pattern never matches across
+        units = [_UNITS.findall(t) if v.plain else [t] for t in texts.filter(pa.array(wide)).to_pylist()]
+        found = [_encode_words(v, us) for us in units]
+        some, n = texts.filter(pa.array(~wide)), np.array([len(f[0]) for f in found])
+        rest, counts[~wide] = encode(v, some) if len(some) else (parts[0], 0)
+        counts[wide] = n
+        out, ends = np.empty(int(counts.sum()), "<u4"), np.cumsum(counts)
+        own = np.repeat(wide, counts)
+        out[~own] = rest
+        out[own] = np.concatenate([f[0] for f in found])
+        return out, counts
+    x, offsets = _words.bytes_of(texts)
+    for part, mine, begins in _words.stretches(x, offsets, STRETCH):
+        ids, n = _stretch(v, part, begins)
+        parts.append(ids)
+        counts[mine] += n
+    return np.concatenate(parts), counts
+
+
+def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
+    return b"".join(map(v.bytes.__getitem__, ids.tolist()))
 
 
 def coded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,18 +299,20 @@ def coded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _shared.slices(whole):
+            for b in _shared.slices(whole, rows=whole.num_rows):
                 v = vocabulary(path, pattern)
-                ids = encode(v, b.column(1).to_pylist())
+                ids, counts = encode(v, b.column(1))
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                each = [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [
                     b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(decode(v, x)).hexdigest() for x in ids]),
+                    pa.array(counts, pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()),
+                    pa.array([hashlib.sha256(decode(v, x)).hexdigest() for x in each], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").view("<i4") for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

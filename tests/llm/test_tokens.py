@@ -121,10 +121,27 @@ def test_bpe_query(spark, odd_docs, odd_rows, no_docs, tik):
     assert B.coded(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_texts(v, tik):
-    dice, letters = random.Random(1), " \n\t\x1c\x85\xa0 aab'sétß12中文🙂́.,  llreAKI"
-    texts = ["".join(dice.choice(letters) for _ in range(dice.randrange(60))) for _ in range(1500)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in B.encode(v, texts)] == [tik.encode_ordinary(t) for t in texts]
+@pytest.mark.parametrize("stretch", [B.STRETCH, 40, 9])
+def test_bpe_texts(monkeypatch, v, tik, stretch):
+    """All white space of a third of the texts, ASCII white space in the others; stretches end within texts."""
+    monkeypatch.setattr(B, "STRETCH", stretch)
+    dice, letters, wide = random.Random(1), " \n\t\x1caab'sétß12中🙂́.,  llreAKIÀ×ȺΣ", "\x85\xa0\u3000  "
+    texts = ["".join(dice.choice(letters + (wide if i % 3 == 0 else "")) for _ in range(dice.randrange(60))) for i in range(1500)]
+    texts += ["", None, " ", "a  ", "\n\n a", "中" * 300, "word " * 30, "it's we'll 's"]
+    ids, n = B.encode(v, pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tik.encode_ordinary(t or "") for t in texts]
+    assert B.encode(v, pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_bpe_small_memories_and_other_patterns(monkeypatch):
+    monkeypatch.setattr(B, "REMEMBERED_MATCHES", 20)
+    monkeypatch.setattr(B, "REMEMBERED_WORDS", 3)
+    texts = [f"word{i % 7} Other{'x' * (i % 90)} more, {i}" for i in range(100)]
+    for pattern in (public_tokenizers.PATTERN, r"[0-9]|[^0-9]+"):
+        v = B.Vocabulary(RANKS, pattern)
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=v.ranks, special_tokens={})
+        ids, n = B.encode(v, pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_prefixes(v, tik):
@@ -137,10 +154,22 @@ def test_bpe_prefixes(v, tik):
         a, b = sorted((dice.randrange(len(x)), dice.randrange(len(x))))
         p.replace(a, b, b"xyz")
         assert p.ids() == tik._encode_single_piece(x[:a] + b"xyz" + x[b:])
+        assert p.last == B.Prefixes(v, p.data).last
         p.append(b"ing")
         assert p.ids() == tik._encode_single_piece(x[:a] + b"xyz" + x[b:] + b"ing")
 
 
+def test_bpe_edits_stop_early(v):
+    """States after an edit are found only until they agree with the old ones."""
+    x = b"the quick brown fox jumps over the lazy dog again and again " * 4000
+    p = B.Prefixes(v, x)
+    for begin, end, by in ((5, 6, b"Q"), (100_000, 100_003, b""), (100_000, 100_000, b"new words"), (0, 0, b""), (len(x) - 1, len(x) + 5, b"!")):
+        found = p.replace(begin, end, by)
+        assert found <= len(by) + 4 * v.longest
+        x = p.data
+        assert p.last == B.Prefixes(v, x).last
+
+
 def test_token_counts(spark, odd_docs, odd_rows, no_docs):
     scores = U.piece_scores(PIECES)
     by_byte = min(scores.values()) - 1_000_000
