@@ -21,14 +21,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _shared
+from . import _shared, _words
 
-#: Nodes of a worker's trie and pre-tokens whose counts it remembers; the trie is begun anew beyond these.
-MOST_NODES, REMEMBERED = 600_000, 300_000
+#: Nodes of a worker's trie and pre-tokens whose counts it remembers, each begun anew beyond these; characters of a pre-token that become nodes.
+MOST_NODES, REMEMBERED, LONGEST = 1_000_000, 1_000_000, 64
+#: Bytes of text that are looked at together.
+STRETCH = _words.STRETCH
 SPACE = "▁"
+#: White space beyond that of _words.
+_WIDE_SPACE = "[\\x1c-\\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def piece_scores(path: str) -> dict[str, int]:
@@ -46,54 +53,91 @@ class Trie:
     def __init__(self, scores: dict[str, int]) -> None:
         self.scores = scores
         self.by_byte = min(scores.values(), default=0) - 1_000_000
-        lengths: dict[str, set[int]] = {}
-        for x in scores:
-            lengths.setdefault(x[-1], set()).add(len(x))
-        self.lengths = {c: tuple(sorted(x)) for c, x in lengths.items()}
+        #: Finds all pieces that end at each character.
+        self.ends = ahocorasick.Automaton()
+        for x, score in scores.items():
+            self.ends.add_word(x, (score, len(x)))
+        if scores:
+            self.ends.make_automaton()
+        self.longest = max(map(len, scores), default=1)
+        self.known = _words.Pool("<i8", REMEMBERED)
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.count = [0], [0]
-        self.known: dict[str, int] = {}
 
     def insert(self, pretoken: str) -> int:
-        """The number of pieces of a pre-token."""
-        child, score, count, pieces = self.child, self.score, self.count, self.scores
-        path, node = [0], 0
-        for end, c in enumerate(pretoken, 1):
-            following = child.get((node, c))
-            if following is None:
-                best = None
-                for n in self.lengths.get(c, ()):
-                    if n > end:
-                        break
-                    if (s := pieces.get(pretoken[end - n : end])) is not None:
-                        before = path[end - n]
-                        found = (score[before] + s, -count[before] - 1)
-                        best = found if best is None or found > best else best
-                if c not in pieces:
-                    n = len(c.encode("utf-8", "surrogatepass"))
-                    found = (score[node] + n * self.by_byte, -count[node] - n)
-                    best = found if best is None or found > best else best
-                following = child[node, c] = len(score)
-                score.append(best[0])
-                count.append(-best[1])
+        """The number of pieces of a pre-token; of a very long one only the beginning stays in the trie."""
+        child, node, score, count = self.child, 0, [0], [0]
+        for c in pretoken:
+            if (following := child.get((node, c))) is None:
+                break
             node = following
-            path.append(node)
-        return count[node]
-
-    def counts(self, texts: list[str]) -> list[tuple[int, int]]:
-        """Pre-tokens and tokens of each text."""
-        words = [t.split() for t in texts]
-        new = sorted(set().union(*words).difference(self.known))
-        if len(self.score) > MOST_NODES or len(self.known) + len(new) > REMEMBERED:
-            self.clear()
-            new = sorted(set().union(*words))
-        for w in new:
-            self.known[w] = self.insert(SPACE + w)
-        get = self.known.__getitem__
-        return [(len(w), sum(map(get, w))) for w in words]
+            score.append(self.score[node])
+            count.append(self.count[node])
+        shared = len(score) - 1
+        if shared == len(pretoken):
+            return count[-1]
+        by_end: dict[int, list[tuple[int, int]]] = {}
+        if self.scores:
+            for end, piece in self.ends.iter(pretoken, max(0, shared + 1 - self.longest)):
+                if end >= shared:
+                    by_end.setdefault(end, []).append(piece)
+        for end in range(shared, len(pretoken)):
+            c, best = pretoken[end], None
+            for s, n in by_end.get(end, ()):
+                found = (score[end + 1 - n] + s, -count[end + 1 - n] - 1)
+                best = found if best is None or found > best else best
+            if c not in self.scores:
+                n = len(c.encode("utf-8", "surrogatepass"))
+                found = (score[end] + n * self.by_byte, -count[end] - n)
+                best = found if best is None or found > best else best
+            score.append(best[0])
+            count.append(-best[1])
+            if end < LONGEST:
+                child[node, c] = len(self.score)
+                node = len(self.score)
+                self.score.append(best[0])
+                self.count.append(-best[1])
+        return count[-1]
+
+    def _learn(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of pieces of each word, as a string of that one number."""
+        found = np.ones(len(words), np.int64)
+        for i, w in enumerate(words.cast(pa.string()).to_pylist()):
+            if len(self.score) > MOST_NODES:
+                self.clear()
+            found[i] = self.insert(SPACE + w)
+        return found, np.ones(len(words), np.int64)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens and tokens of each text; a null text is empty."""
+        texts = texts.fill_null("")
+        pretokens, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        wide = np.asarray(pc.match_substring_regex(texts, _WIDE_SPACE))
+        for i in np.flatnonzero(wide).tolist():
+            words = texts[i].as_py().split()
+            pretokens[i], tokens[i] = len(words), self._pieces(pa.array(words, pa.string()).cast(pa.binary())).sum()
+        plain = np.flatnonzero(~wide)
+        x, offsets = _words.bytes_of(texts.take(pa.array(plain)))
+        for part, mine, begins in _words.stretches(x, offsets, STRETCH):
+            at, kind, first, runs, _ = _words.runs_of((_words.CLASSES[part] != _words.SPACE).astype(np.uint8), begins)
+            if len(first):
+                bounds = np.append(at, len(part))
+                words = _words.strings(part, bounds).take(pa.array(first))
+                pretokens[plain[mine]] += _words.per_text(np.ones(len(first), np.int64), at[first], begins)
+                tokens[plain[mine]] += _words.per_text(self._pieces(words), at[first], begins)
+        return pretokens, tokens
+
+    def _pieces(self, words: pa.BinaryArray) -> np.ndarray:
+        """The number of pieces of each word; long ones aren't remembered."""
+        short, out = np.asarray(pc.less_equal(pc.binary_length(words), LONGEST)), np.empty(len(words), np.int64)
+        coded = words.filter(pa.array(short)).dictionary_encode()
+        at = self.known.places(coded.dictionary, self._learn)[np.asarray(coded.indices)]
+        out[short] = self.known.ids[self.known.starts[at]]
+        out[~short] = self._learn(words.filter(pa.array(~short)))[0]
+        return out
 
 
 _tries: dict[str, Trie] = {}
@@ -111,9 +155,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _shared.slices(whole):
-                found = trie(path).counts(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["doc_id", "n_pretokens", "n_tokens"])
+            for b in _shared.slices(whole, rows=whole.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, trie(path).counts(b.column(1)))], ["doc_id", "n_pretokens", "n_tokens"])
 
     return _shared.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
