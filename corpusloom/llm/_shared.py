@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,33 +11,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and text bytes that a Python worker handles at once.
-SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            root = own.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from ..storage import materialize, shared_root, work_dir
 
+__all__ = ["filesystem", "materialize", "read_table", "shared_root", "shuffle_partitions", "slices", "spread", "texts_of", "work_dir", "write_json", "write_whole"]
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and text bytes that a Python worker handles at once.
+SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -8,8 +8,8 @@ candidates; the pattern then runs over the whole texts of these alone.  A rule
 without mandatory trigrams runs over every text.
 
 Postings carry a hash of doc_id and text instead of the text, so building and
-intersecting the index moves little; each text moves once, when candidates are
-joined back to it.  Should two rows share a hash, both get the trigrams of both,
+intersecting the index moves little.  Candidates are written and counted, and
+broadcast to the texts while they fit; beyond that texts are shuffled to them.  Should two rows share a hash, both get the trigrams of both,
 which only adds candidates.
 
 Defined results: a null text is empty and has no secrets; null or repeated
@@ -32,6 +32,8 @@ from . import _shared
 
 #: More alternatives than these aren't spelled out in a trigram query.
 MOST_STRINGS = 64
+#: Bytes of candidates that are broadcast, and those of one with what a hash table adds.
+MOST_BROADCAST, ROW_BYTES = 64_000_000, 64
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,10 @@ def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if queries:
         trigrams = sorted(set().union(*(q.trigrams() for q in queries.values())))
         may = candidates(trigram_index(rows, trigrams), queries)
-        rows = rows.join(may.hint("shuffle_hash"), "row_key", "left")
+        # Written first: it is counted, and beyond a broadcast both sides of the join are plain exchanges, whose large partitions Spark splits.
+        may = _shared.materialize(may.where(reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in queries))), "candidates")
+        few = may.count() * ROW_BYTES <= MOST_BROADCAST
+        rows = rows.join(F.broadcast(may) if few else may.hint("shuffle_hash"), "row_key", "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
     each = []
     for no, rule in enumerate(rules):
