@@ -3,8 +3,9 @@
 A source's repetition rate is its share of the wanted rows divided by its own
 rows.  Each document draws a uniform number from a hash of the seed and its id,
 and the inverted Poisson distribution with that rate as its mean gives its
-number of copies, which may be none.  Each copy then draws a 60-bit key that is
-its place in the global shuffle; `position` is the rank of that key.
+number of copies, which may be none.  Each copy then draws a 60-bit key, by its
+number, its id and its text, that is its place in the global shuffle; `position`
+is the rank of that key.  Rows of one id, or of none, are thus spread by their texts.
 
 Large rates are drawn in parts of ``PART`` at most, whose counts are summed, as
 sums of Poisson numbers are Poisson numbers.  The rates are a row per source;
@@ -83,7 +84,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
 
     def copies(columns: list[Column]) -> DataFrame:
         who = F.coalesce(docs[id_col].cast("string"), F.md5(docs[text_col].cast("binary")), F.lit(""))
-        keyed = docs.select(*columns, who.alias("mix_who"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("mix_source"))
+        hashed = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))
+        keyed = docs.select(*columns, who.alias("mix_who"), hashed.alias("mix_text"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("mix_source"))
         keyed = keyed.join(F.broadcast(rates) if few else rates, "mix_source")
         seeded = F.lit(str(seed))
 
@@ -94,7 +96,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
         count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + drawn(part))
         keyed = keyed.withColumn("mix_count", count).where("mix_count > 0")
         keyed = keyed.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-        key = _hash_bits(_KEY_BITS, seeded, F.lit("place"), F.col("replica").cast("string"), F.col("mix_who"))
+        key = _hash_bits(_KEY_BITS, seeded, F.lit("place"), F.col("replica").cast("string"), F.col("mix_who"), F.col("mix_text"))
         ranges = RANGES * _shared.shuffle_partitions(spark)
         keyed = keyed.withColumn("mix_key", key)
         half = _KEY_BITS // 2
@@ -131,5 +133,5 @@ u AS (SELECT d.*, j, CAST(CAST('0x' || substr(md5('{SEED}|count|' || j || '|' ||
 c AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.who, count(*) AS copies
   FROM u JOIN f ON f.src = u.src AND f.c <= u.u GROUP BY ALL),
 e AS (SELECT *, CAST(unnest(range(1, copies + 1)) AS INT) AS replica FROM c),
-h AS (SELECT *, CAST('0x' || substr(md5('{SEED}|place|' || replica || '|' || who), 1, 15) AS BIGINT) AS key FROM e)
+h AS (SELECT *, CAST('0x' || substr(md5('{SEED}|place|' || replica || '|' || who || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM e)
 SELECT doc_id, text, lang, source, n_chars, replica, row_number() OVER (ORDER BY key, who, replica, text) AS position FROM h"""
