@@ -9,7 +9,7 @@ from functools import reduce
 from string import Formatter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,14 +84,23 @@ def word_shingles(words: Column, width: int) -> Column:
     return bind(words, cut)
 
 
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
+def words_hash(hashes: Column) -> Column:
+    """The hash of a run of words, of the hashes of these."""
+    return F.xxhash64(hashes)
+
+
 def shingle_hashes(words: Column, width: int) -> Column:
     """A 64-bit hash of every run of `width` words, in order, made of the hashes of the words."""
 
     def cut(h: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(h) - (width - 1))
-        return F.when(F.size(h) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(h, i, width)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) >= width, F.transform(at, lambda i: words_hash(F.slice(h, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
-    return bind(F.transform(words, lambda w: F.xxhash64(w)), cut)
+    return bind(F.transform(words, word_hash), cut)
 
 
 def segments(c: Column, most: int) -> Column:
@@ -207,6 +216,14 @@ def until_stops(c: Column, stops: list[str]) -> Column:
     return reduce(lambda x, s: F.substring_index(x, s, 1), [s for s in stops if s], c)
 
 
+def lines_of(docs: DataFrame, most: int = 4_000, text_col: str = "text", most_documents: int | None = None) -> DataFrame:
+    """Rows (value): cleaned texts that aren't empty as lines of at most so many characters, of all documents or the first ones by row_id."""
+    rows = docs.select(clean(F.col(text_col)).alias("t"), *(["row_id"] if most_documents is not None else [])).where("t <> ''")
+    if most_documents is not None:
+        rows = rows.orderBy("row_id").limit(most_documents)
+    return rows.select(F.explode(segments(F.col("t"), most)).alias("value"))
+
+
 def number(c: Column, digits: int = 0) -> Column:
     """With thousands separators; a dash for null."""
     return F.coalesce(F.format_number(c, digits), F.lit("—"))

@@ -44,10 +44,9 @@ def index_masks(index: DataFrame) -> DataFrame:
     return index.groupBy("shingle").agg(F.bit_or(F.expr("shiftleft(1, benchmark)")).alias("mask"))
 
 
-def hashed_index(index: DataFrame, width: int = WIDTH) -> DataFrame:
+def hashed_index(index: DataFrame) -> DataFrame:
     """Distinct (benchmark, hash) of an index of shingles."""
-    one = F.element_at(X.shingle_hashes(F.split("shingle", " "), width), 1)
-    return index.select("benchmark", one.alias("hash")).distinct()
+    return index.select("benchmark", X.words_hash(F.transform(F.split("shingle", " "), X.word_hash)).alias("hash")).distinct()
 
 
 def shingle_hits(docs: DataFrame, index: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -57,7 +56,7 @@ def shingle_hits(docs: DataFrame, index: DataFrame, width: int = WIDTH, keys: tu
     index is counted and broadcast while its hashes fit; beyond that positions are
     joined by a shuffle of hashes, whose large partitions Spark splits.
     """
-    hashed = storage.materialize(hashed_index(index, width), "shingle-index")
+    hashed = storage.materialize(hashed_index(index), "shingle-index")
     small = hashed.count() * ROW_BYTES <= MOST_BROADCAST
     words = X.normalized_words(F.col("text"))
     at = docs.select(*keys, F.posexplode(X.shingle_hashes(words, width)).alias("pos", "hash"))

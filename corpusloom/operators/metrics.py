@@ -57,11 +57,33 @@ def smooth(df: DataFrame, run: str, order: str, value: str, keep: float = KEEP,
 
 
 def trailing(df: DataFrame, run: str, elapsed: str, value: str, order: str, spans: tuple[int, ...] = TRAILING) -> DataFrame:
-    """Averages over the last seconds before a run's last record; zero and missing values don't count, missing times do."""
-    latest = df.groupBy(run).agg(F.max_by(elapsed, order).alias("latest_"))
+    """Averages over the last seconds before a run's last record; zero and missing values don't count, missing times do.
+
+    Where the last record has no time, each average is that of the last sixth of the values, one at least.
+    """
+    latest = df.groupBy(run).agg(F.max(F.struct(order, F.col(elapsed).alias("at"))).alias("latest_")).select(run, F.col("latest_.at").alias("latest_"))
     near = df.join(latest, run).where((F.col(value) != 0) & F.col(value).isNotNull())
     ago = F.col("latest_") - F.coalesce(F.col(elapsed), F.col("latest_"))
-    return near.groupBy(run).agg(*(F.avg(F.when(ago <= s, F.col(value))).alias(f"avg_{s}s") for s in spans))
+    timed = near.where("latest_ IS NOT NULL").groupBy(run).agg(*(F.avg(F.when(ago <= s, F.col(value))).alias(f"avg_{s}s") for s in spans))
+    rest = near.where("latest_ IS NULL")
+    sizes = rest.groupBy(run).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 6)).alias("n_"))
+    last = rest.withColumn("k_", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(order)))).join(sizes, run).where("k_ <= n_")
+    return timed.unionByName(last.groupBy(run).agg(*(F.avg(value).alias(f"avg_{s}s") for s in spans)))
+
+
+def overview(df: DataFrame, run: str, order: str = "step") -> DataFrame:
+    """What a monitor shows of each run: its last record, progress and trailing speeds of records as a run writes them."""
+    names = [c for c in df.columns if c != run]
+    last = df.groupBy(run).agg(F.max_by(F.struct(*names), order).alias("last_")).select(run, "last_.*")
+    told = last.withColumn("progress", progress(F.coalesce("tokens_seen", F.lit(0)), F.coalesce("tokens_target", F.lit(0))))
+    return told.join(trailing(df, run, "elapsed_time", "tokens_per_sec", order), run, "left")
+
+
+def sweep(df: DataFrame, setting: str, order: str, loss: str, tokens: str) -> DataFrame:
+    """Rows (setting, tokens, records, final_loss, best): how each setting of a sweep ends; `best` are those with the least final loss."""
+    ends = df.groupBy(setting).agg(F.max_by(loss, order).alias("final_loss"), F.max(tokens).alias("tokens"), F.count("*").alias("records"))
+    least = ends.agg(F.min("final_loss").alias("least_"))
+    return ends.join(F.broadcast(least)).withColumn("best", F.col("final_loss").eqNullSafe(F.col("least_"))).drop("least_")
 
 
 def stagnation(df: DataFrame, groups: list[str], order: str, value: str, gain: float = 1.01, times: int = 2) -> DataFrame:

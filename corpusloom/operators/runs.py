@@ -43,11 +43,22 @@ def checkpoints(paths: DataFrame) -> DataFrame:
 
 
 def prunable(listed: DataFrame, keep: int) -> DataFrame:
-    """Checkpoints beyond the last ones."""
-    w = Window.orderBy(F.desc("step"))  # a row per checkpoint of a run
+    """Checkpoints beyond the last ones of each folder."""
+    w = Window.partitionBy(F.regexp_extract("path", "^(.*?)/?[^/]+/?$", 1)).orderBy(F.desc("step"))
     return listed.withColumn("n_", F.row_number().over(w)).where(F.col("n_") > keep).drop("n_")
 
 
+def register(run_ids: DataFrame, parts: dict[str, DataFrame], checkpoints: DataFrame, selected: str) -> DataFrame:
+    """Every run with what there is of it: a struct for each of the parts (run_id and more), its checkpoints (run_id, path), and whether it is the selected one."""
+    out = run_ids.select("run_id").distinct()
+    for name, part in parts.items():
+        others = [c for c in part.columns if c != "run_id"]
+        out = out.join(part.select("run_id", F.struct(*others).alias(name)), "run_id", "left")
+    kept = checkpoints.groupBy("run_id").agg(F.array_sort(F.collect_list("path")).alias("checkpoints"))
+    none = F.array().cast("array<string>")
+    return out.join(kept, "run_id", "left").withColumn("checkpoints", F.coalesce("checkpoints", none)).withColumn("selected", F.col("run_id") == selected)
+
+
 def stacked(parts: list[DataFrame]) -> DataFrame:
     """Rows of several tables under the union of their columns."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ def id_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for b in parts:
-            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(groups))), strict=True))
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(groups))), strict=True)) or [()] * b.num_rows
             for key in dict.fromkeys(keys):
                 mine = b.column(len(groups)).filter(pa.array([k == key for k in keys]))
                 n = np.bincount(np.asarray(mine.flatten()).astype(np.int64))
@@ -32,8 +33,8 @@ def id_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
             columns = [pa.array([k] * len(at)) for k in key] + [pa.array(at, pa.int64()), pa.array(n[at], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = ", ".join(f"{g} {dict(rows.dtypes)[g]}" for g in groups)
-    counted = rows.select(*groups, "ids").mapInArrow(run, f"{kinds}, token long, n long")
+    kinds = "".join(f"{g} {dict(rows.dtypes)[g]}, " for g in groups)
+    counted = rows.select(*groups, "ids").mapInArrow(run, f"{kinds}token long, n long")
     return counted.groupBy(*groups, "token").agg(F.sum("n").alias("n"))
 
 
@@ -58,6 +59,13 @@ def top(histogram: DataFrame, n: int = 100, column: str = "token") -> DataFrame:
     return histogram.where("n > 0").orderBy(F.desc("n"), column).limit(n)
 
 
+def named_ranges(df: DataFrame, name: str, sums: list[str], beginnings: tuple[str, ...], n: int) -> DataFrame:
+    """Calls and totals of the names with one of these beginnings, the largest by the first total."""
+    mine = reduce(lambda a, b: a | b, (F.col(name).startswith(x) for x in beginnings))
+    totals = df.where(mine).groupBy(name).agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in sums))
+    return totals.orderBy(F.desc(sums[0]), name).limit(n)
+
+
 def rate(part: Column, whole: Column) -> Column:
     return part / F.greatest(whole, F.lit(1))
 

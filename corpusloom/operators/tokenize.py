@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..functions import text as X
+from .stats import id_counts
 
 #: Names that stand for the special ids.
 SPECIAL = {"pad": ("<pad>",), "unk": ("<unk>",), "bos": ("<bos>", "<s>", "<|startoftext|>"), "eos": ("<eos>", "</s>", "<|endoftext|>")}
@@ -90,3 +94,28 @@ def audit(vocabulary_rows: DataFrame, counts: DataFrame, longest: int = 32, rare
         "rare_words": (F.col("n") <= rare) & X.looks_word(text),
     }
     return v.agg(F.count_if(~learned).alias("single_bytes"), F.count_if(learned).alias("learned"), *(F.count_if(learned & c).alias(k) for k, c in found.items()))
+
+
+def sample_statistics(texts: DataFrame, path: str, most: int = 4_000) -> tuple[DataFrame, DataFrame]:
+    """Of texts (text): one row (documents, lines, chars, tokens, unknown, chars_per_token, unknown_rate) and the counts (id, n) of their ids.
+
+    Texts are cleaned, cut to lines of at most so many characters and encoded line by line, without an end mark.
+    """
+    cleaned = texts.select(X.clean(F.col("text")).alias("t")).where("t <> ''")
+    lines = cleaned.select(F.posexplode(X.segments(F.col("t"), most)).alias("k", "line")).select("k", "line", encode(F.col("line"), path, eos=False).alias("ids"))
+    lines = storage.materialize(lines.select("k", F.length("line").cast("long").alias("chars"), "ids"), "encoded-lines")
+    counts = id_counts(lines, []).withColumnRenamed("token", "id")
+    unknown = load(path).special["unk"]
+    sizes = lines.agg(F.count_if(F.col("k") == 0).alias("documents"), F.count("*").alias("lines"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("id") == (-1 if unknown is None else unknown), F.col("n"))), F.lit(0)).alias("unknown"))
+    both = sizes.join(F.broadcast(tokens))
+    return both.withColumns({"chars_per_token": F.col("chars") / F.greatest("tokens", F.lit(1)), "unknown_rate": F.col("unknown") / F.greatest("tokens", F.lit(1))}), counts
+
+
+def metadata(path: str, **more: Any) -> dict[str, Any]:
+    """What is to be kept beside a tokenizer file: kind, size, special ids, its hash, how texts are cleaned, and more."""
+    t = load(path)
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    kind = "tokenizers" if path.endswith(".json") else "sentencepiece"
+    return {"version": 1, "type": kind, "tokenizer": path, "actual_vocab_size": t.size, "special_tokens": dict(t.special), "model_sha256": digest, "text_cleanup": "NFKC; no control, format and private characters; single spaces"} | more

@@ -127,11 +127,6 @@ def placed(df: DataFrame, groups: list[str], order: list[str], place: str = "pla
     return df.withColumn("within_", within).join(sizes, [*groups, "range_"]).withColumn(place, (F.col("before_") + F.col("within_")).cast("long")).drop("range_", "within_", "before_")
 
 
-def shuffled(df: DataFrame, seed: int, columns: list[str]) -> DataFrame:
-    """A global shuffle that the seed fixes, by a range exchange on the key."""
-    return df.withColumn("shuffle_key", shuffle_key(seed, *columns)).orderBy("shuffle_key", *columns)
-
-
 def switches(first: DataFrame, column: str = "source") -> DataFrame:
     """How often the source changes over a bounded number of ordered chunks, and the first 32."""
     w = Window.orderBy("place")

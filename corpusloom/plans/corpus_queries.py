@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,12 +133,10 @@ def single_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.single(cleaned(spark, sf_dir), 0.05, 7)
 
 
-@query("SELECT source_ord, source, count(*) AS documents FROM (SELECT CAST(substr(source, 4) AS INT) AS source_ord, source FROM documents WHERE source IN ('src2', 'src1', 'src5')) GROUP BY ALL")
+@query("SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS source_ord, source, count(*) AS documents FROM documents GROUP BY source")
 def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources one after another, each with its place."""
+    """All sources one after another, each with its place."""
     d = table(spark, sf_dir, "documents").select("source")
-    one = None
-    for n in (1, 2, 5):
-        part = d.where(F.col("source") == f"src{n}").withColumn("source_ord", F.lit(n))
-        one = part if one is None else one.unionByName(part)
-    return one.groupBy("source_ord", "source").agg(F.count("*").alias("documents"))
+    names = sorted(r.source for r in d.distinct().collect())  # a row for each source
+    parts = [d.where(F.col("source") == n).withColumn("source_ord", F.lit(i)) for i, n in enumerate(names)]
+    return reduce(DataFrame.unionByName, parts).groupBy("source_ord", "source").agg(F.count("*").alias("documents"))

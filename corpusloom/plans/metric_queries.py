@@ -5,11 +5,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import metrics as M
 from ..operators import stats as A
 from ..streaming import streams as T
@@ -23,18 +22,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("run"), F.col("event_id").alias("step"), "value", (F.col("event_id") * 512).alias("tokens_seen"), (F.col("event_id") % 5000).cast("double").alias("elapsed"))
 
 
+#: A value counts 0.05 times 0.95 for each later one, the first one 1 times that; beyond 900 values that is below 1e-20.
 @query(
-    f"""WITH RECURSIVE {_RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM r WHERE step < 1000),
-s AS (SELECT run, step, k, value AS a FROM n WHERE k = 1 UNION ALL SELECT n.run, n.step, n.k, s.a * 0.95 + n.value * 0.05 FROM s JOIN n ON n.run = s.run AND n.k = s.k + 1)
-SELECT run, step, round(a + 1e-9, 6) AS smoothed FROM s"""
+    f"""WITH {_RUNS}, n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM r)
+SELECT a.run, a.step, round(sum(b.value * CASE WHEN b.k = 1 THEN 1.0 ELSE 0.05 END * pow(0.95, a.k - b.k)) + 1e-9, 6) AS smoothed FROM n a JOIN n b ON a.run = b.run AND b.k <= a.k AND b.k > a.k - 900 GROUP BY a.run, a.step"""
 )
 def smoothed_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.smooth(runs(spark, sf_dir).where("step < 1000"), "run", "step", "value").select("run", "step", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
-
-
-@query()
-def whole_smoothed_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run over all of its records; recursive SQL is too slow for that."""
+    """Every run over all of its records."""
     return M.smooth(runs(spark, sf_dir), "run", "step", "value").select("run", "step", F.round(F.col("smoothed") + 1e-9, 6).alias("smoothed"))
 
 
@@ -62,18 +56,10 @@ def checkpoint_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.milestones(runs(spark, sf_dir), "run", "step", "tokens_seen", 100_000).select("run", "step", "milestone")
 
 
-@query(
-    f"""WITH {_RUNS} SELECT step, round(CASE WHEN tokens_seen < 200000 THEN 0.003 * tokens_seen / 200000 ELSE 0.0003 + 0.0027 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (tokens_seen - 200000) / 1800000)))) END, 9) AS rate FROM r WHERE step % 10 = 0"""
-)
-def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = M.learning_rate(F.col("tokens_seen"), 0.003, 0.0003, 200_000, 2_000_000)
-    return runs(spark, sf_dir).where("step % 10 = 0").select("step", F.round(rate, 9).alias("rate"))
-
-
 @query(
     f"""WITH {_RUNS} SELECT step, round(CASE WHEN tokens_seen < 200000 THEN 0.003 * tokens_seen / 200000 ELSE 0.0003 + 0.0027 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (tokens_seen - 200000) / 1800000)))) END, 9) AS rate FROM r"""
 )
-def whole_learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of every record."""
     rate = M.learning_rate(F.col("tokens_seen"), 0.003, 0.0003, 200_000, 2_000_000)
     return runs(spark, sf_dir).select("step", F.round(rate, 9).alias("rate"))
@@ -103,6 +89,32 @@ def best_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.best(runs(spark, sf_dir), ["run"], "value", ["step"]).select("run", "step", "value")
 
 
+@query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events WHERE event_type LIKE 'c%' OR event_type LIKE 'p%' GROUP BY event_type ORDER BY total DESC, event_type LIMIT 50")
+def named_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the events whose names have one of two beginnings, the largest first."""
+    r = A.named_ranges(table(spark, sf_dir, "events"), "event_type", ["value"], ("c", "p"), 50)
+    return r.select("event_type", "calls", F.round("value", 4).alias("total"))
+
+
+@query(f"WITH {_RUNS}, l AS (SELECT run, max(step) AS step, max(tokens_seen) AS tokens, count(*) AS records FROM r GROUP BY run) SELECT run * CAST(0.0001 AS DOUBLE) AS learning_rate, tokens, records, value AS final_loss, value = min(value) OVER () AS best FROM l JOIN r USING (run, step)")
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep of learning rates: the last record of each run, and which run ends with the least loss."""
+    r = runs(spark, sf_dir).withColumn("learning_rate", F.col("run") * 0.0001)
+    return M.sweep(r, "learning_rate", "step", "value", "tokens_seen").select("learning_rate", "tokens", "records", "final_loss", "best")
+
+
+@query(
+    f"""WITH {_RUNS}, l AS (SELECT run, max(step) AS step, arg_max(value, step) AS loss, arg_max(tokens_seen, step) AS seen, arg_max(elapsed, step) AS latest FROM r GROUP BY run)
+SELECT l.run, l.step, loss, seen, round(100.0 * seen / 4000000, 6) AS progress, round(avg(value) FILTER (latest - elapsed <= 60 AND value <> 0), 6) AS avg_60s, round(avg(value) FILTER (latest - elapsed <= 300 AND value <> 0), 6) AS avg_300s,
+  round(avg(value) FILTER (latest - elapsed <= 1800 AND value <> 0), 6) AS avg_1800s FROM l JOIN r ON r.run = l.run GROUP BY ALL"""
+)
+def run_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a monitor shows of each run: its last record, progress and trailing speeds."""
+    r = runs(spark, sf_dir).select("run", "step", F.col("value").alias("train_loss"), F.col("value").alias("tokens_per_sec"), "tokens_seen", F.lit(4_000_000).alias("tokens_target"), F.col("elapsed").alias("elapsed_time"))
+    m = M.overview(r, "run")
+    return m.select("run", "step", F.col("train_loss").alias("loss"), F.col("tokens_seen").alias("seen"), F.round("progress", 6).alias("progress"), *(F.round(f"avg_{x}s", 6).alias(f"avg_{x}s") for x in M.TRAILING))
+
+
 @query("SELECT event_type, round(avg(value), 6) AS mean, max(value) AS most, round(sum(value), 4) AS total FROM events GROUP BY event_type ORDER BY total DESC, event_type LIMIT 50")
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.round(F.sum("value"), 4).alias("total"))
@@ -178,10 +190,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    import uuid
-
-    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return T.run_once(stream, f"{name}_{uuid.uuid4().hex}", f"{root}/stream-{uuid.uuid4().hex}", mode)
+    return T.run_once(stream, storage.work_dir(stream.sparkSession, f"stream-{name}"), mode)
 
 
 @query(f"WITH {S.CLEAN} SELECT DISTINCT source, sha256(text) AS digest FROM c WHERE text <> ''")
@@ -190,10 +199,12 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(T.first_copies(rows, ["source"]), "dedup").where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).select("source", "digest")
 
 
-@query("WITH q AS (SELECT source, doc_id AS row_id, n_chars AS n_tokens, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS b FROM documents WHERE source IN ('src1', 'src2')) SELECT source, row_id, n_tokens, CAST(least(n_tokens, 20000 - b) AS BIGINT) AS take FROM q WHERE b < 20000")
+@query("WITH q AS (SELECT source, doc_id AS row_id, n_chars AS n_tokens, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS b FROM documents) SELECT source, row_id, n_tokens, CAST(least(n_tokens, 20000 - b) AS BIGINT) AS take FROM q WHERE b < 20000")
 def streamed_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"), F.col("n_chars").alias("n_tokens")).where("source IN ('src1', 'src2')")
-    return _once(T.quota(rows, {"src1": 20_000, "src2": 20_000}), "quota")
+    """A budget for every source, filled in the order of the stream."""
+    rows = _stream(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"), F.col("n_chars").alias("n_tokens"))
+    sources = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]  # a row for each source
+    return _once(T.quota(rows, dict.fromkeys(sources, 20_000)), "quota")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import corpus as C
+from ..spec import scaled_budget, val_target
 from . import sql as S
 from .registry import query, table
 
@@ -55,14 +57,17 @@ def text_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH q AS (SELECT conv_id, max(text) FILTER (role = 'user') AS question, max(text) FILTER (role = 'assistant') AS response FROM conversations WHERE turn < 2 GROUP BY conv_id)
-SELECT conv_id, CASE WHEN nullif({S.strip("question")}, '') IS NOT NULL AND nullif({S.strip("response")}, '') IS NOT NULL
+    f"""WITH q AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS response FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user')
+SELECT conv_id, turn, CASE WHEN nullif({S.strip("question")}, '') IS NOT NULL AND nullif({S.strip("response")}, '') IS NOT NULL
   THEN {S.strip("'Question: ' || " + S.strip("question") + " || chr(10) || 'Answer: ' || " + S.strip("response"))} END AS text FROM q"""
 )
 def template_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("turn < 2")
-    q = turns.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("response"))
-    return q.select("conv_id", X.render("Question: {question}\nAnswer: {response}", {"question": q["question"], "response": q["response"]}).alias("text"))
+    """Every question with the answer that follows it."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    q = asked.join(answers, ["conv_id", "turn"], "left")
+    return q.select("conv_id", "turn", X.render("Question: {question}\nAnswer: {response}", {"question": q["question"], "response": q["response"]}).alias("text"))
 
 
 @query("SELECT DISTINCT source, lower(regexp_replace(regexp_replace('Set ' || source || ' / é', '[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents")
@@ -75,9 +80,9 @@ def source_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT source, CAST(greatest(2, round_even(sum(n_chars) * 0.125, 0)) AS BIGINT) AS budget, CAST(round_even(sum(n_chars) * 0.005, 0) AS BIGINT) AS val_budget FROM documents GROUP BY source"""
 )
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.sum("n_chars").cast("double")
-    half_even = lambda c: F.rint(c).cast("long")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.greatest(F.lit(2), half_even(total * 0.125)).alias("budget"), half_even(total * 0.005).alias("val_budget"))
+    """Scaled budgets of every source, by the library's own rounding."""
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).collect()  # a row for each source
+    return spark.createDataFrame([(r.source, scaled_budget(r.n, 0.125), val_target(r.n, 0.005)) for r in sums], "source string, budget long, val_budget long")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -162,6 +167,15 @@ def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.when(X.mostly_ascii_letters(F.col("t")), "en_like").otherwise("other_or_mixed").alias("kind")).agg(F.count("*").alias("documents"))
 
 
+@query(f"SELECT text, count(*) AS n FROM (SELECT substr(t, i * 500 + 1, 500) AS text FROM (SELECT t, unnest(range(0, (length(t) - 1) // 500 + 1)) AS i FROM (SELECT {S.clean('text')} AS t FROM documents) WHERE t <> '')) GROUP BY text")
+def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as lines of at most 500 characters, written as text files and read back."""
+    folder = storage.work_dir(spark, "lines")
+    written = X.lines_of(table(spark, sf_dir, "documents"), 500)
+    written.write.text(folder)
+    return spark.read.text(folder).groupBy(F.col("value").alias("text")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100")
 def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").orderBy("doc_id").limit(100).select("doc_id", "text")

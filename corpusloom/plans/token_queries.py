@@ -65,9 +65,18 @@ def source_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SHARDS} SELECT epoch, source, shard_index, row_number() OVER (PARTITION BY epoch ORDER BY md5((1337 + epoch) || '|' || source || '|' || shard_index)) AS place FROM sh, range(0, 2) e(epoch) WHERE split = 'train'")
 def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shards(spark, sf_dir).where("split = 'train'").select("source", "shard_index")
-    each = [K.first_shuffled(s, 1337 + e, ["source", "shard_index"], 1_000_000).withColumn("epoch", F.lit(e).cast("long")) for e in (0, 1)]
-    return each[0].unionByName(each[1]).select("epoch", "source", "shard_index", F.col("place").cast("long").alias("place"))
+    """The order of all train shards in two epochs."""
+    s = shards(spark, sf_dir).where("split = 'train'").select("source", "shard_index", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("epoch"))
+    keyed = s.withColumn("key", F.md5(F.concat_ws("|", (F.col("epoch") + 1337).cast("string"), "source", F.col("shard_index").cast("string")).cast("binary")))
+    return K.placed(keyed, ["epoch"], ["key", "source", "shard_index"]).select("epoch", "source", "shard_index", "place")
+
+
+@query(f"WITH {_CHUNKS} SELECT source, shard_index, \"offset\", token_count, row_number() OVER (ORDER BY {_KEY}) AS place FROM ch WHERE split = 'train'")
+def chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every train chunk in the global shuffle."""
+    c = chunks(spark, sf_dir).where("split = 'train'")
+    keyed = c.withColumn("key", K.shuffle_key(1337, "source", "shard_index", "offset"))
+    return K.placed(keyed, [], ["key", "source", "shard_index", "offset"]).select("source", "shard_index", "offset", "token_count", "place")
 
 
 _STREAM = "st AS (SELECT i AS pos, CAST((i * 1103515245 + 7) % 16384 AS INT) AS token FROM range(0, 5000) r(i))"
@@ -78,16 +87,6 @@ def synthetic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.synthetic(spark, 5000, 16384, 7)
 
 
-@query(
-    f"""WITH {_STREAM}, n AS (SELECT *, coalesce(lead(token) OVER (ORDER BY pos), (SELECT token FROM st WHERE pos = 0)) AS target FROM st)
-SELECT pos // 128 AS batch, pos % 128 // 32 AS row, string_agg(token, ',' ORDER BY pos) AS inputs, string_agg(target, ',' ORDER BY pos) AS targets FROM n GROUP BY ALL HAVING count(*) = 32"""
-)
-def packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = K.batches(R.synthetic(spark, 5000, 16384, 7), 4, 32)
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return b.select("batch", "row", text("inputs"), text("targets"))
-
-
 _IDS = "t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)"
 
 
@@ -144,12 +143,6 @@ def average_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.sum(n).alias("tokens"), F.round(A.rate(F.sum(n), F.count("*")), 6).alias("average"))
 
 
-@query(f"WITH {_STREAM} SELECT pos // 1000 AS shard, min(token) AS least, max(token) AS most, count(*) FILTER (token = 3) AS ends, count(*) AS tokens FROM st GROUP BY 1")
-def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.synthetic(spark, 5000, 16384, 7).groupBy(F.floor(F.col("pos") / 1000).alias("shard"))
-    return s.agg(F.min("token").alias("least"), F.max("token").alias("most"), F.count_if(F.col("token") == 3).alias("ends"), F.count("*").alias("tokens"))
-
-
 @query(
     f"""WITH {S.CLEAN}, k AS (SELECT text FROM c WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20)
 SELECT count(*) AS documents, CAST(sum((length(text) - 1) // 1000 + 1) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum({S.TOKENS}) AS BIGINT) AS tokens, round(sum(length(text)) / greatest(sum({S.TOKENS}), 1), 6) AS chars_per_token, bool_and(strlen(text) > 0) AS passed FROM k"""
@@ -170,18 +163,8 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {_WORDS}, f AS (SELECT token, count(*) AS n FROM tw WHERE source = 'src1' GROUP BY token), v AS (SELECT DISTINCT token FROM tw WHERE source IN ('src1', 'src2'))
-SELECT token, coalesce(n, 0) AS n FROM v LEFT JOIN f USING (token)"""
-)
-def vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = word_tokens(spark, sf_dir)
-    seen = A.frequency(w.where("source = 'src1'"))
-    return w.where("source IN ('src1', 'src2')").select("token").distinct().join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query(f"WITH {_WORDS}, f AS (SELECT token, count(*) AS n FROM tw GROUP BY token), v AS (SELECT DISTINCT token FROM tw) SELECT token, coalesce(n, 0) AS n FROM v LEFT JOIN f USING (token)")
-def whole_vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of all documents with its frequencies over all sources."""
     w = word_tokens(spark, sf_dir)
     return A.counted(w, A.frequency(w))
@@ -192,14 +175,8 @@ def assembly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark, sf_dir).groupBy("split").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("shards")).withColumn("within", F.col("tokens") <= 66000)
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'both' END AS status FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id")
-def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return V.reconcile(listed, table(spark, sf_dir, "labels"), "doc_id")
-
-
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'both' END AS status FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id")
-def whole_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with all labels."""
     return V.reconcile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
@@ -209,15 +186,8 @@ def listed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.repeated(table(spark, sf_dir, "documents"), ["text"])
 
 
-@query("SELECT o_custkey, count(*) AS orders FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey GROUP BY 1")
-def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    return V.unmatched(o, c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))
-
-
 @query("SELECT o_custkey, count(*) AS orders FROM orders ANTI JOIN (SELECT c_custkey FROM customer) ON o_custkey = c_custkey GROUP BY 1")
-def whole_unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer doesn't exist; none on clean tables."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return V.unmatched(table(spark, sf_dir, "orders"), c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))
@@ -233,7 +203,7 @@ def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_CORPUS} SELECT pos // 1000 AS shard, min(token) AS least, max(token) AS most, count(*) FILTER (token = 3) AS ends, count(*) AS tokens FROM st GROUP BY 1")
-def corpus_shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.scanned(corpus_ids(spark, sf_dir), 1000, 3)
 
 
@@ -241,7 +211,7 @@ def corpus_shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_CORPUS}, n AS (SELECT *, coalesce(lead(token) OVER (ORDER BY pos), (SELECT token FROM st WHERE pos = 0)) AS target FROM st)
 SELECT pos // 128 AS batch, pos % 128 // 32 AS row, string_agg(token, ',' ORDER BY pos) AS inputs, string_agg(target, ',' ORDER BY pos) AS targets FROM n GROUP BY ALL HAVING count(*) = 32"""
 )
-def corpus_packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = K.packed(corpus_ids(spark, sf_dir), 4, 32)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return b.select("batch", "row", text("inputs"), text("targets"))

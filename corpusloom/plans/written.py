@@ -30,7 +30,7 @@ from ..operators import verify as V
 from ..operators.runs import canonical_hash
 from ..sources import readers as R
 from ..sources import shard_files as B
-from ..spec import Source
+from ..spec import Assembly, Source
 from . import prepare as P
 
 SHARD_TOKENS, CHUNK_TOKENS, SEED = 4_194_304, 8_192, 1337
@@ -70,8 +70,8 @@ def _write_taken(tokens: DataFrame, taken: DataFrame, encoder: Encoder, folder:
     """Write what is taken (source, row_id, split, take) as shards under prefix, by source and split; their entries."""
     pieces = K.shard_pieces(taken, ["source", "split"], shard_tokens).join(taken.select("source", "row_id", "split", "take"), ["source", "row_id", "split"])
     ids = K.truncated(F.col("ids"), F.col("take"), encoder.end)
-    fit = F.assert_true(F.coalesce(F.array_max(ids) < encoder.size, F.lit(True)) & F.coalesce(F.array_min(ids) >= 0, F.lit(True)), F.lit("an id is out of range")).isNull()
-    cut = pieces.join(tokens, ["source", "row_id"]).where(fit)
+    fit = F.coalesce(F.array_max(ids) < encoder.size, F.lit(True)) & F.coalesce(F.array_min(ids) >= 0, F.lit(True))
+    cut = V.required(pieces.join(tokens, ["source", "row_id"]), fit, "an id is out of range")
     rows = cut.select(prefix.alias("prefix"), "split", "shard_index", "shard_offset", F.slice(ids, (F.col("doc_offset") + 1).cast("int"), F.col("tokens").cast("int")).alias("ids"))
     return storage.materialize(B.write(rows, folder), "entries")
 
@@ -225,18 +225,20 @@ def taken_over(spark: SparkSession, manifest_path: str, prefix: str, folder: str
     return [{"split": "train", "path": r.path, "token_count": r["take"]} for r in sorted(done)]
 
 
-def assemble(spark: SparkSession, config: Mapping[str, Any], encoder: Encoder, folder: str, rows: Mapping[str, DataFrame] | None = None, index: DataFrame | None = None, base: str = ".") -> dict[str, Any]:
+def assemble(spark: SparkSession, config: Mapping[str, Any] | Assembly, encoder: Encoder, folder: str, rows: Mapping[str, DataFrame] | None = None, index: DataFrame | None = None, base: str = ".", width: int = C.WIDTH) -> dict[str, Any]:
     """An assembly of sources of three kinds, in its order: raw rows prepared here, sources of a manifest, and whole manifests.
 
     The train tokens must be exactly what the assembly asks for.
     """
+    if isinstance(config, Assembly):
+        config = {**config.settings, "target_train_tokens": config.target_train_tokens, "sources": list(config.sources)}
     entries: list[dict[str, Any]] = []
     records, statistics, shard_tokens = [], {}, int(config.get("shard_tokens", SHARD_TOKENS))
     for item in config["sources"]:
         name, prefix = item["name"], f"sources/{R.source_slug(item['name'])}"
         asked = item.get("token_budget", item.get("target_train_tokens"))
         if item["kind"] == "hf":
-            one = write_mix({name: rows[name]}, [Source.of(item)], index, encoder, folder, 1.0, float(config.get("val_ratio", 0.0)), int(config.get("seed", SEED)), shard_tokens)
+            one = write_mix({name: rows[name]}, [Source.of(item)], index, encoder, folder, 1.0, float(config.get("val_ratio", 0.0)), int(config.get("seed", SEED)), shard_tokens, width)
             mine = [{"split": s, **e} for s in ("train", "val") for e in one[f"{s}_shards"]]
             statistics[name], origin = one["statistics"]["source_statistics"][name], item["dataset"]
         else:

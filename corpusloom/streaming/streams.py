@@ -18,10 +18,15 @@ def metrics_tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return rows.where("r IS NOT NULL AND NOT (to_json(r) = '{}')").select("r.*")
 
 
-def first_copies(stream: DataFrame, scope: list[str], text_col: str = "text", normalize: bool = True) -> DataFrame:
-    """Each cleaned text of a scope once, whichever copy comes first."""
-    rows = stream.withColumn("digest", F.sha2(clean(F.col(text_col), normalize).cast("binary"), 256))
-    return rows.dropDuplicates([*scope, "digest"])
+def first_copies(stream: DataFrame, scope: list[str], text_col: str = "text", normalize: bool = True, time_col: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each cleaned text of a scope once, whichever copy comes first.
+
+    With a time column, copies that come within `late` of the first are left out and
+    older state is dropped; without one every digest is kept, 32 bytes a text.
+    """
+    rows = stream if time_col is None else stream.withWatermark(time_col, late)
+    rows = rows.withColumn("digest", F.sha2(clean(F.col(text_col), normalize).cast("binary"), 256))
+    return rows.dropDuplicates([*scope, "digest"]) if time_col is None else rows.dropDuplicatesWithinWatermark([*scope, "digest"])
 
 
 def quota(stream: DataFrame, budgets: dict[str, int]) -> DataFrame:
@@ -58,8 +63,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return kept.groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, through the stream, as a table in memory; for small results and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything there is now, through the stream, as a table in a shared folder with its checkpoint; run again, it goes on from there.
+
+    Rows are appended by the file sink; a complete result replaces the one before.
+    """
+    spark, rows = stream.sparkSession, f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", rows).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(rows)
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{rows}/{batch}")).start().awaitTermination()
+    last = spark.read.format("text").load(f"{folder}/state/commits").select(F.max(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).cast("long"))).first()[0]
+    return spark.read.schema(stream.schema).parquet(f"{rows}/{last}")

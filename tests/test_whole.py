@@ -36,7 +36,7 @@ def test_smoothing_in_blocks(spark):
 
 def test_whole_runs_are_smoothed(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet").select((F.col("user_id") % 7).alias("run"), "event_id", "value").orderBy("event_id").collect()
-    got = {(r.run, r.step): r.smoothed for r in QUERIES["whole_smoothed_loss"](spark, DATA).collect()}
+    got = {(r.run, r.step): r.smoothed for r in QUERIES["smoothed_loss"](spark, DATA).collect()}
     assert len(got) == len(events) > 1000
     for run in {e.run for e in events}:
         own = [e for e in events if e.run == run]
@@ -44,7 +44,7 @@ def test_whole_runs_are_smoothed(spark):
 
 
 def test_every_record_has_a_rate(spark):
-    got = {r.step: r.rate for r in QUERIES["whole_learning_rates"](spark, DATA).collect()}
+    got = {r.step: r.rate for r in QUERIES["learning_rates"](spark, DATA).collect()}
     assert set(got) == {r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect()}
     for step, rate in got.items():
         seen = step * 512
@@ -56,21 +56,21 @@ def test_every_record_has_a_rate(spark):
 def test_all_documents_are_reconciled(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (1, 2, 3, 6, 6)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i,) for i in (2, 3, 3, 9)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
-    got = sorted((r.doc_id, r.status) for r in QUERIES["whole_reconciliation"](spark, str(tmp_path)).collect())
+    got = sorted((r.doc_id, r.status) for r in QUERIES["reconciliation"](spark, str(tmp_path)).collect())
     assert got == [(1, "missing"), (2, "both"), (3, "both"), (6, "missing"), (9, "extra")]
 
 
 def test_orders_match_all_customers(spark, tmp_path):
     spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 1), (2, 3), (3, 7), (4, 7), (5, 8), (6, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = sorted((r.o_custkey, r.orders) for r in QUERIES["whole_unmatched_rows"](spark, str(tmp_path)).collect())
+    got = sorted((r.o_custkey, r.orders) for r in QUERIES["unmatched_rows"](spark, str(tmp_path)).collect())
     assert got == [(7, 2), (8, 1)]
 
 
 def test_vocabulary_of_all_sources(spark, tmp_path):
     rows = [(1, "src1", "a b a", "en"), (2, "src2", "b c", "en"), (3, "src7", "d a", "de"), (4, "src9", None, "de")]
     spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.token: r.n for r in QUERIES["whole_vocabulary_frequencies"](spark, str(tmp_path)).collect()}
+    got = {r.token: r.n for r in QUERIES["vocabulary_frequencies"](spark, str(tmp_path)).collect()}
     assert got == {"a": 3, "b": 2, "c": 1, "d": 1}
     vocabulary = spark.createDataFrame([("a",), ("z",)], "token string")
     seen = spark.createDataFrame([("a", 3), ("b", 2)], "token string, n long")
