@@ -147,17 +147,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of rows with that id the one of the smallest hash stays, and of equal rows one.
     """
-    row_hash = F.xxhash64(*(docs[c] for c in docs.columns))
-    printed = _shared.materialize(fingerprints(docs, id_col, text_col, shingle, row_hash), "fingerprints")
+    packed = docs.select(
+        docs[id_col].cast("long").alias("doc_id"),
+        docs[text_col].alias("text"),
+        F.xxhash64(*(_hashable(docs, c) for c in docs.columns)).alias("row_hash"),
+        F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"),
+    )
+    printed = _shared.materialize(fingerprints(packed, "doc_id", "text", shingle, F.col("row_hash")), "fingerprints")
     classes = _shared.materialize(_rooted(printed, most).select("fp", "root"), "classes")
     first = printed.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("kept"))
-    repeats = printed.groupBy("doc_id", "row_hash").agg(F.count("*").alias("n"))
-    kept = first.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.row_hash").alias("kept_hash"))
-    kept = kept.join(repeats, kept["doc_id"].eqNullSafe(repeats["doc_id"]) & (F.col("kept_hash") == F.col("row_hash"))).select("kept_hash", kept["doc_id"].alias("kept_id"), "n")
+    repeats = printed.groupBy(F.col("doc_id").alias("kept_id"), F.col("row_hash").alias("kept_hash")).agg(F.count("*").alias("n"))
+    kept = first.select("kept.doc_id", "kept.row_hash")
+    kept = kept.join(repeats, kept["doc_id"].eqNullSafe(repeats["kept_id"]) & (F.col("row_hash") == F.col("kept_hash"))).select("kept_id", "kept_hash", "n")
     kept = _shared.materialize(kept, "kept")
-    joined = docs.withColumn("kept_hash_", row_hash).join(kept, (F.col("kept_hash_") == F.col("kept_hash")) & docs[id_col].cast("long").eqNullSafe(F.col("kept_id")))
-    once = joined.where("n = 1").select(*(docs[c] for c in docs.columns))
-    return once.unionByName(joined.where("n > 1").select(*(docs[c] for c in docs.columns)).distinct())
+    joined = packed.join(kept, (F.col("row_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    again = joined.where("n > 1").groupBy("kept_hash", "kept_id").agg(F.first("row").alias("row")).select("row")
+    rows = joined.where("n = 1").select("row").unionByName(again)
+    return rows.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _hashable(docs: DataFrame, column: str) -> Column:
+    """The column itself, or its JSON if there are maps in it, which Spark doesn't hash."""
+    return F.to_json(F.struct(docs[column].alias("x"))) if "map<" in dict(docs.dtypes)[column] else docs[column]
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
