@@ -6,10 +6,10 @@ writes compressed archives of ``ROLL`` bytes.  Payload digests decide equality,
 and what is joined for it is (page_id, digest) alone.
 
 Reading: each archive is read back record by record, digests are checked, and
-its captures are sorted by (URL key, timestamp, page_id) into a run, a file with
+its captures are sorted by (URL key, timestamp, page_id) into runs, files with
 the first key of each block.  Runs are merged by a loser tree: groups of
 ``FAN_IN`` into longer runs while there are more than that, and at last all of
-them by ranges of the key, which samples of the runs mark off.  The parts in
+them.  Every merge goes by ranges of the key, which samples of the runs mark off.  The parts in
 order are the capture histories of all URLs.
 
 Files count once a task has returned their paths, so those of lost or repeated
@@ -30,6 +30,8 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain, islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 from . import _shared
 
 ROLL, FAN_IN, BLOCK, SAMPLES = 256_000_000, 64, 4096, 64
+#: Captures that are sorted in memory; an archive with more of them gives several runs.
+RUN = 100_000
 #: The date of captures that carry none.
 NO_DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the archive format.
@@ -274,47 +278,86 @@ def _per_row(spark: SparkSession, rows: list[tuple], schema: str, work: Callable
     return _shared.spread(spark.createDataFrame(rows, schema), len(rows)).mapInArrow(run, out)
 
 
-_RUN = "path string, captures long, sample string"
+_RUN = "place long, path string, captures long, sample string"
 
 
-def index_runs(spark: SparkSession, archives: list[str], folder: str) -> list[tuple[str, int, list[tuple]]]:
-    """Read archives back; a sorted run of captures for each."""
+@dataclass
+class Run:
+    """Sorted captures in files that follow one another, and some of their keys."""
 
-    def work(row: dict) -> Iterator[pa.RecordBatch]:
-        found = sorted((capture(row["archive"], *r) for r in records(row["archive"])), key=_key)
-        writer = RunWriter(f"{folder}/run-{uuid.uuid4().hex}.arrow")
-        for x in found:
-            writer.add(x)
-        yield pa.RecordBatch.from_pylist([writer.close()])
+    paths: list[str]
+    captures: int
+    sample: list[tuple]
 
-    return _runs(_per_row(spark, [(a,) for a in archives], "archive string", work, _RUN))
 
+def index_runs(spark: SparkSession, archives: list[str], folder: str) -> list[Run]:
+    """Read archives back; sorted runs of captures for each."""
 
-def _runs(df: DataFrame) -> list[tuple[str, int, list[tuple]]]:
-    return [(r.path, r.captures, [tuple(k) for k in json.loads(r.sample)]) for r in df.collect()]
+    def work(row: dict) -> Iterator[pa.RecordBatch]:
+        found = (capture(row["archive"], *r) for r in records(row["archive"]))
+        while some := sorted(islice(found, RUN), key=_key):
+            writer = RunWriter(f"{folder}/run-{uuid.uuid4().hex}.arrow")
+            for x in some:
+                writer.add(x)
+            yield pa.RecordBatch.from_pylist([{"place": 0, **writer.close()}])
 
+    done = _per_row(spark, [(a,) for a in archives], "archive string", work, _RUN).collect()
+    return [Run([r.path], r.captures, _sample(r.sample)) for r in done]
 
-def merge_runs(spark: SparkSession, runs: list[tuple[str, int, list[tuple]]], folder: str, parts: int) -> DataFrame:
-    """All captures in the order of their keys, as rows (part, place, capture); parts follow one another."""
-    while len(runs) > FAN_IN:
-        groups = [(json.dumps([r[0] for r in runs[i : i + FAN_IN]]),) for i in range(0, len(runs), FAN_IN)]
 
-        def work(row: dict) -> Iterator[pa.RecordBatch]:
-            writer = RunWriter(f"{folder}/run-{uuid.uuid4().hex}.arrow")
-            for x in LoserTree([read_run(p, None, None) for p in json.loads(row["runs"])]):
-                writer.add(x)
-            yield pa.RecordBatch.from_pylist([writer.close()])
+def _sample(text: str) -> list[tuple]:
+    return [tuple(k) for k in json.loads(text)]
+
 
-        runs = _runs(_per_row(spark, groups, "runs string", work, _RUN))
-    sample = sorted(k for _, _, keys in runs for k in keys)
+def key_ranges(runs: list[Run], parts: int) -> list[tuple[tuple | None, tuple | None]]:
+    """Ranges of the key that hold about as many captures each, by the samples of runs."""
+    sample = sorted(k for r in runs for k in r.sample)
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    paths = [r[0] for r in runs]
-    ranges = [(i, json.dumps([low, high])) for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True))]
+    return list(zip([None, *bounds], [*bounds, None], strict=True))
+
+
+def read_runs(runs: list[list[str]], low: tuple | None, high: tuple | None) -> Iterator[dict]:
+    """Captures of runs from low on and below high, merged by a loser tree."""
+    return iter(LoserTree([chain.from_iterable(read_run(p, low, high) for p in paths) for paths in runs]))
+
+
+def merge_level(spark: SparkSession, runs: list[Run], folder: str) -> list[Run]:
+    """Merge each FAN_IN runs to one, by ranges of the key of about RUN captures; no task merges more than a range."""
+    groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
+    rows = []
+    for g, group in enumerate(groups):
+        ranges = key_ranges(group, max(1, -(-sum(r.captures for r in group) // RUN)))
+        rows += [(g, i, json.dumps([r.paths for r in group]), json.dumps(bounds)) for i, bounds in enumerate(ranges)]
+
+    def work(row: dict) -> Iterator[pa.RecordBatch]:
+        low, high = (None if x is None else tuple(x) for x in json.loads(row["bounds"]))
+        writer = RunWriter(f"{folder}/run-{uuid.uuid4().hex}.arrow")
+        for x in read_runs(json.loads(row["runs"]), low, high):
+            writer.add(x)
+        yield pa.RecordBatch.from_pylist([{"place": row["group"] << 32 | row["range"], **writer.close()}])
+
+    out = [Run([], 0, []) for _ in groups]
+    for r in sorted(_per_row(spark, rows, "group long, range long, runs string, bounds string", work, _RUN).collect()):
+        run = out[r.place >> 32]
+        run.paths.append(r.path)
+        run.captures += r.captures
+        run.sample += _sample(r.sample)
+    for run in out:
+        run.sample = run.sample[:: max(1, len(run.sample) // SAMPLES)]
+    return out
+
+
+def merge_runs(spark: SparkSession, runs: list[Run], folder: str, parts: int) -> DataFrame:
+    """All captures in the order of their keys, as rows (part, place, capture); parts follow one another."""
+    while len(runs) > FAN_IN:
+        runs = merge_level(spark, runs, folder)
+    paths = [r.paths for r in runs]
+    ranges = [(i, json.dumps(bounds)) for i, bounds in enumerate(key_ranges(runs, parts))]
 
     def last(row: dict) -> Iterator[pa.RecordBatch]:
         low, high = (None if x is None else tuple(x) for x in json.loads(row["bounds"]))
         held, place = [], 0
-        for x in LoserTree([read_run(p, low, high) for p in paths]):
+        for x in read_runs(paths, low, high):
             held.append(x | {"part": row["part"], "place": place})
             place += 1
             if len(held) == BLOCK:
@@ -337,11 +380,18 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = 0, **colum
     if not archives:
         return spark.createDataFrame([], f"part long, place long, {CAPTURE_DDL}")
     runs = index_runs(spark, [a for a, _ in archives], folder)
-    if sum(n for _, n, _ in runs) != sum(n for _, n in archives):
+    if sum(r.captures for r in runs) != sum(n for _, n in archives):
         raise ValueError("the index doesn't hold all records")
     return merge_runs(spark, runs, folder, _shared.shuffle_partitions(spark))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive(_shared.read_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "part", "place")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five bits of the digest give a letter; 20 bits are five digits in hexadecimal.
+_BASE_32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '')"""
+SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS most FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE_32} AS payload_digest, CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < most THEN most END AS refers_to FROM m"""
