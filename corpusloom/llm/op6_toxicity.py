@@ -7,8 +7,8 @@ attention weighs the states of both directions, and a logistic unit scores the
 window.  A document's score is that of its highest window.
 
 Training takes labelled rows outside the held-out fold (crc32 of the id's digits,
-modulo 3, is 1), ``SAMPLE`` of each label at most, those with the smallest hash of
-their id.  As a label says only that some window is toxic, each epoch trains on
+modulo 3, is 1), ``SAMPLE`` of each label and ``MOST_BYTES`` of text at most, those
+with the smallest hash of their id that fit.  As a label says only that some window is toxic, each epoch trains on
 the window of a toxic document that scored highest before, and on the highest
 and a random window of the others.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-SAMPLE, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 4, 0.7, 3, 1
+SAMPLE, MOST_BYTES, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 64_000_000, 4, 0.7, 3, 1
 WINDOW, STRIDE, LONG = 32, 24, 64
 BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
 #: Passes over the sample, more of them where these are fewer than STEPS steps.  UNHEARD: the share of words that a batch shows by their n-grams alone.
@@ -262,8 +262,8 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, np.ndarray] | None:
-    """Fit on a bounded sample: `sample` rows of each label at most reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_bytes: int = MOST_BYTES) -> dict[str, np.ndarray] | None:
+    """Fit on a bounded sample: `sample` rows and half of `most_bytes` of text of each label at most reach the driver."""
     given = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     given = given.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64(F.lit("toxic"), "doc_id"))
@@ -271,7 +271,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     each = [given.where(F.col("label") == k).orderBy("draw", "doc_id").limit(sample) for k in (0, 1)]
     chosen = _shared.materialize(each[0].unionByName(each[1]), "toxic-sample")
     texts = _shared.texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("draw").alias("draw")).collect()
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("draw").alias("draw"))
+    texts = _shared.materialize(texts.withColumn("size", F.octet_length("text")), "toxic-texts")
+    held, fit_in = {0: 0, 1: 0}, []
+    for r in sorted(texts.select("draw", "doc_id", "label", "size").collect()):  # 2 * sample rows at most
+        if held[r.label] + r["size"] <= most_bytes // 2:
+            held[r.label] += r["size"]
+            fit_in.append((r.doc_id,))
+    picked = texts.sparkSession.createDataFrame(fit_in, "doc_id long")
+    rows = texts.join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r.draw, r.doc_id))
     return fit([words_of(r.text) for r in rows], np.array([r.label for r in rows]))
 

@@ -15,9 +15,12 @@ QUERIES = {
     "op8_token_counts": op8_counts.op8_token_counts,
     "op9_warc": op9_warc.op9_warc,
     "op10_nearest_neighbours": op10_neighbours.op10_nearest_neighbours,
+    "quality_rule_counts": op4_quality.quality_rule_counts,
 }
 
 SQL = {
     "op2_secret_scan": op2_secrets.SQL,
     "op3_poisson_mixing": op3_mixing.SQL,
+    "op9_warc": op9_warc.SQL,
+    "quality_rule_counts": op4_quality.SQL,
 }

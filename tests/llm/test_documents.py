@@ -82,6 +82,14 @@ def test_redaction(spark):
     assert S.redact(secret_docs(spark)).columns == ["doc_id", "text", "row_key", "may_assign"]
 
 
+def test_candidates_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    docs = secret_docs(spark)
+    few = sorted(map(str, S.find_secrets(docs).collect()))
+    monkeypatch.undo()
+    assert few == sorted(map(str, S.find_secrets(docs).collect()))
+
+
 def test_trigram_queries():
     holds = lambda q, t: all(holds(p, t) if isinstance(p, S.Query) else p in t for p in q.parts) if q.how == "all" else any(holds(p, t) if isinstance(p, S.Query) else p in t for p in q.parts)
     for pattern, yes, no in [("AKIA[A-Z]+", "akiazz", "aki"), ("foo(bar|baz)+x", "foobarbazx", "foobxr"), ("ab?cdef", "acdef", "abcxef"), ("(foo.*|zap)end", "fooxxend", "zipend")]:
@@ -94,6 +102,8 @@ def test_mixing(spark, odd_docs, no_docs):
     assert M.replicate(no_docs).count() == 0
     r = M.replicate(odd_docs, size=3.0).collect()
     assert sorted(x.position for x in r) == list(range(1, len(r) + 1))
+    alike = spark.range(400).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    assert M.replicate(alike, size=3.0).select("position").distinct().count() > 400  # rows without an id, or of one, are spread by their texts
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"), F.lit(1).alias("position"))
     n = {x["source"]: x["count"] for x in M.replicate(docs, {"hot": 1.0, "s1": 2.0, "s2": 0.0}).groupBy("source").count().collect()}
     assert set(n) == {"hot", "s1"} and abs(n["hot"] - 6667) < 400 and abs(n["s1"] - 13333) < 800
@@ -249,6 +259,62 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert T.train(df, df.select("doc_id", F.lit(0).alias("toxic"))) is None
 
 
+def plain_toxicity(p, text):
+    """One window, one step, one word after another."""
+    whole, k = 1 << 64, T.HIDDEN
+    bucket = lambda h: (h * int(T._P) * int(T._Q)) % whole >> 64 - T.BITS
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def vector(w):
+        x = b"^" + w + b"$"
+        out = p["words"][bucket(sum(c * pow(31, (len(x) - i) & 127, whole) for i, c in enumerate(x)))].astype(float)
+        grams = []
+        for n in T.NGRAMS:
+            for i in range(len(x) - n + 1):
+                g = n
+                for c in x[i : i + n]:
+                    g = (g * 257 + c) % whole
+                grams.append(p["grams"][bucket(g)].astype(float))
+        return out + np.mean(grams, axis=0)
+
+    words = [vector(w) for w in T.words_of(text)]
+    best = 0.0
+    for begin in range(0, len(words), T.STRIDE):
+        part = words[begin : begin + T.WINDOW]
+        states = []
+        for d in "fb":
+            h, row = np.zeros(k), []
+            for x in part if d == "f" else part[::-1]:
+                g, u = x @ p[f"{d}W"] + p[f"{d}b"], h @ p[f"{d}U"]
+                z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+                h = (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :]) + z * h
+                row.append(h)
+            states.append(row if d == "f" else row[::-1])
+        both = np.array([np.concatenate(x) for x in zip(*states, strict=True)])
+        a = np.exp(np.tanh(both @ p["A"]) @ p["a"])
+        best = max(best, float(sig((a / a.sum()) @ both @ p["o"] + p["c"][0])))
+        if begin + T.WINDOW >= len(words):
+            break
+    return best
+
+
+def test_toxicity_scores(spark, odd_docs, odd_rows):
+    """Batches, padding and all windows of whole texts, against a plain network."""
+    p = T.start(5)
+    p = {n: x * 3 if n in ("o", "a", "words") else x for n, x in p.items()}
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in T.score_rows(odd_docs, p).collect())
+    want = sorted((-1 if i is None else i, plain_toxicity(p, t or "")) for i, t in odd_rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 1e-4 and len({round(s, 3) for _, s in want}) > 3
+
+
+def test_toxicity_learns_from_bounded_texts(spark):
+    rows = [(i, " ".join(["blarg" if i % 2 else "fine", f"w{i % 9}"] * 6) + " filler" * (20_000 if i in (3, 4) else 0), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert T.train(df, df.select("doc_id", "toxic"), most_bytes=20_000) is not None
+    assert T.train(df, df.select("doc_id", "toxic"), most_bytes=200) is None
+
+
 def test_toxicity_gradients():
     w = T.Words([[b"abc", b"defg", b"xyzw"], [b"abc"]])
     rows, _ = T.windows(w.ids)
@@ -321,6 +387,9 @@ def test_near_duplicates(spark):
     assert len(set(want.values())) < len(want)
     kept = D.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+    clashing = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("n", "kept_hash", "kept_id", "kept_hash_", "row", "row_hash", "fp", "c0"))), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    again = D.keep_one(clashing.unionAll(clashing))
+    assert sorted(r.doc_id for r in again.collect()) == sorted(set(want.values())) and again.columns == clashing.columns
     assert D.near_duplicates(docs.limit(0)).count() == 0 and D.keep_one(docs.limit(0)).count() == 0
 
 
