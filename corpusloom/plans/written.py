@@ -4,8 +4,9 @@ A manifest is a JSON object with `train_shards` and `val_shards`, lists of path
 (under the manifest's folder) and token_count, totals, the tokenizer and its hash,
 and what the preparation reports.  The driver holds a row for each shard and source.
 
-Files get names that follow from their place, and the manifest is written last;
-`done` sources of an earlier, broken run are taken over if their shards are whole.
+Files get names that follow from their place, and the manifest is written last, so
+a preparation that broke off can simply be run again; an assembly takes over the
+sources that it had finished, if their shards are whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from ..operators import tokenize as Z
 from ..operators import tokens as K
 from ..operators import verify as V
 from ..operators.runs import canonical_hash
+from ..sources import progress as G
 from ..sources import readers as R
 from ..sources import shard_files as B
 from ..spec import Assembly, Source
@@ -232,21 +234,27 @@ def assemble(spark: SparkSession, config: Mapping[str, Any] | Assembly, encoder:
     """
     if isinstance(config, Assembly):
         config = {**config.settings, "target_train_tokens": config.target_train_tokens, "sources": list(config.sources)}
+    done = G.Progress.load(f"{folder}/progress.json", {"assembly": dict(config), "tokenizer": encoder.digest})
     entries: list[dict[str, Any]] = []
     records, statistics, shard_tokens = [], {}, int(config.get("shard_tokens", SHARD_TOKENS))
     for item in config["sources"]:
         name, prefix = item["name"], f"sources/{R.source_slug(item['name'])}"
         asked = item.get("token_budget", item.get("target_train_tokens"))
-        if item["kind"] == "hf":
+        if name in done.done and _whole(spark, folder, done.done[name]["entries"]):
+            mine, origin = done.done[name]["entries"], done.done[name]["provenance"]
+        elif item["kind"] == "hf":
             one = write_mix({name: rows[name]}, [Source.of(item)], index, encoder, folder, 1.0, float(config.get("val_ratio", 0.0)), int(config.get("seed", SEED)), shard_tokens, width)
             mine = [{"split": s, **e} for s in ("train", "val") for e in one[f"{s}_shards"]]
-            statistics[name], origin = one["statistics"]["source_statistics"][name], item["dataset"]
+            told, origin = one["statistics"]["source_statistics"][name], item["dataset"]
+            done.finish(name, {"entries": mine, "provenance": origin, "statistics": told})
         else:
             origin = item["manifest"] if item["manifest"].startswith("/") or "://" in item["manifest"] else f"{base}/{item['manifest']}"
             source = item["source_name"] if item["kind"] == "existing_source" else None
             mine = taken_over(spark, origin, prefix, folder, None if asked is None else int(asked), source)
             if B.read_json(origin)["tokenizer_hash"] != encoder.digest:
                 raise ValueError(f"{origin} is of another tokenizer")
+            done.finish(name, {"entries": mine, "provenance": origin, "statistics": {}})
+        statistics[name] = done.done[name]["statistics"]
         counts = {s: sum(e["token_count"] for e in mine if e["split"] == s) for s in ("train", "val")}
         records.append({"name": name, "kind": item["kind"], "category": item.get("category"), "declared_train_tokens": asked, "actual_train_tokens": counts["train"], "actual_val_tokens": counts["val"], "provenance": origin})
         entries += mine
@@ -261,6 +269,12 @@ def assemble(spark: SparkSession, config: Mapping[str, Any] | Assembly, encoder:
     return out
 
 
+def _whole(spark: SparkSession, folder: str, entries: list[dict[str, Any]]) -> bool:
+    """Whether all shards of the entries are there, of the right size."""
+    listed = spark.createDataFrame([(e["path"], e["token_count"]) for e in entries], "path string, token_count long")
+    return G.broken(listed, B.sizes(spark, folder)).isEmpty()
+
+
 def record_of(manifest_path: str, name: str) -> dict[str, Any]:
     """What a manifest says of one source; an error unless it lists it once."""
     found = [s for s in B.read_json(manifest_path).get("sources", []) if s["name"] == name]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.runs import canonical_hash
-from .shard_files import write_json
+from .shard_files import exists, read_json, write_json
 
 
 @dataclass
@@ -25,9 +23,8 @@ class Progress:
     @classmethod
     def load(cls, path: str, configuration: dict[str, Any]) -> Progress:
         p = cls(path, configuration)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                raw = json.load(f)
+        if exists(path):
+            raw = read_json(path)
             if raw["configuration"] != canonical_hash(configuration):
                 raise ValueError("the progress is that of another configuration")
             p.done = raw["done"]

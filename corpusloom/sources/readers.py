@@ -250,15 +250,16 @@ def synthetic(spark: SparkSession, n: int, vocabulary: int, seed: int, start: in
 
 
 class _Rows(InputPartition):
-    def __init__(self, start: int) -> None:
-        self.start = start
+    def __init__(self, start: int, end: int | None) -> None:
+        self.start, self.end = start, end
 
 
 class RemoteRows(DataSource):
     """A stream of rows from a remote set, resumed at a row number after a failure.
 
     Options: module (of a function open_rows(dataset, config, split, start) that
-    yields mappings), dataset, config, split, start, retries, backoff.  Errors of
+    yields mappings), dataset, config, split, start, retries, backoff.  Where `rows`
+    says how many there are, `partitions` ranges are read at once.  Errors of
     access are not tried again; waits double up to a minute.
     """
 
@@ -280,7 +281,12 @@ class _RemoteReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Rows(int(self.options.get("start", "0")))]
+        start, rows = int(self.options.get("start", "0")), self.options.get("rows")
+        if rows is None:
+            return [_Rows(start, None)]
+        n = max(1, min(int(self.options.get("partitions", "1")), int(rows) - start))
+        bounds = [start + max(0, int(rows) - start) * i // n for i in range(n + 1)]
+        return [_Rows(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def read(self, partition: _Rows) -> Iterator[tuple[int, str]]:
         import importlib
@@ -290,13 +296,15 @@ class _RemoteReader(DataSourceReader):
         o = self.options
         open_rows = importlib.import_module(o["module"]).open_rows
         at, failures = partition.start, 0
-        while True:
+        while at != partition.end:
             try:
                 for row in open_rows(o["dataset"], o.get("config"), o.get("split", "train"), at):
                     if not isinstance(row, Mapping):
                         raise TypeError("a row must be a mapping")
                     at, failures = at + 1, 0
                     yield at, json.dumps(row)
+                    if at == partition.end:
+                        return
                 return
             except TypeError:
                 raise

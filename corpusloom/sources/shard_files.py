@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -112,19 +111,17 @@ def sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_json(path: str, value: object) -> None:
     """Sorted keys, two spaces; the file appears whole or not at all."""
-    if "://" in path:
-        store, place = _filesystem(path)
-        store.create_dir(place.rpartition("/")[0], recursive=True)
-        own = f"{place}.{uuid.uuid4().hex}.tmp"
-        with store.open_output_stream(own) as out:
-            out.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode())
-        store.move(own, place)
-        return
-    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), delete=False, encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f.name, path)
+    store, place = _filesystem(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    own = f"{place}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(own) as out:
+        out.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode())
+    store.move(own, place)
+
+
+def exists(path: str) -> bool:
+    store, place = _filesystem(path)
+    return store.get_file_info(place).type != pafs.FileType.NotFound
 
 
 def read_json(path: str) -> dict:

@@ -94,6 +94,8 @@ def test_remote_documents(spark, tmp_path, monkeypatch):
     spark.sparkContext.addPyFile(str(tmp_path / "few_rows.py"))
     rows = R.remote_documents(spark, "few_rows", "set", text_field="body", max_documents=3)
     assert [(r.row_no, r.text) for r in rows.collect()] == [(1, "set 0"), (4, "set 3"), (5, "set 4")]
+    parts = R.remote_documents(spark, "few_rows", "set", text_field="body", rows="6", partitions="4")
+    assert sorted(r.row_no for r in parts.collect()) == [1, 4, 5, 6] and parts.rdd.getNumPartitions() == 4
 
 
 def test_run_files(spark, tmp_path):

@@ -94,6 +94,12 @@ def test_assembly(spark, mixed, index, tmp_path):
     source = [t for x in stored(folder, [e for e in m["train_shards"] if "/a/" in e["path"]]) for t in x]
     assert stored(tmp_path / "o", out["train_shards"][:2]) == [source[:7], source[7:12]]
     assert W.verify(spark, f"{tmp_path}/o/manifest.json", out["tokenizer_hash"])["passed"]
+    (tmp_path / "o" / out["train_shards"][0]["path"]).write_bytes(b"")  # begun again: two sources are taken over, one is not whole
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "o").rglob("*.bin")}
+    assert W.assemble(spark, config, W.Encoder.of_words(), str(tmp_path / "o"), rows, index, base=folder, width=8)["train_shards"] == out["train_shards"]
+    assert {p.parent.parent.name for p, t in before.items() if p.stat().st_mtime_ns != t} == {"part"} and stored(tmp_path / "o", out["train_shards"][:1]) == [source[:7]]
+    with pytest.raises(ValueError, match="another configuration"):
+        W.assemble(spark, {**config.settings, "target_train_tokens": 7, "sources": []}, W.Encoder.of_words(), str(tmp_path / "o"))
     with pytest.raises(ValueError, match="train tokens, not 103"):
         W.assemble(spark, {**config.settings, "target_train_tokens": 103, "sources": list(config.sources)}, W.Encoder.of_words(), str(tmp_path / "p"), rows, index, base=folder, width=8)
     with pytest.raises(ValueError, match="fewer than 1000"):
