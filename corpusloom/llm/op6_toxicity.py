@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared
+from . import _shared, _words
 
-SAMPLE, MOST_BYTES, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 64_000_000, 4, 0.7, 3, 1
+SAMPLE, MOST_BYTES, LEAST, THRESHOLD, FOLDS, HELD_OUT = 1_500, 16_000_000, 4, 0.7, 3, 1
 WINDOW, STRIDE, LONG = 32, 24, 64
+#: Bytes of texts whose words are told apart at once.
+TOGETHER = 1_000_000
 BITS, WIDTH, HIDDEN, ATTENTION, NGRAMS = 14, 16, 12, 8, (3, 4, 5)
 #: Passes over the sample, more of them where these are fewer than STEPS steps.  UNHEARD: the share of words that a batch shows by their n-grams alone.
 EPOCHS, MOST_EPOCHS, STEPS, BATCH, RATE, UNHEARD = 7, 110, 240, 128, 4e-3, 0.5
@@ -42,13 +44,56 @@ _MARKS = b".,;:!?\"'()[]{}"
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Marks at the ends of words, by byte.
+_EDGE = np.full(256, _words.OTHER, np.uint8)
+_EDGE[list(_MARKS)] = _words.MARK
+
+
 def words_of(text: str) -> list[bytes]:
+    """The words of a text, without marks at their ends; long ones in parts."""
     out = [w.strip(_MARKS) or w for w in text.lower().encode("utf-8", "replace").split()]
     if any(len(w) > LONG for w in out):
         out = [w[i : i + LONG] for w in out for i in range(0, len(w), LONG)]
     return out
 
 
+def words_in(texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+    """What `words_of` gives for many texts: for each text the places of its words among the distinct ones, and these in the order of their first places."""
+    index: dict[bytes, int] = {}
+    out: list[np.ndarray] = []
+    for part in _shared.slices(pa.RecordBatch.from_arrays([texts], ["text"]), rows=max(1, len(texts)), size=TOGETHER):
+        places, distinct = _words_together(part.column(0))
+        at = np.array([index.setdefault(w, len(index)) for w in distinct], np.int64)
+        out += [at[x] for x in places]
+    return out, list(index)
+
+
+def _words_together(texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+    """The same, all at once."""
+    x, offsets = _words.bytes_of(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()))
+    classes = np.where(_words.CLASSES[x] == _words.SPACE, _words.SPACE, _EDGE[x])
+    if not len(x):
+        return [np.empty(0, np.int64)] * len(texts), []
+    at, kind, first, runs, _ = _words.runs_of(classes, offsets[:-1])
+    if not len(first):
+        return [np.empty(0, np.int64)] * len(texts), []
+    bounds, last = np.append(at, len(x)), first + runs - 1
+    more = runs > 1  # marks at the ends go, unless there is nothing else
+    begin = bounds[first + (more & (kind[first] == _words.MARK))]
+    end = bounds[last + 1 - (more & (kind[last] == _words.MARK))]
+    owner = np.searchsorted(offsets, begin, "right") - 1
+    if (end - begin > LONG).any():
+        parts = -(-(end - begin) // LONG)
+        within = _words.ragged(np.zeros(len(parts), np.int64), parts) * LONG
+        begin, end, owner = np.repeat(begin, parts) + within, np.repeat(end, parts), np.repeat(owner, parts)
+        end = np.minimum(end, begin + LONG)
+    every = _words.strings(x, np.append(np.stack([begin, end], 1).reshape(-1), len(x)))
+    coded = every.take(pa.array(np.arange(0, 2 * len(begin), 2))).dictionary_encode()
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    place = np.asarray(coded.indices).astype(np.int64)
+    return [place[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], coded.dictionary.to_pylist()
+
+
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word; buckets of all its n-grams, one word after another; how many each word has."""
     marked = [b"^" + w + b"$" for w in words]
@@ -78,12 +123,12 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Words:
     """Distinct words of some texts with their hashes; row 0 is no word."""
 
-    def __init__(self, texts: list[list[bytes]]) -> None:
-        index: dict[bytes, int] = {}
-        self.ids = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) + 1 for t in texts]
-        self.n = len(index)
+    def __init__(self, places: list[np.ndarray], distinct: list[bytes]) -> None:
+        self.ids, self.n = [x + 1 for x in places], len(distinct)
         if self.n:
-            self.word, self.grams, self.counts = _hashes(list(index))
+            parts = [_hashes(distinct[i : i + AT_ONCE]) for i in range(0, self.n, AT_ONCE)]
+            self.word, grams, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.grams = grams.astype(np.int32)
             self.starts = np.cumsum(self.counts) - self.counts
 
     def inputs(self, p: dict[str, np.ndarray], whole: np.ndarray | float = 1.0) -> np.ndarray:
@@ -208,25 +253,25 @@ def gradients(p: dict[str, np.ndarray], words: Words, rows: np.ndarray, labels:
     return g
 
 
-def scores(p: dict[str, np.ndarray], texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+def scores(p: dict[str, np.ndarray], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
     """Of every window: its probability, text and row."""
-    words = Words(texts)
+    words = Words(*words_in(texts))
     rows, owner = windows(words.ids)
     inputs = words.inputs(p)
     found = [forward(p, inputs, rows[i : i + LANES]) for i in range(0, len(rows), LANES)]
     return np.concatenate([np.zeros(0), *found]), owner, rows, words
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[str, np.ndarray] | None:
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 11) -> dict[str, np.ndarray] | None:
     """Parameters, by Adam."""
     if min((labels == 0).sum(), (labels == 1).sum()) < LEAST:
         return None
     p, dice, step = start(seed), np.random.default_rng(seed), 0
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    words = Words(texts)
+    places, named = words_in(texts)
+    words = Words(places, named)
     rows, owner = windows(words.ids)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    named = list(dict.fromkeys(w for t in texts for w in t))
     clean = int((labels == 0).sum())
     epochs = max(EPOCHS, min(MOST_EPOCHS, -(-STEPS * BATCH // (len(texts) + clean))))
     for epoch in range(epochs):
@@ -245,7 +290,7 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 11) -> dict[st
             some = rows[picked[at : at + BATCH]]
             used, local = np.unique(some, return_inverse=True)
             used = used[used > 0]
-            part = Words([[named[j - 1] for j in used]])
+            part = Words([np.arange(len(used))], [named[j - 1] for j in used])
             small = local.reshape(some.shape) + (0 if (some == 0).any() else 1)
             heard = (dice.random((part.n, 1)) >= UNHEARD).astype(np.float32) / (1 - UNHEARD)
             g = gradients(p, part, small, labels[owner[picked[at : at + BATCH]]].astype(np.float32), heard)
@@ -281,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     picked = texts.sparkSession.createDataFrame(fit_in, "doc_id long")
     rows = texts.join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r.draw, r.doc_id))
-    return fit([words_of(r.text) for r in rows], np.array([r.label for r in rows]))
+    return fit(pa.array([r.text for r in rows], pa.string()), np.array([r.label for r in rows]))
 
 
 def score_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +337,7 @@ def score_rows(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold:
             for b in _shared.slices(whole, rows=1024, size=4_000_000):
                 top = np.zeros(b.num_rows)
                 if model is not None:
-                    found, owner, _, _ = scores(model, [words_of(t) for t in b.column(1).to_pylist()])
+                    found, owner, _, _ = scores(model, b.column(1))
                     np.maximum.at(top, owner, found)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top)], ["doc_id", "score"])
 

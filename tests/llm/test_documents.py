@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -316,7 +317,7 @@ def test_toxicity_learns_from_bounded_texts(spark):
 
 
 def test_toxicity_gradients():
-    w = T.Words([[b"abc", b"defg", b"xyzw"], [b"abc"]])
+    w = T.Words(*T.words_in(pa.array(["abc defg xyzw", "abc"])))
     rows, _ = T.windows(w.ids)
     p, labels = {k: x.astype(np.float64) for k, x in T.start().items()}, np.array([1.0, 0.0])
 
@@ -335,6 +336,15 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2 / e - g[at]) < 2e-3 * abs(g[at]) + 1e-5, name
 
 
+@pytest.mark.parametrize("together", [T.TOGETHER, 40])
+def test_toxicity_words(monkeypatch, odd_rows, together):
+    texts = [t for _, t in odd_rows] + ["(a) ... 'b' c-d, ÀÉ!", "...", "x" * 300 + " y", "\"" * 70, "", None, "İΣσς end.", "a\x1cb\x85c"]
+    monkeypatch.setattr(T, "TOGETHER", together)
+    places, distinct = T.words_in(pa.array(texts, pa.string()))
+    assert [[distinct[i] for i in p] for p in places] == [T.words_of(t or "") for t in texts] and len(set(distinct)) == len(distinct)
+    assert [len(p) for p in T.words_in(pa.array(["", None, " "], pa.string()))[0]] == [0, 0, 0] and T.words_in(pa.array([], pa.string())) == ([], [])
+
+
 def test_toxicity_windows_cover_texts():
     for n in (0, 1, 31, 32, 33, 56, 57, 200):
         rows, owner = T.windows([np.arange(1, n + 1)])
