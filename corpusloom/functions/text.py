@@ -21,8 +21,9 @@ FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if c.lower() !=
 HAN = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F))
 
 
-#: Characters below U+0300 that compatibility normalization may change; what only has others below U+0300 is normalized already.
-_UNSETTLED = "".join(f"\\x{{{c:x}}}" for c in range(0x300) if unicodedata.normalize("NFKC", chr(c)) != chr(c))
+#: Characters from U+00A0 to U+02FF that compatibility normalization leaves alone; a text of these and ASCII is normalized already.
+_STABLE = [c for c in range(0xA0, 0x300) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+_SETTLED = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip([c for c in _STABLE if c - 1 not in _STABLE], [c for c in _STABLE if c + 1 not in _STABLE], strict=True))
 
 
 @F.pandas_udf(T.StringType())
@@ -32,7 +33,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Unicode compatibility normalization; only texts that it may change go to a Python worker."""
-    unsettled = F.rlike(c, F.lit(f"[{_UNSETTLED}]|[^\\x{{0}}-\\x{{2ff}}]"))
+    unsettled = F.rlike(c, F.lit(f"[\\x{{a0}}-\\x{{10ffff}}&&[^{_SETTLED}]]"))  # a range first, which ASCII fails at once
     return F.coalesce(_nfkc(F.when(unsettled, c)), c)
 
 

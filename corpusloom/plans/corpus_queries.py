@@ -63,8 +63,8 @@ def contamination_charged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.CLEAN}, {S.UNIQUE}, {S.INDEX}, {S.hits('u')}, {S.CHARGED} SELECT doc_id, source FROM u ANTI JOIN g USING (doc_id)")
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unique = C.drop_copies(cleaned(spark, sf_dir).where("text <> ''"), ["source"])
-    return named(C.decontaminate(unique, index(spark, sf_dir)), "source")
+    d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    return named(C.dispositions(d, F.lit(True), index(spark, sf_dir)).where("disposition = 'accepted'"), "source")
 
 
 _DISPOSED = f"""a_ AS (SELECT doc_id, source, lang, nullif({S.strip("text")}, '') AS raw FROM documents),

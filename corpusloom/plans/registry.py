@@ -21,5 +21,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Bytes of a table of texts for each core below which its rows are dealt out anew: it may be one row group, which one task reads.
+SMALL = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table; a small one of texts is spread over all cores, a large one has splits enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in ("documents", "pages"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df

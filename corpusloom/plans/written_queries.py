@@ -30,7 +30,7 @@ def _words(most: int = 1_000) -> W.Encoder:
 
 def english_mix(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, Any]:
     """The flagship preparation, written: English texts of 200 characters or more of every source, up to 5,000 tokens each."""
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id").withColumnRenamed("lang", "language")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "row_id").withColumnRenamed("lang", "language")
     names = sorted(r.source for r in docs.select("source").distinct().collect())  # a row for each source
     specs = [Source(name=n, dataset="documents", token_budget=5000, filters={"language": "en"}, min_text_chars=200) for n in names]
     return W.write_mix({n: docs.where(F.col("source") == n) for n in names}, specs, Q.index(spark, sf_dir), _words(), folder, shard_tokens=SHARD, strict=False)
