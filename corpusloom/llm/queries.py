@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_tokens, op10_neighbours, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
+from . import op1_tokens, op10_neighbours, op11_runs, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": op8_counts.op8_token_counts,
     "op9_warc": op9_warc.op9_warc,
     "op10_nearest_neighbours": op10_neighbours.op10_nearest_neighbours,
+    "op11_periodic_runs": op11_runs.op11_periodic_runs,
     "quality_rule_counts": op4_quality.quality_rule_counts,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op2_secret_scan": op2_secrets.SQL,
     "op3_poisson_mixing": op3_mixing.SQL,
     "op9_warc": op9_warc.SQL,
+    "op11_periodic_runs": op11_runs.SQL,
     "quality_rule_counts": op4_quality.SQL,
 }
