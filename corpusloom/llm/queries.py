@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_tokens, op10_neighbours, op11_runs, op13_divergence, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
+from . import op1_tokens, op10_neighbours, op11_runs, op12_classifier, op13_divergence, op2_secrets, op3_mixing, op4_quality, op5_bpe, op6_toxicity, op7_simhash, op8_counts, op9_warc
 
 QUERIES = {
     "op1_token_files": op1_tokens.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": op9_warc.op9_warc,
     "op10_nearest_neighbours": op10_neighbours.op10_nearest_neighbours,
     "op11_periodic_runs": op11_runs.op11_periodic_runs,
+    "op12_quality_classifier": op12_classifier.op12_quality_classifier,
     "op13_source_divergence": op13_divergence.op13_source_divergence,
     "quality_rule_counts": op4_quality.quality_rule_counts,
 }
