@@ -18,22 +18,26 @@ from pyspark.sql import types as T
 MOST_ID = 65_535
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if re.match("[A-Za-z][A-Za-z0-9+.-]+:/", uri) else f"file://{os.path.abspath(uri)}")
 
 
-def _write_file(folder: str, name: str, ids: np.ndarray) -> None:
+def write_bytes(folder: str, name: str, data: bytes) -> None:
     """Under a name of its own first and then renamed, so that a repeated task does no harm."""
-    if len(ids) and (ids.min() < 0 or ids.max() > MOST_ID):
-        raise ValueError("an id doesn't fit 16 bits")
-    store, base = _filesystem(folder)
+    store, base = filesystem(folder)
     store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
     own = f"{base}/{name}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(own) as out:
-        out.write(ids.astype("<u2").tobytes())
+        out.write(data)
     store.move(own, f"{base}/{name}")
 
 
+def _write_file(folder: str, name: str, ids: np.ndarray) -> None:
+    if len(ids) and (ids.min() < 0 or ids.max() > MOST_ID):
+        raise ValueError("an id doesn't fit 16 bits")
+    write_bytes(folder, name, ids.astype("<u2").tobytes())
+
+
 def write(tokens: DataFrame, folder: str) -> DataFrame:
     """Write rows (split, shard_index, shard_offset, ids) as one file for each shard; rows (prefix, split, shard_index, path, token_count), to be kept in a manifest.
 
@@ -82,7 +86,7 @@ def copy(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def _load(uri: str, tokens: int) -> np.ndarray:
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     with store.open_input_stream(path) as f:
         raw = f.read()
     if len(raw) != 2 * tokens:
@@ -111,7 +115,7 @@ def sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_json(path: str, value: object) -> None:
     """Sorted keys, two spaces; the file appears whole or not at all."""
-    store, place = _filesystem(path)
+    store, place = filesystem(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
     own = f"{place}.{uuid.uuid4().hex}.tmp"
     with store.open_output_stream(own) as out:
@@ -120,17 +124,11 @@ def write_json(path: str, value: object) -> None:
 
 
 def exists(path: str) -> bool:
-    store, place = _filesystem(path)
+    store, place = filesystem(path)
     return store.get_file_info(place).type != pafs.FileType.NotFound
 
 
 def read_json(path: str) -> dict:
-    store, place = _filesystem(path)
+    store, place = filesystem(path)
     with store.open_input_stream(place) as f:
         return json.loads(f.read())
-
-
-def append_lines(path: str, record: dict) -> None:
-    """One compact JSON line."""
-    with open(path, "a", encoding="utf-8", buffering=1) as f:
-        f.write(json.dumps(record, ensure_ascii=False, separators=(",", ":")) + "\n")

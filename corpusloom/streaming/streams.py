@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import clean
+from ..sources.growing import growing_lines
 
 
-def metrics_tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Records of a folder of growing metrics files; broken lines are skipped.  Files must only grow by new files."""
-    rows = spark.readStream.text(folder).select(F.from_json("value", schema).alias("r"))
+def metrics_tail(spark: SparkSession, folder: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Records of the growing files of a folder, each once; broken lines are skipped, and a file that began anew is read from its start."""
+    rows = growing_lines(spark, folder, pattern).select(F.from_json("value", schema).alias("r"))
     return rows.where("r IS NOT NULL AND NOT (to_json(r) = '{}')").select("r.*")
 
 
