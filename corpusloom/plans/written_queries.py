@@ -15,6 +15,7 @@ from .. import storage
 from ..operators import corpus as C
 from ..operators import stats as A
 from ..sources import shard_files as B
+from ..sources.training import TokenReader
 from ..spec import Source
 from . import corpus_queries as Q
 from . import sql as S
@@ -140,3 +141,26 @@ def written_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     W.write_corpus(docs, _words(), folder, 0.05, 7, 20_000)
     return held(spark, folder, ("train", "val"))
+
+
+BATCH_ROWS, BATCH_COLUMNS = 4, 64
+
+
+@query(
+    f"""WITH {_MIXED}, sz AS (SELECT path, count(*) AS n FROM st GROUP BY path), tot AS (SELECT sum(n) AS t FROM sz),
+ep AS (SELECT e, path, sum(n) OVER (PARTITION BY e ORDER BY CAST('0x' || substr(md5((1337 + e) || '|' || path), 1, 15) AS BIGINT), path) - n AS s FROM sz, range(0, 3) x(e)),
+sp AS (SELECT CAST(e * t + s + spot AS BIGINT) AS p, id FROM st JOIN ep USING (path), tot),
+nx AS (SELECT p, id, lead(id) OVER (ORDER BY p) AS target FROM sp)
+SELECT p // {BATCH_ROWS * BATCH_COLUMNS} AS batch, p % {BATCH_ROWS * BATCH_COLUMNS} // {BATCH_COLUMNS} AS row, string_agg(id, ',' ORDER BY p) AS inputs, string_agg(target, ',' ORDER BY p) AS targets
+FROM nx, tot WHERE p < 2 * t // {BATCH_ROWS * BATCH_COLUMNS} * {BATCH_ROWS * BATCH_COLUMNS} GROUP BY ALL"""
+)
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training batches over two epochs of the mix's shards, each in its own order; a third of the way another reader goes on at the first one's state."""
+    folder = storage.work_dir(spark, "mix")
+    english_mix(spark, sf_dir, folder)
+    reader = TokenReader(spark, f"{folder}/manifest.json")
+    n = 2 * reader.total // (BATCH_ROWS * BATCH_COLUMNS)
+    some = reader.batches(n // 3, BATCH_ROWS, BATCH_COLUMNS)
+    rest = TokenReader(spark, f"{folder}/manifest.json").resume(reader.state()).batches(n - n // 3, BATCH_ROWS, BATCH_COLUMNS)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return some.unionByName(rest.withColumn("batch", F.col("batch") + n // 3)).select("batch", "row", text("inputs"), text("targets"))

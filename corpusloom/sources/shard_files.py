@@ -58,15 +58,16 @@ def write(tokens: DataFrame, folder: str) -> DataFrame:
 
 
 def cut(pieces: DataFrame) -> DataFrame:
-    """Tokens of pieces (uri, file_tokens, at, tokens, and more) of shards: rows with ids in place of these four; each shard is read once.
+    """Tokens of pieces (uri, file_tokens, at, tokens, and more) of shards: rows with ids in place of these four; of each shard the span that they cover is read once.
 
     A file whose size isn't twice its count is an error.
     """
     more = [f for f in pieces.schema.fields if f.name not in ("uri", "file_tokens", "at", "tokens")]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = _load(key[0], int(rows.file_tokens.iloc[0]))
-        rows = rows.assign(ids=[ids[a : a + n].astype(np.int32) for a, n in zip(rows["at"], rows["tokens"], strict=True)])
+        low, high = int(rows["at"].min()), int((rows["at"] + rows["tokens"]).max())
+        ids = _load(key[0], int(rows.file_tokens.iloc[0]), low, high)
+        rows = rows.assign(ids=[ids[a - low : a - low + n].astype(np.int32) for a, n in zip(rows["at"], rows["tokens"], strict=True)])
         return rows[[*(f.name for f in more), "ids"]]
 
     schema = T.StructType([*more, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -79,19 +80,19 @@ def copy(entries: DataFrame, folder: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for r in rows.itertuples():
-                _write_file(folder, r.path, _load(r.uri, r.token_count)[: r.take])
+                _write_file(folder, r.path, _load(r.uri, r.token_count, 0, r.take))
             yield rows[["path", "take"]]
 
     return entries.select("uri", "token_count", "take", "path").mapInPandas(run, "path string, take long")
 
 
-def _load(uri: str, tokens: int) -> np.ndarray:
+def _load(uri: str, tokens: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Ids [begin, end) of a shard of so many tokens; no other bytes are read."""
     store, path = filesystem(uri)
-    with store.open_input_stream(path) as f:
-        raw = f.read()
-    if len(raw) != 2 * tokens:
-        raise ValueError(f"{uri} has {len(raw)} bytes for {tokens} tokens")
-    return np.frombuffer(raw, "<u2")
+    with store.open_input_file(path) as f:
+        if f.size() != 2 * tokens:
+            raise ValueError(f"{uri} has {f.size()} bytes for {tokens} tokens")
+        return np.frombuffer(f.read_at(2 * ((tokens if end is None else end) - begin), 2 * begin), "<u2")
 
 
 def read(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
