@@ -85,25 +85,6 @@ def word_shingles(words: Column, width: int) -> Column:
     return bind(words, cut)
 
 
-def word_hash(word: Column) -> Column:
-    return F.xxhash64(word)
-
-
-def words_hash(hashes: Column) -> Column:
-    """The hash of a run of words, of the hashes of these."""
-    return F.xxhash64(hashes)
-
-
-def shingle_hashes(words: Column, width: int) -> Column:
-    """A 64-bit hash of every run of `width` words, in order, made of the hashes of the words."""
-
-    def cut(h: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(h) - (width - 1))
-        return F.when(F.size(h) >= width, F.transform(at, lambda i: words_hash(F.slice(h, i, width)))).otherwise(F.array().cast("array<bigint>"))
-
-    return bind(F.transform(words, word_hash), cut)
-
-
 def segments(c: Column, most: int) -> Column:
     """Pieces of at most so many characters; an empty text is one empty piece."""
 

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import text as X
+from . import shingles as S
 
 WIDTH, LEAST_HITS = 12, 2
-#: Bytes that a broadcast index may take, and those of one of its rows with what a hash table adds.
-MOST_BROADCAST, ROW_BYTES = 256_000_000, 64
 
 
 def digest(c: Column) -> Column:
@@ -44,23 +43,15 @@ def index_masks(index: DataFrame) -> DataFrame:
     return index.groupBy("shingle").agg(F.bit_or(F.expr("shiftleft(1, benchmark)")).alias("mask"))
 
 
-def hashed_index(index: DataFrame) -> DataFrame:
-    """Distinct (benchmark, hash) of an index of shingles."""
-    return index.select("benchmark", X.words_hash(F.transform(F.split("shingle", " "), X.word_hash)).alias("hash")).distinct()
-
-
-def shingle_hits(docs: DataFrame, index: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+def shingle_hits(docs: DataFrame, index: DataFrame | S.StoredIndex, width: int = WIDTH, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Rows (keys, pos, benchmark): positions of documents whose shingle a benchmark has, repeats counted.
 
-    Shingles are compared by 64-bit hashes, so no text and no shingle moves.  The
-    index is counted and broadcast while its hashes fit; beyond that positions are
-    joined by a shuffle of hashes, whose large partitions Spark splits.
+    The index is a stored one of this width, or rows (benchmark, shingle), which are stored first.
     """
-    hashed = storage.materialize(hashed_index(index), "shingle-index")
-    small = hashed.count() * ROW_BYTES <= MOST_BROADCAST
-    words = X.normalized_words(F.col("text"))
-    at = docs.select(*keys, F.posexplode(X.shingle_hashes(words, width)).alias("pos", "hash"))
-    return at.join(F.broadcast(hashed) if small else hashed, "hash").select(*keys, "pos", "benchmark")
+    stored = index if isinstance(index, S.StoredIndex) else S.of_shingles(index, width)
+    if stored.width != width:
+        raise ValueError(f"the index has shingles of {stored.width} words, not {width}")
+    return S.hits(docs, stored, keys)
 
 
 def beside(rows: DataFrame, more: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -81,7 +72,7 @@ def charged(hits: DataFrame, least: int = LEAST_HITS, keys: tuple[str, ...] = ("
     return reached.groupBy(*keys).agg(F.min(F.struct("pos", "benchmark")).alias("first")).select(*keys, F.col("first.benchmark").alias("benchmark"))
 
 
-def decontaminate(docs: DataFrame, index: DataFrame, width: int = WIDTH, least: int = LEAST_HITS) -> DataFrame:
+def decontaminate(docs: DataFrame, index: DataFrame | S.StoredIndex, width: int = WIDTH, least: int = LEAST_HITS) -> DataFrame:
     return docs.join(charged(shingle_hits(docs, index, width), least).select("row_id"), "row_id", "left_anti")
 
 
@@ -100,7 +91,7 @@ def staged(docs: DataFrame, passes: Column, min_chars: int | Column = 0, normali
     return storage.materialize(out, "staged")
 
 
-def verdicts(rows: DataFrame, index: DataFrame, width: int = WIDTH, least: int = LEAST_HITS) -> DataFrame:
+def verdicts(rows: DataFrame, index: DataFrame | S.StoredIndex, width: int = WIDTH, least: int = LEAST_HITS) -> DataFrame:
     """Rows (row_id, source, n_tokens, disposition, benchmark, hits) of staged documents: what becomes of each, in the order in which things are tried.
 
     A later copy of a contaminated document is a duplicate.  Only ids, digests and
@@ -119,7 +110,7 @@ def verdicts(rows: DataFrame, index: DataFrame, width: int = WIDTH, least: int =
     return late.unionByName(rows.where("early IS NOT NULL").select("row_id", "source", "n_tokens", F.col("early").alias("disposition")), allowMissingColumns=True)
 
 
-def dispositions(docs: DataFrame, passes: Column, index: DataFrame, min_chars: int | Column = 0, width: int = WIDTH, least: int = LEAST_HITS, normalize: bool = True, tokens: Column | None = None) -> DataFrame:
+def dispositions(docs: DataFrame, passes: Column, index: DataFrame | S.StoredIndex, min_chars: int | Column = 0, width: int = WIDTH, least: int = LEAST_HITS, normalize: bool = True, tokens: Column | None = None) -> DataFrame:
     """`verdicts` of raw documents (row_id, source, text)."""
     return verdicts(staged(docs, passes, min_chars, normalize, tokens), index, width, least)
 
