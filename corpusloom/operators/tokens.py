@@ -69,15 +69,15 @@ def truncated(ids: Column, take: Column, end_id: int) -> Column:
     return F.when(take <= 0, F.slice(ids, 1, 0)).when(take < F.size(ids), cut).otherwise(ids)
 
 
-def shard_pieces(docs: DataFrame, groups: list[str], shard_tokens: int, order: str = "row_id", size: str = "take") -> DataFrame:
-    """Cut documents where shards end: rows (groups, order, shard_index, shard_offset, doc_offset, tokens)."""
-    placed = running_sum(docs.select(*groups, order, size), groups, order, {"end_": F.col(size)}).withColumn("start_", F.col("end_") - F.col(size))
+def shard_pieces(docs: DataFrame, groups: list[str], shard_tokens: int, order: str = "row_id", size: str = "take", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cut documents where shards end: rows (groups, order, shard_index, shard_offset, doc_offset, tokens), and columns to keep."""
+    placed = running_sum(docs.select(*groups, order, *dict.fromkeys((size, *keep))), groups, order, {"end_": F.col(size)}).withColumn("start_", F.col("end_") - F.col(size))
     placed = placed.where(F.col(size) > 0)
     first, last = F.floor(F.col("start_") / shard_tokens), F.floor((F.col("end_") - 1) / shard_tokens)
     cut = placed.withColumn("shard_index", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start_"), F.col("shard_index") * shard_tokens)
     end = F.least(F.col("end_"), (F.col("shard_index") + 1) * shard_tokens)
-    return cut.select(*groups, order, F.col("shard_index").cast("long").alias("shard_index"), (begin - F.col("shard_index") * shard_tokens).cast("long").alias("shard_offset"), (begin - F.col("start_")).cast("long").alias("doc_offset"), (end - begin).cast("long").alias("tokens"))
+    return cut.select(*groups, order, F.col("shard_index").cast("long").alias("shard_index"), (begin - F.col("shard_index") * shard_tokens).cast("long").alias("shard_offset"), (begin - F.col("start_")).cast("long").alias("doc_offset"), (end - begin).cast("long").alias("tokens"), *keep)
 
 
 def shards(pieces: DataFrame, groups: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,5 +151,5 @@ def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources one after another, each with its place."""
     d = table(spark, sf_dir, "documents").select("source")
     names = sorted(r.source for r in d.distinct().collect())  # a row for each source
-    parts = [d.where(F.col("source") == n).withColumn("source_ord", F.lit(i)) for i, n in enumerate(names)]
-    return reduce(DataFrame.unionByName, parts).groupBy("source_ord", "source").agg(F.count("*").alias("documents"))
+    order = prepare.by_source({n: i for i, n in enumerate(names)})
+    return d.groupBy("source").agg(F.count("*").alias("documents")).select(order.alias("source_ord"), "source", "documents")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import stats as A
 from ..operators import tokens as K
+from ..operators.runs import canonical_hash
 from ..spec import Source, scaled_budget, val_target
 
 
@@ -34,7 +36,35 @@ def source_rows(rows: DataFrame, spec: Source) -> DataFrame:
     return rows.select("row_id", F.lit(spec.name).alias("source"), text.alias("text"), P.conditions(rows, spec.filters).alias("passes"), F.lit(spec.min_text_chars).alias("min_chars"))
 
 
-def all_rows(rows: Mapping[str, DataFrame], specs: list[Source]) -> DataFrame:
+@dataclass(frozen=True)
+class Shared:
+    """One table that holds many sources, told apart by a column; it is read once for all of them."""
+
+    rows: DataFrame
+    column: str = "source"
+
+
+def shared_rows(shared: Shared, specs: list[Source]) -> DataFrame:
+    """`source_rows` of all sources in one pass; sources of equal fields, filters and least lengths share an expression."""
+    rows, source = shared.rows, F.col(shared.column)
+    fields = {f: P.field(rows, f) for f in rows.columns}
+    alike: dict[str, list[Source]] = {}
+    for s in specs:
+        alike.setdefault(canonical_hash([s.text_template, s.text_field, dict(s.filters), s.min_text_chars]), []).append(s)
+
+    def chosen(value: Callable[[Source], Column]) -> Column:
+        parts = [(source.isin([s.name for s in group]), value(group[0])) for group in alike.values()]
+        return parts[0][1] if len(parts) == 1 else reduce(lambda c, p: c.when(*p), parts[1:], F.when(*parts[0]))
+
+    text = chosen(lambda s: X.render(s.text_template, fields) if s.text_template else P.field(rows, s.text_field))
+    passes = chosen(lambda s: P.conditions(rows, s.filters))
+    named = rows.where(source.isin([s.name for s in specs]))
+    return named.select("row_id", source.alias("source"), text.alias("text"), passes.alias("passes"), chosen(lambda s: F.lit(s.min_text_chars)).alias("min_chars"))
+
+
+def all_rows(rows: Mapping[str, DataFrame] | Shared, specs: list[Source]) -> DataFrame:
+    if isinstance(rows, Shared):
+        return shared_rows(rows, specs)
     return reduce(DataFrame.unionByName, (source_rows(rows[s.name], s) for s in specs))
 
 
@@ -49,7 +79,7 @@ def budgets(specs: list[Source], scale: float, val_ratio: float) -> tuple[dict[s
     return train, {k: val_target(n, val_ratio) for k, n in train.items()}
 
 
-def mix_sources(rows: Mapping[str, DataFrame], specs: list[Source], index: DataFrame, scale: float = 1.0, val_ratio: float = 0.0, seed: int = 1337, width: int = C.WIDTH) -> tuple[DataFrame, DataFrame]:
+def mix_sources(rows: Mapping[str, DataFrame] | Shared, specs: list[Source], index: DataFrame, scale: float = 1.0, val_ratio: float = 0.0, seed: int = 1337, width: int = C.WIDTH) -> tuple[DataFrame, DataFrame]:
     """All sources of a mix, counted in words: the disposition of every raw row, and what is taken of the accepted ones.
 
     A source that falls short of its budget is an error where `require_full` is applied to what is taken.

@@ -5,8 +5,8 @@ A manifest is a JSON object with `train_shards` and `val_shards`, lists of path
 and what the preparation reports.  The driver holds a row for each shard and source.
 
 Files get names that follow from their place, and the manifest is written last, so
-a preparation that broke off can simply be run again; an assembly takes over the
-sources that it had finished, if their shards are whole.
+a preparation that broke off can simply be run again; a mix and an assembly take over
+the sources that they had finished, if their shards are whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import asdict
 from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators import shingles as H
 from ..operators import stats as A
 from ..operators import tokenize as Z
 from ..operators import tokens as K
@@ -35,6 +37,7 @@ from ..sources import shard_files as B
 from ..spec import Assembly, Source
 from . import prepare as P
 
+#: The sizes and the seed that manifests have unless they are told otherwise.
 SHARD_TOKENS, CHUNK_TOKENS, SEED = 4_194_304, 8_192, 1337
 #: Bits of the key of a global shuffle, and of its part that numbers the blocks of the running sum.
 KEY_BITS, BLOCK_BITS = 60, 16
@@ -68,24 +71,28 @@ def _with_tokens(rows: DataFrame, judged: DataFrame, encoder: Encoder) -> DataFr
     return storage.materialize(texts.select("source", "row_id", encoder.ids(F.col("text")).alias("ids")), "token-ids")
 
 
-def _write_taken(tokens: DataFrame, taken: DataFrame, encoder: Encoder, folder: str, shard_tokens: int, prefix: Column) -> DataFrame:
-    """Write what is taken (source, row_id, split, take) as shards under prefix, by source and split; their entries."""
-    pieces = K.shard_pieces(taken, ["source", "split"], shard_tokens).join(taken.select("source", "row_id", "split", "take"), ["source", "row_id", "split"])
+def _cut_taken(tokens: DataFrame, taken: DataFrame, encoder: Encoder, shard_tokens: int) -> DataFrame:
+    """Rows (source, split, shard_index, shard_offset, ids) of what is taken (source, row_id, split, take): joined to its ids once, cut where shards end, and written."""
+    pieces = K.shard_pieces(taken, ["source", "split"], shard_tokens, keep=("take",))
     ids = K.truncated(F.col("ids"), F.col("take"), encoder.end)
     fit = F.coalesce(F.array_max(ids) < encoder.size, F.lit(True)) & F.coalesce(F.array_min(ids) >= 0, F.lit(True))
     cut = V.required(pieces.join(tokens, ["source", "row_id"]), fit, "an id is out of range")
-    rows = cut.select(prefix.alias("prefix"), "split", "shard_index", "shard_offset", F.slice(ids, (F.col("doc_offset") + 1).cast("int"), F.col("tokens").cast("int")).alias("ids"))
-    return storage.materialize(B.write(rows, folder), "entries")
+    part = F.slice(ids, (F.col("doc_offset") + 1).cast("int"), F.col("tokens").cast("int"))
+    return storage.materialize(cut.select("source", "split", "shard_index", "shard_offset", part.alias("ids")), "pieces")
+
+
+def _write_pieces(pieces: DataFrame, folder: str, prefix: Column) -> DataFrame:
+    """Write pieces as shards under prefix, by source and split; their entries."""
+    return storage.materialize(B.write(pieces.select(prefix.alias("prefix"), "split", "shard_index", "shard_offset", "ids"), folder), "entries")
 
 
 def _source_prefix() -> Column:
     return F.concat(F.lit("sources/"), X.slug(F.col("source")), F.lit("/"), F.col("split"))
 
 
-def _frequencies(tokens: DataFrame, taken: DataFrame, encoder: Encoder) -> DataFrame:
+def _frequencies(pieces: DataFrame) -> DataFrame:
     """Rows (source, split, token, n) of what is taken."""
-    both = tokens.join(taken.select("source", "row_id", "split", "take"), ["source", "row_id"])
-    return storage.materialize(A.id_counts(both.select("source", "split", K.truncated(F.col("ids"), F.col("take"), encoder.end).alias("ids")), ["source", "split"]), "frequencies")
+    return A.id_counts(pieces.select("source", "split", "ids"), ["source", "split"])
 
 
 def _top(counts: DataFrame, n: int = 100) -> list[dict[str, int]]:
@@ -138,8 +145,9 @@ def write_corpus(docs: DataFrame, encoder: Encoder, folder: str, val_ratio: floa
     split = F.when(K.coin(seed, "row_id") < val_ratio, "val").otherwise("train")
     tokens = storage.materialize(first.select("source", "row_id", split.alias("split"), X.mostly_ascii_letters(F.col("text")).alias("en"), encoder.ids(F.col("text")).alias("ids")), "token-ids")
     taken = storage.materialize(tokens.select("source", "row_id", "split", "en", F.size("ids").cast("long").alias("take")), "taken")
-    entries = _write_taken(tokens.select("source", "row_id", "ids"), taken, encoder, folder, shard_tokens, F.col("split"))
-    counts = _frequencies(tokens.select("source", "row_id", "ids"), taken, encoder)
+    pieces = _cut_taken(tokens.select("source", "row_id", "ids"), taken, encoder, shard_tokens)
+    entries = _write_pieces(pieces, folder, F.col("split"))
+    counts = storage.materialize(_frequencies(pieces), "frequencies")
     sizes = {r.split: r for r in taken.groupBy("split").agg(F.count("*").alias("n"), F.sum("take").alias("tokens"), F.count_if("en").alias("en")).collect()}
     documents, total = sum(r.n for r in sizes.values()), sum(r.tokens for r in sizes.values())
     unknown = counts.where(F.col("token") == (-1 if encoder.unknown is None else encoder.unknown)).agg(F.sum("n")).first()[0] or 0
@@ -162,10 +170,51 @@ def write_corpus(docs: DataFrame, encoder: Encoder, folder: str, val_ratio: floa
     return out
 
 
+def inputs_hash(rows: DataFrame) -> str:
+    """Of the files that a table is read from: their paths, sizes and times.  Contents aren't read."""
+    files = [unquote(f) for f in rows.inputFiles()]
+    if not files:
+        return canonical_hash(rows.schema.jsonValue())
+    listed = rows.sparkSession.read.format("binaryFile").load(files).select(F.xxhash64("path", "modificationTime", "length").alias("h"))
+    told = listed.agg(F.count("*").alias("n"), F.bit_xor("h").alias("h")).first()
+    return canonical_hash([told.n, told.h])
+
+
+def _prepared(rows: DataFrame, specs: list[Source], index: DataFrame | H.StoredIndex, encoder: Encoder, folder: str, scale: float, val_ratio: float, seed: int, shard_tokens: int, width: int, strict: bool) -> dict[str, Any]:
+    """Prepare some sources in one pass and write their shards: for each its entries, counters and where its frequencies are."""
+    staged = C.staged(rows, F.col("passes"), F.col("min_chars"))
+    judged = storage.materialize(C.verdicts(staged, index, width), "verdicts")
+    tokens = _with_tokens(staged, judged, encoder)
+    train, val = P.budgets(specs, scale, val_ratio)
+    counted = tokens.select("source", "row_id", F.size("ids").cast("long").alias("n_tokens"), P.by_source(train).cast("long").alias("budget"), P.by_source(val).cast("long").alias("val_budget"))
+    taken = storage.materialize(K.quota(counted, val_ratio, seed), "taken")
+    if strict:
+        P.require_full(taken, train).collect()  # a row for each source
+    pieces = _cut_taken(tokens, taken, encoder, shard_tokens)
+    entries = _write_pieces(pieces, folder, _source_prefix())
+    kept = f"progress/frequencies-{canonical_hash([s.name for s in specs])[:16]}"
+    _frequencies(pieces).write.mode("overwrite").parquet(f"{folder}/{kept}")
+    counts = rows.sparkSession.read.schema("source string, split string, token long, n long").parquet(f"{folder}/{kept}")
+    names = [s.name for s in specs]
+    told = _statistics(judged, counts, encoder, names)
+    listed = _in_order(entries, names)
+    prefixes = {n: f"sources/{R.source_slug(n)}/" for n in names}
+    return {n: {"entries": [e for e in listed if e["path"].startswith(prefixes[n])], "statistics": told[n], "frequencies": kept} for n in names}
+
+
+def _all_frequencies(spark: SparkSession, folder: str, done: Mapping[str, Any]) -> DataFrame:
+    """Frequencies of all sources; of tables that hold a source twice the one counts that its record names."""
+    tables: dict[str, list[str]] = {}
+    for name, told in done.items():
+        tables.setdefault(told["frequencies"], []).append(name)
+    each = [spark.read.schema("source string, split string, token long, n long").parquet(f"{folder}/{path}").where(F.col("source").isin(names)) for path, names in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def write_mix(
-    rows: Mapping[str, DataFrame],
+    rows: Mapping[str, DataFrame] | P.Shared,
     specs: list[Source],
-    index: DataFrame,
+    index: DataFrame | H.StoredIndex,
     encoder: Encoder,
     folder: str,
     scale: float = 1.0,
@@ -175,28 +224,39 @@ def write_mix(
     width: int = C.WIDTH,
     strict: bool = True,
     name: str = "mix",
+    at_once: int | None = None,
+    progress: str = "mix_progress.json",
 ) -> dict[str, Any]:
     """A mix of sources up to exact budgets: shards by source and split, and the manifest with the counters of each source.
 
-    A source short of its budget is an error if strict.
+    Sources of one shared table are prepared in one pass, or `at_once` at a time; others
+    one by one.  What was prepared together is committed together, to a progress file.  A
+    mix that broke off and is begun again takes over the sources that are committed and
+    whole, and doesn't read them; shards of others are written anew.  Another
+    configuration, tokenizer, index or input in that folder is an error, and so is a
+    source short of its budget if strict.
     """
-    staged = C.staged(P.all_rows(rows, specs), F.col("passes"), F.col("min_chars"))
-    judged = storage.materialize(C.verdicts(staged, index, width), "verdicts")
-    tokens = _with_tokens(staged, judged, encoder)
-    train, val = P.budgets(specs, scale, val_ratio)
-    counted = tokens.select("source", "row_id", F.size("ids").cast("long").alias("n_tokens"), P.by_source(train).cast("long").alias("budget"), P.by_source(val).cast("long").alias("val_budget"))
-    taken = storage.materialize(K.quota(counted, val_ratio, seed), "taken")
-    if strict:
-        P.require_full(taken, train).collect()  # a row for each source
-    entries = _write_taken(tokens, taken, encoder, folder, shard_tokens, _source_prefix())
-    counts = _frequencies(tokens, taken, encoder)
+    shared = isinstance(rows, P.Shared)
+    spark = rows.rows.sparkSession if shared else next(iter(rows.values())).sparkSession
+    hashed = canonical_hash([asdict(s) | {"filters": dict(s.filters)} for s in specs])
+    read = {"all": inputs_hash(rows.rows)} if shared else {s.name: inputs_hash(rows[s.name]) for s in specs}
+    against = canonical_hash(index.report()) if isinstance(index, H.StoredIndex) else index.schema.simpleString()
+    settings = {"sources": hashed, "scale": scale, "val_ratio": val_ratio, "seed": seed, "shard_tokens": shard_tokens, "width": width, "strict": strict, "tokenizer": encoder.digest, "index": against, "inputs": read}
+    done = G.Progress.load(f"{folder}/{progress}", settings)
     names = [s.name for s in specs]
-    told = _statistics(judged, counts, encoder, names)
+    whole = {n for n in done.done if _whole(spark, folder, done.done[n]["entries"])}
+    left = [s for s in specs if s.name not in whole]
+    size = 1 if not shared else max(1, len(left) if at_once is None else at_once)
+    for at in range(0, len(left), size):
+        some = left[at : at + size]
+        done.finish_all(_prepared(P.all_rows(rows, some), some, index, encoder, folder, scale, val_ratio, seed, shard_tokens, width, strict))
+    told = {n: done.done[n]["statistics"] for n in names}
+    train, _ = P.budgets(specs, scale, val_ratio)
     listed = [asdict(s) | {"filters": dict(s.filters), "requested_token_budget": s.token_budget, "target_train_tokens": train[s.name], "actual_train_tokens": told[s.name]["train_tokens"], "actual_val_tokens": told[s.name]["val_tokens"]} for s in specs]
     total = sum(t["train_tokens"] + t["val_tokens"] for t in told.values())
-    statistics = {"source_statistics": told, "unk_rate": sum(t["unk_tokens"] for t in told.values()) / max(1, total), "token_frequency_top_100": _top(counts), "duplicate_filtering": "enabled"}
-    hashed = canonical_hash([asdict(s) | {"filters": dict(s.filters)} for s in specs])
-    out = manifest(_in_order(entries, names), _told(encoder), shard_tokens, "mix", mix_config=name, mix_config_sha256=hashed, sources=listed, scale=scale, val_ratio=val_ratio, statistics=statistics)
+    statistics = {"source_statistics": told, "unk_rate": sum(t["unk_tokens"] for t in told.values()) / max(1, total), "token_frequency_top_100": _top(_all_frequencies(spark, folder, {n: done.done[n] for n in names})), "duplicate_filtering": "enabled"}
+    entries = [e for n in names for e in done.done[n]["entries"]]
+    out = manifest(entries, _told(encoder), shard_tokens, "mix", mix_config=name, mix_config_sha256=hashed, sources=listed, scale=scale, val_ratio=val_ratio, statistics=statistics)
     B.write_json(f"{folder}/manifest.json", out)
     return out
 
@@ -243,16 +303,16 @@ def assemble(spark: SparkSession, config: Mapping[str, Any] | Assembly, encoder:
         if name in done.done and _whole(spark, folder, done.done[name]["entries"]):
             mine, origin = done.done[name]["entries"], done.done[name]["provenance"]
         elif item["kind"] == "hf":
-            one = write_mix({name: rows[name]}, [Source.of(item)], index, encoder, folder, 1.0, float(config.get("val_ratio", 0.0)), int(config.get("seed", SEED)), shard_tokens, width)
+            one = write_mix({name: rows[name]}, [Source.of(item)], index, encoder, folder, 1.0, float(config.get("val_ratio", 0.0)), int(config.get("seed", SEED)), shard_tokens, width, progress=f"{prefix}/progress.json")
             mine = [{"split": s, **e} for s in ("train", "val") for e in one[f"{s}_shards"]]
             told, origin = one["statistics"]["source_statistics"][name], item["dataset"]
             done.finish(name, {"entries": mine, "provenance": origin, "statistics": told})
         else:
             origin = item["manifest"] if item["manifest"].startswith("/") or "://" in item["manifest"] else f"{base}/{item['manifest']}"
-            source = item["source_name"] if item["kind"] == "existing_source" else None
-            mine = taken_over(spark, origin, prefix, folder, None if asked is None else int(asked), source)
             if B.read_json(origin)["tokenizer_hash"] != encoder.digest:
                 raise ValueError(f"{origin} is of another tokenizer")
+            source = item["source_name"] if item["kind"] == "existing_source" else None
+            mine = taken_over(spark, origin, prefix, folder, None if asked is None else int(asked), source)
             done.finish(name, {"entries": mine, "provenance": origin, "statistics": {}})
         statistics[name] = done.done[name]["statistics"]
         counts = {s: sum(e["token_count"] for e in mine if e["split"] == s) for s in ("train", "val")}
@@ -271,6 +331,8 @@ def assemble(spark: SparkSession, config: Mapping[str, Any] | Assembly, encoder:
 
 def _whole(spark: SparkSession, folder: str, entries: list[dict[str, Any]]) -> bool:
     """Whether all shards of the entries are there, of the right size."""
+    if not entries:
+        return True
     listed = spark.createDataFrame([(e["path"], e["token_count"]) for e in entries], "path string, token_count long")
     return G.broken(listed, B.sizes(spark, folder)).isEmpty()
 
@@ -302,12 +364,27 @@ def shuffled_pieces(chunks: DataFrame, seed: int, shard_tokens: int) -> DataFram
     return spans.select(F.col("shard_index").cast("long").alias("shard_index"), (begin - first).cast("long").alias("shard_offset"), "uri", "file_tokens", (F.col("offset") + begin - F.col("start_")).cast("long").alias("at"), (end - begin).cast("long").alias("tokens"))
 
 
-def mix_chunks(spark: SparkSession, manifest_path: str, folder: str, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> dict[str, Any]:
-    """Shuffle all chunks of a manifest's shards globally, write them as new shards, and verify these.
+def check_input(manifest_path: str, folder: str, chunk_tokens: int, shard_tokens: int, tokenizer: str | None) -> dict[str, Any]:
+    """A manifest whose shards can be mixed into an empty folder; an error if its ids aren't of 16 bits or its tokenizer isn't that file."""
+    if min(chunk_tokens, shard_tokens) <= 0:
+        raise ValueError("chunks and shards must hold a token at least")
+    if B.holds_files(folder):
+        raise FileExistsError(f"{folder} isn't empty")
+    m = B.read_json(manifest_path)
+    if m.get("dtype", "uint16") != "uint16":
+        raise ValueError(f"only 16-bit shards can be mixed, not {m['dtype']}")
+    if tokenizer is not None and m["tokenizer_hash"] != B.file_hash(tokenizer):
+        raise ValueError(f"the manifest is of another tokenizer than {tokenizer}")
+    return m
+
+
+def mix_chunks(spark: SparkSession, manifest_path: str, folder: str, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, tokenizer: str | None = None) -> dict[str, Any]:
+    """Shuffle all chunks of a manifest's shards globally, write them as new shards into an empty folder, and verify these.
 
-    Places come from numbers alone; then each shard is read once, and its tokens move once.
+    Places come from numbers alone; then each shard is read once, and its tokens move
+    once.  With the tokenizer's file its hash is compared first.
     """
-    before = B.read_json(manifest_path)
+    before = check_input(manifest_path, folder, chunk_tokens, shard_tokens, tokenizer)
     source = F.coalesce(F.nullif(F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), "^sources/([^/]+)/", 1), F.lit("")), F.lit("all"))
     entries = entries_of(spark, manifest_path).withColumn("file_tokens", F.col("token_count"))
     chunks = storage.materialize(K.chunks(entries, chunk_tokens).withColumn("source", source), "chunks")
@@ -333,7 +410,7 @@ def mix_chunks(spark: SparkSession, manifest_path: str, folder: str, chunk_token
     more = {k: before[k] for k in ("sources", "target_train_tokens", "val_ratio") if k in before}
     out = manifest(listed, kept, shard_tokens, "globally_mixed", mixing=mixing, mix_config="global_chunk_shuffle", mix_config_sha256=canonical_hash(mixing), **more)
     B.write_json(f"{folder}/manifest.json", out)
-    report = verify(spark, f"{folder}/manifest.json")
+    report = verify(spark, f"{folder}/manifest.json", before["tokenizer_hash"] if tokenizer is None else B.file_hash(tokenizer))
     B.write_json(f"{folder}/verification.json", report | {"mixing": {k: mixing[k] for k in ("mode", "chunk_tokens", "seed")} | {f"{s}_source_switches_first_1024_chunks": told[s]["source_switches_first_1024_chunks"] for s in told}})
     if not report["passed"]:
         raise ValueError(f"the shards don't hold what their manifest says: {report['errors']}")

@@ -18,6 +18,7 @@ from ..sources import shard_files as B
 from ..sources.training import TokenReader
 from ..spec import Source
 from . import corpus_queries as Q
+from . import prepare as P
 from . import sql as S
 from . import written as W
 from .registry import query, table
@@ -34,7 +35,7 @@ def english_mix(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, Any]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "row_id").withColumnRenamed("lang", "language")
     names = sorted(r.source for r in docs.select("source").distinct().collect())  # a row for each source
     specs = [Source(name=n, dataset="documents", token_budget=5000, filters={"language": "en"}, min_text_chars=200) for n in names]
-    return W.write_mix({n: docs.where(F.col("source") == n) for n in names}, specs, Q.index(spark, sf_dir), _words(), folder, shard_tokens=SHARD, strict=False)
+    return W.write_mix(P.Shared(docs), specs, Q.index(spark, sf_dir), _words(), folder, shard_tokens=SHARD, strict=False)
 
 
 def held(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train",)) -> DataFrame:

@@ -34,7 +34,11 @@ class Progress:
         return [n for n in names if n not in self.done]
 
     def finish(self, name: str, result: Any) -> None:
-        self.done[name] = result
+        self.finish_all({name: result})
+
+    def finish_all(self, results: dict[str, Any]) -> None:
+        """Sources that were prepared together are done together."""
+        self.done |= results
         write_json(self.path, {"configuration": canonical_hash(self.configuration), "done": self.done})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -133,3 +134,18 @@ def read_json(path: str) -> dict:
     store, place = filesystem(path)
     with store.open_input_stream(place) as f:
         return json.loads(f.read())
+
+
+def file_hash(path: str) -> str:
+    """The sha256 of one file, read in parts."""
+    store, place = filesystem(path)
+    digest = hashlib.sha256()
+    with store.open_input_stream(place) as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def holds_files(folder: str) -> bool:
+    store, place = filesystem(folder)
+    return any(f.type == pafs.FileType.File for f in store.get_file_info(pafs.FileSelector(place, allow_not_found=True, recursive=True)))

@@ -9,7 +9,6 @@ after its input, in the next shard or epoch where one ends.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -26,13 +25,6 @@ from . import shard_files as B
 KEY_BITS, BLOCK_BITS = 60, 16
 
 
-def file_hash(path: str) -> str:
-    """The sha256 of one small file."""
-    store, place = B.filesystem(path)
-    with store.open_input_stream(place) as f:
-        return hashlib.sha256(f.read()).hexdigest()
-
-
 @dataclass
 class TokenReader:
     """A place in the stream of one split of a manifest; batches move it on, `state` and `resume` keep it."""
@@ -51,7 +43,7 @@ class TokenReader:
         told = B.read_json(self.manifest)
         if told.get("dtype", "uint16") != "uint16":
             raise ValueError(f"only 16-bit shards can be read, not {told['dtype']}")
-        self.manifest_hash = file_hash(self.manifest)
+        self.manifest_hash = B.file_hash(self.manifest)
         listed = R.manifest_entries(R.manifest(self.spark, self.manifest)).where(F.col("split") == self.split)
         disk = B.sizes(self.spark, self.manifest.rpartition("/")[0]).select(F.concat(F.lit(self.manifest.rpartition("/")[0] + "/"), "path").alias("uri"))
         self._entries = storage.materialize(R.resolved(listed, self.manifest, disk).where("token_count > 0"), "reader-entries")

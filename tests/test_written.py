@@ -11,6 +11,7 @@ from corpusloom.operators import corpus as C
 from corpusloom.operators import metrics as M
 from corpusloom.operators import runs as U
 from corpusloom.operators import tokenize as Z
+from corpusloom.plans import prepare as P
 from corpusloom.plans import written as W
 from corpusloom.spec import Source, load_assembly
 from corpusloom.streaming import streams as T
@@ -177,3 +178,88 @@ def test_metadata_and_sample(spark):
     ids = [i for x in Z.load(path).encode(lines, eos=False) for i in x]
     assert (got.documents, got.lines, got.chars, got.tokens, got.unknown) == (2, len(lines), sum(map(len, lines)), len(ids), 0)
     assert {r.id: r.n for r in counts.collect()} == {i: ids.count(i) for i in ids}
+
+
+def without_time(m):
+    return {k: v for k, v in m.items() if k != "created_at"}
+
+
+def test_a_shared_table_is_read_once(spark, index, tmp_path):
+    """Sources of one table, of unequal fields and filters, give what they give from tables of their own."""
+    rows = [(i, ("A", "B", "C", "D")[i % 4], f"text {'x' * i}", f"why {i}", "fr" if i % 5 == 0 else "en") for i in range(120)]
+    table = spark.createDataFrame(rows, "row_id long, origin string, text string, question string, language string")
+    specs = [Source(name="B", dataset="d", token_budget=20, text_template="{question}? {text}"), Source(name="A", dataset="d", token_budget=20, filters={"language": "en"}, min_text_chars=9), Source(name="C", dataset="d", token_budget=20, filters={"language": "en"}, min_text_chars=9)]
+    own = {s.name: table.where(F.col("origin") == s.name).drop("origin") for s in specs}
+    one = W.write_mix(P.Shared(table, "origin"), specs, index, W.Encoder.of_words(), str(tmp_path / "a"), 1.0, 0.2, shard_tokens=7, width=8)
+    two = W.write_mix(own, specs, index, W.Encoder.of_words(), str(tmp_path / "b"), 1.0, 0.2, shard_tokens=7, width=8)
+    assert without_time(one) == without_time(two) and stored(tmp_path / "a", one["train_shards"]) == stored(tmp_path / "b", two["train_shards"])
+    plan = P.all_rows(P.Shared(table.sparkSession.read.schema(table.schema).parquet(written(table, tmp_path)), "origin"), specs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def written(table, tmp_path):
+    table.write.parquet(str(tmp_path / "table"))
+    return str(tmp_path / "table")
+
+
+def test_a_mix_goes_on_where_it_broke_off(spark, index, tmp_path, monkeypatch):
+    """Sources that are committed aren't read again; half-written ones are written anew."""
+    for n in "AB":
+        spark.createDataFrame([(i, f"text {'x' * i} of {n}") for i in range(30)], "row_id long, text string").write.parquet(str(tmp_path / "in" / n))
+    specs = [Source(name=n, dataset="d", token_budget=40) for n in "BA"]
+
+    def mix(**more):
+        inputs = {n: spark.read.schema("row_id long, text string").parquet(str(tmp_path / "in" / n)) for n in "AB"}
+        return W.write_mix(inputs, specs, index, W.Encoder.of_words(), str(tmp_path / "out"), 1.0, 0.2, shard_tokens=7, width=8, **more)
+
+    prepared, seen = W._prepared, []
+
+    def breaks(rows, some, *more):
+        seen.append([s.name for s in some])
+        if len(seen) == 2:
+            folder = tmp_path / "out" / "sources" / "a" / "train"
+            folder.mkdir(parents=True)
+            (folder / "shard_000000.bin").write_bytes(b"half")
+            raise RuntimeError("broken off")
+        return prepared(rows, some, *more)
+
+    monkeypatch.setattr(W, "_prepared", breaks)
+    with pytest.raises(RuntimeError, match="broken off"):
+        mix()
+    assert seen == [["B"], ["A"]] and not (tmp_path / "out" / "manifest.json").exists()
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("b/*/*.bin")}
+    want = mix()
+    shards = stored(tmp_path / "out", want["train_shards"])
+    assert seen[2:] == [["A"]] and before and all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert (want["train_token_count"], want["val_token_count"]) == (80, 16) and W.verify(spark, str(tmp_path / "out" / "manifest.json"))["passed"]
+    next(iter(before)).write_bytes(b"")  # a committed source that is no longer whole
+    assert without_time(mix()) == without_time(want) and seen[3:] == [["B"]] and stored(tmp_path / "out", want["train_shards"]) == shards
+    with pytest.raises(ValueError, match="another configuration"):
+        mix(strict=False)
+    spark.createDataFrame([(500, "more of it")], "row_id long, text string").write.mode("append").parquet(str(tmp_path / "in" / "A"))
+    with pytest.raises(ValueError, match="another configuration"):
+        mix()
+
+
+def test_what_can_not_be_mixed(spark, mixed, tmp_path):
+    folder, m, _, _ = mixed
+    path = f"{folder}/manifest.json"
+    with pytest.raises(FileExistsError):
+        W.mix_chunks(spark, path, folder)
+    with pytest.raises(ValueError, match="a token"):
+        W.mix_chunks(spark, path, str(tmp_path / "a"), chunk_tokens=0)
+    (tmp_path / "t.json").write_text("{}")
+    with pytest.raises(ValueError, match="another tokenizer"):
+        W.mix_chunks(spark, path, str(tmp_path / "a"), tokenizer=str(tmp_path / "t.json"))
+    (tmp_path / "m.json").write_text(json.dumps(m | {"dtype": "uint32"}))
+    with pytest.raises(ValueError, match="uint32"):
+        W.mix_chunks(spark, str(tmp_path / "m.json"), str(tmp_path / "a"))
+    assert not (tmp_path / "a").exists()
+
+
+def test_an_assembly_compares_tokenizers_before_it_copies(spark, mixed, tmp_path):
+    folder, _, _, _ = mixed
+    config = {"sources": [{"name": "All", "kind": "tokenized_manifest", "manifest": f"{folder}/manifest.json"}], "target_train_tokens": 70}
+    with pytest.raises(ValueError, match="another tokenizer"):
+        W.assemble(spark, config, by_length(), str(tmp_path / "o"))
+    assert not list(tmp_path.rglob("*.bin"))
