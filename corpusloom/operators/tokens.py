@@ -43,7 +43,7 @@ def quota(docs: DataFrame, val_ratio: float = 0.0, seed: int = 1337) -> DataFram
     """Exact budgets by source: rows (source, row_id, n_tokens, budget, val_budget) get split and take.
 
     Documents go to validation by a coin while both budgets are open, to the one
-    that is open otherwise, and are cut to what is left of it; what is past both
+    that is open otherwise (either may be 0), and are cut to what is left of it; what is past both
     is left out.  The three running sums give what this rule gives in sequence;
     what each adds is written, so that the plan doesn't grow with the next.
     """
@@ -54,7 +54,7 @@ def quota(docs: DataFrame, val_ratio: float = 0.0, seed: int = 1337) -> DataFram
     both = both.withColumn("val_", F.col("coin_") & (F.col("val_sum") - n < F.col("val_budget")))
     both = storage.materialize(running_sum(both, ["source"], "row_id", {"train_sum": F.when(~F.col("val_"), n).otherwise(0)}), "quota")
     full = both.where(~F.col("val_") & (F.col("train_sum") >= F.col("budget"))).groupBy("source").agg(F.min("row_id").alias("full_at"))
-    both = both.join(full, "source", "left").withColumn("late_", F.coalesce(F.col("row_id") > F.col("full_at"), F.lit(False)))
+    both = both.join(full, "source", "left").withColumn("late_", F.coalesce(F.col("row_id") > F.col("full_at"), F.lit(False)) | (F.col("budget") <= 0))
     both = running_sum(both, ["source"], "row_id", {"fill_sum": F.when(F.col("val_") | F.col("late_"), n).otherwise(0)})
     to_val = F.col("val_") | F.col("late_")
     left = F.when(to_val, F.col("val_budget") - (F.col("fill_sum") - n)).otherwise(F.col("budget") - (F.col("train_sum") - n))

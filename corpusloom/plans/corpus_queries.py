@@ -109,15 +109,20 @@ def mixed_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.summary(prepare.mix(disposed(spark, sf_dir), 5000))
 
 
-_SPLIT = f"""s_ AS (SELECT doc_id, source, {S.TOKENS} AS n, {S.coin(1337, "source", "doc_id")} < 0.1 AS c FROM u),
+def split_sql(rows: str, train: int, val: int) -> str:
+    """CTE y: what exact budgets take of rows (doc_id, source, n, c), c being the coin."""
+    return f"""s_ AS ({rows}),
 v1 AS (SELECT *, coalesce(sum(n) FILTER (c) OVER w, 0) AS vs FROM s_ WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-v2 AS (SELECT *, c AND vs - n < 300 AS v FROM v1),
+v2 AS (SELECT *, c AND vs - n < {val} AS v FROM v1),
 v3 AS (SELECT *, coalesce(sum(n) FILTER (NOT v) OVER w, 0) AS ts FROM v2 WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
-v4 AS (SELECT *, min(CASE WHEN NOT v AND ts >= 3000 THEN doc_id END) OVER (PARTITION BY source) AS full_at FROM v3),
+v4 AS (SELECT *, min(CASE WHEN NOT v AND ts >= {train} THEN doc_id END) OVER (PARTITION BY source) AS full_at FROM v3),
 v5 AS (SELECT *, v OR coalesce(doc_id > full_at, false) AS tv FROM v4),
 v6 AS (SELECT *, coalesce(sum(n) FILTER (tv) OVER w, 0) AS fs FROM v5 WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
 y AS (SELECT doc_id, source, CASE WHEN tv THEN 'val' ELSE 'train' END AS split, CAST(n AS BIGINT) AS n_tokens,
-  CAST(greatest(0, least(n, CASE WHEN tv THEN 300 - (fs - n) ELSE 3000 - (ts - n) END)) AS BIGINT) AS take FROM v6)"""
+  CAST(greatest(0, least(n, CASE WHEN tv THEN {val} - (fs - n) ELSE {train} - (ts - n) END)) AS BIGINT) AS take FROM v6)"""
+
+
+_SPLIT = split_sql(f"SELECT doc_id, source, {S.TOKENS} AS n, {S.coin(1337, 'source', 'doc_id')} < 0.1 AS c FROM u", 3000, 300)
 
 
 def split_quota(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import stats as A
 from ..streaming import streams as T
 from . import sql as S
+from .corpus_queries import split_sql
 from .registry import query, table
 
 _RUNS = "r AS (SELECT user_id % 7 AS run, event_id AS step, value, event_id * 512 AS tokens_seen, CAST(event_id % 5000 AS DOUBLE) AS elapsed FROM events)"
@@ -199,12 +200,17 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(T.first_copies(rows, ["source"]), "dedup").where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).select("source", "digest")
 
 
-@query("WITH q AS (SELECT source, doc_id AS row_id, n_chars AS n_tokens, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS b FROM documents) SELECT source, row_id, n_tokens, CAST(least(n_tokens, 20000 - b) AS BIGINT) AS take FROM q WHERE b < 20000")
+@query(f"""WITH {split_sql(f"SELECT doc_id, source, n_chars AS n, {S.coin(1337, 'source', 'doc_id')} < 0.2 AS c FROM documents", 20_000, 4_000)} SELECT source, doc_id AS row_id, n_tokens, split, take FROM y WHERE take > 0""")
 def streamed_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget for every source, filled in the order of the stream."""
-    rows = _stream(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"), F.col("n_chars").alias("n_tokens"))
-    sources = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]  # a row for each source
-    return _once(T.quota(rows, dict.fromkeys(sources, 20_000)), "quota")
+    """Train and validation budgets for every source, filled in the order of a stream that comes in three parts, each read by a query of its own."""
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"), F.col("n_chars").alias("n_tokens"))
+    sources = [r.source for r in rows.select("source").distinct().collect()]  # a row for each source
+    third = (rows.agg(F.max("row_id")).first()[0] or 0) // 3 + 1
+    files, out = storage.work_dir(spark, "arriving"), storage.work_dir(spark, "budgets")
+    for k in range(3):
+        rows.where((F.col("row_id") >= k * third) & (F.col("row_id") < (k + 1) * third)).write.mode("append").parquet(files)
+        T.fill_budgets(spark.readStream.schema(rows.schema).parquet(files), dict.fromkeys(sources, 20_000), out, dict.fromkeys(sources, 4_000), 0.2)
+    return T.taken_rows(spark, out).drop("batch")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -170,6 +170,16 @@ def vocabulary_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.counted(w, A.frequency(w))
 
 
+@query(
+    """WITH t AS (SELECT unnest(string_split(text, ' ')) AS token FROM documents WHERE text IS NOT NULL), v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM benchmark),
+f AS (SELECT token, count(*) AS n FROM t GROUP BY token) SELECT token, coalesce(n, 0) AS n FROM v LEFT JOIN f USING (token)"""
+)
+def benchmark_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the documents have each word of the benchmarks; many are never seen."""
+    words = lambda name: table(spark, sf_dir, name).where("text IS NOT NULL").select(F.explode(F.split("text", " ", -1)).alias("token"))
+    return A.counted(words("benchmark"), A.frequency(words("documents")))
+
+
 @query(f"WITH {_SHARDS} SELECT split, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS shards, CAST(sum(token_count) AS BIGINT) <= 66000 AS within FROM sh GROUP BY split")
 def assembly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark, sf_dir).groupBy("split").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("shards")).withColumn("within", F.col("tokens") <= 66000)
@@ -193,6 +203,12 @@ def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.unmatched(table(spark, sf_dir, "orders"), c, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))
 
 
+@query("SELECT source, count(*) AS documents FROM documents ANTI JOIN labels USING (doc_id) GROUP BY source")
+def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, by source; about half of them have one."""
+    return V.unmatched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("documents"))
+
+
 _CORPUS = "st AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, token FROM (SELECT doc_id, unnest(x) AS token, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, list_append(list_transform(string_split(text, ' '), lambda x: 4 + length(x)), 3) AS x FROM documents WHERE text IS NOT NULL)))"
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import clean
+from ..operators import tokens as K
 from ..sources.growing import growing_lines
+from ..sources.shard_files import filesystem
 
 
 def metrics_tail(spark: SparkSession, folder: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -30,26 +31,45 @@ def first_copies(stream: DataFrame, scope: list[str], text_col: str = "text", no
     return rows.dropDuplicates([*scope, "digest"]) if time_col is None else rows.dropDuplicatesWithinWatermark([*scope, "digest"])
 
 
-def quota(stream: DataFrame, budgets: dict[str, int]) -> DataFrame:
-    """Documents (source, row_id, n_tokens) up to each source's budget, in the order of arrival and then row_id: adds take.
+def fill_budgets(stream: DataFrame, budgets: Mapping[str, int], folder: str, val_budgets: Mapping[str, int] | None = None, val_ratio: float = 0.0, seed: int = 1337, keep_running: bool = False) -> None:
+    """Take documents (source, row_id, n_tokens) of a stream up to each source's budgets, in the order of arrival and then row_id, as `tokens.quota` does for a table.
 
-    A source without a budget gives nothing.
+    What each batch takes goes to rows/batch=<number> in the folder, and what is used up
+    after it to used/batch=<number>, a row for each source.  A batch goes on from what
+    the one before has used, and one that is run again replaces itself, so the query
+    may break off anywhere.  Running sums have two levels, so no worker holds a source.
+    Sources without a budget, and those that are full, give nothing.
     """
-
-    def one(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values("row_id")
-        take = []
-        for n in rows.n_tokens:
-            t = max(0, min(int(n), budgets.get(key[0], 0) - used))
-            used += t
-            take.append(t)
-        state.update((used,))
-        kept = rows.assign(take=take)
-        yield kept[kept["take"] > 0][["source", "row_id", "n_tokens", "take"]]
-
-    rows = stream.select("source", "row_id", "n_tokens")
-    return rows.groupBy("source").applyInPandasWithState(one, "source string, row_id long, n_tokens long, take long", "used long", "append", GroupStateTimeout.NoTimeout)
+    given = {s: (int(n), int((val_budgets or {}).get(s, 0))) for s, n in budgets.items()}
+
+    def put(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        used = _used(spark, folder, batch)
+        start = spark.createDataFrame([(s, *n) for s, n in given.items()], "source string, budget long, val_budget long")
+        left = start.join(used, "source", "left") if used is not None else start.withColumns({"train_used": F.lit(0), "val_used": F.lit(0)})
+        left = left.select("source", *((F.col(b) - F.coalesce(u, F.lit(0))).cast("long").alias(b) for b, u in (("budget", "train_used"), ("val_budget", "val_used"))))
+        rows = df.select("source", "row_id", "n_tokens").join(F.broadcast(left.where("budget > 0 OR val_budget > 0")), "source")  # a row for each source that has a budget
+        taken = K.quota(rows, val_ratio, seed).select("source", "row_id", "n_tokens", "split", "take")
+        taken.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        added = spark.read.schema(taken.schema).parquet(f"{folder}/rows/batch={batch}").groupBy("source").agg(*(F.sum(F.when(F.col("split") == s, F.col("take")).otherwise(0)).alias(f"{s}_used") for s in ("train", "val")))
+        both = added if used is None else added.unionByName(used).groupBy("source").agg(F.sum("train_used").alias("train_used"), F.sum("val_used").alias("val_used"))
+        both.coalesce(1).write.mode("overwrite").parquet(f"{folder}/used/batch={batch}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(put)
+    (writer if keep_running else writer.trigger(availableNow=True)).start().awaitTermination()
+
+
+def _used(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
+    """What is used up after the last batch before this one, or none."""
+    store, base = filesystem(folder)
+    whole = [int(f.path.rpartition("batch=")[2].partition("/")[0]) for f in store.get_file_info(pafs.FileSelector(f"{base}/used", allow_not_found=True, recursive=True)) if f.base_name == "_SUCCESS"]
+    before = max((n for n in whole if n < batch), default=None)
+    return None if before is None else spark.read.schema("source string, train_used long, val_used long").parquet(f"{folder}/used/batch={before}")
+
+
+def taken_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All that `fill_budgets` has taken, with the batch that took it."""
+    return spark.read.schema("source string, row_id long, n_tokens long, split string, take long, batch long").parquet(f"{folder}/rows")
 
 
 def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "event_type") -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators import tokens as K
 from corpusloom.sources import growing as G
 from corpusloom.streaming import streams as T
 
@@ -93,3 +94,25 @@ def test_a_repeated_batch_adds_no_line(spark, tmp_path):
     G.append_record(log, {"n": 99, "s": "by hand"})
     assert G.logged(spark, log, "n long, s string").where(F.col("n") == 99).first().batch == 2
     assert G.logged(spark, str(tmp_path / "none"), "n long").count() == 0
+
+
+def test_budgets_of_a_stream(spark, tmp_path):
+    """Batches give what one table gives, in both splits, and a batch that is run again takes no more."""
+    rows = [("s" if i % 3 else "t", i, 1 + i * 7 % 5) for i in range(90)] + [("none", 200, 3)]
+    df = spark.createDataFrame(rows, "source string, row_id long, n_tokens long")
+    budgets, val = {"s": 100, "t": 30}, {"s": 40, "t": 9}
+    limits = F.when(F.col("source") == "s", 100).when(F.col("source") == "t", 30), F.when(F.col("source") == "s", 40).when(F.col("source") == "t", 9)
+    known = df.where("source <> 'none'").withColumns({"budget": limits[0].cast("long"), "val_budget": limits[1].cast("long")})
+    want = sorted((r.source, r.row_id, r.split, r["take"]) for r in K.quota(known, 0.3, 7).collect())
+    out = str(tmp_path / "out")
+    for at in (0, 30, 60):
+        df.where((F.col("row_id") >= at) & (F.col("row_id") < (at + 30 if at < 60 else 999))).write.mode("append").parquet(str(tmp_path / "in"))
+        for again in (False, True):
+            T.fill_budgets(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), budgets, out, val, 0.3, 7)
+            if not again:  # the query broke off before its batch was committed
+                for f in (tmp_path / "out" / "state" / "commits").glob(f"*{at // 30}*"):
+                    f.unlink()
+    got = T.taken_rows(spark, out)
+    assert sorted((r.source, r.row_id, r.split, r["take"]) for r in got.collect()) == want
+    assert {r.batch for r in got.select("batch").collect()} <= {0, 1, 2} and {s for _, _, s, _ in want} == {"train", "val"}
+    assert got.groupBy("source", "split").agg(F.sum("take").alias("n")).where("source = 't' AND split = 'train'").first().n == 30
