@@ -56,6 +56,22 @@ def smooth(df: DataFrame, run: str, order: str, value: str, keep: float = KEEP,
     return joined.groupBy(run, "block_").applyInPandas(one, schema)
 
 
+def trailing_each(df: DataFrame, run: str, elapsed: str, value: str, spans: tuple[int, ...] = TRAILING) -> DataFrame:
+    """Adds to every record the averages over the last seconds of its run up to it: avg_<seconds>s; zero and missing values don't count.
+
+    A run is cut into stretches as long as the longest span, each with the one before for
+    context, so that no task holds a run.  Records without a time have no averages.
+    """
+    names = [f"avg_{s}s" for s in spans]
+    own = F.floor(F.col(elapsed) / max(spans))
+    # A record stands in its own stretch, and for context in the next one.
+    spread = df.where(F.col(elapsed).isNotNull()).withColumn("own_", own).withColumn("block_", F.explode(F.array(F.col("own_"), F.col("own_") + 1)))
+    near = Window.partitionBy(run, "block_").orderBy(elapsed)
+    counted = F.nullif(F.col(value), F.lit(0))
+    timed = spread.withColumns({n: F.avg(counted).over(near.rangeBetween(-s, 0)) for n, s in zip(names, spans, strict=True)}).where("block_ = own_")
+    return timed.drop("own_", "block_").unionByName(df.where(F.col(elapsed).isNull()), allowMissingColumns=True)
+
+
 def trailing(df: DataFrame, run: str, elapsed: str, value: str, order: str, spans: tuple[int, ...] = TRAILING) -> DataFrame:
     """Averages over the last seconds before a run's last record; zero and missing values don't count, missing times do.
 

@@ -154,7 +154,10 @@ def growing_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", pa
 
 
 def tail_into(lines: DataFrame, folder: str, keep_running: bool = False) -> None:
-    """Everything there is now, or all that comes, into a table of lines with the batch that brought them; a batch that is run again replaces itself."""
+    """Everything there is now, or all that comes, into a table of lines with the batch that brought them; a batch that is run again replaces itself.
+
+    A query that broke off within a batch runs that again, and comes to what is new when it is called next.
+    """
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/lines/batch={batch}")

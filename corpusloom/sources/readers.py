@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+import json
+import time
 from collections.abc import Iterator, Mapping
 from functools import reduce
 from urllib.parse import unquote
@@ -11,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import nonblank, source_slug, strip
 
@@ -261,6 +264,10 @@ class RemoteRows(DataSource):
     yields mappings), dataset, config, split, start, retries, backoff.  Where `rows`
     says how many there are, `partitions` ranges are read at once.  Errors of
     access are not tried again; waits double up to a minute.
+
+    As a stream it reads on as the set grows: the module's count_rows(dataset, config,
+    split) says how many rows there are by now, and the query commits the row it has
+    reached, so one that breaks off goes on there.
     """
 
     DENIED = ("401", "403", "gated", "authentication", "not authorized", "unauthorized", "forbidden")
@@ -275,6 +282,9 @@ class RemoteRows(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _RemoteReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _RemoteStream(self.options)
+
 
 class _RemoteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
@@ -289,30 +299,63 @@ class _RemoteReader(DataSourceReader):
         return [_Rows(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def read(self, partition: _Rows) -> Iterator[tuple[int, str]]:
-        import importlib
-        import json
-        import time
+        return _remote_rows(self.options, partition)
+
+
+class _RemoteStream(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"row": int(self.options.get("start", "0"))}
 
+    def latestOffset(self) -> dict:
         o = self.options
-        open_rows = importlib.import_module(o["module"]).open_rows
-        at, failures = partition.start, 0
-        while at != partition.end:
-            try:
-                for row in open_rows(o["dataset"], o.get("config"), o.get("split", "train"), at):
-                    if not isinstance(row, Mapping):
-                        raise TypeError("a row must be a mapping")
-                    at, failures = at + 1, 0
-                    yield at, json.dumps(row)
-                    if at == partition.end:
-                        return
-                return
-            except TypeError:
+        return {"row": int(importlib.import_module(o["module"]).count_rows(o["dataset"], o.get("config"), o.get("split", "train")))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, b = start["row"], end["row"]
+        if b < a:
+            raise ValueError(f"the remote set has {b} rows, fewer than the {a} that were read")
+        n = max(1, min(int(self.options.get("partitions", "1")), b - a))
+        bounds = [a + (b - a) * i // n for i in range(n + 1)]
+        return [_Rows(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True) if x < y]
+
+    def read(self, partition: _Rows) -> Iterator[tuple[int, str]]:
+        at = partition.start
+        for at, row in _remote_rows(self.options, partition):
+            yield at, row
+        if at != partition.end:  # the batch would be committed without its last rows
+            raise OSError(f"the remote set ended at row {at}, before {partition.end}")
+
+
+def _remote_rows(o: dict[str, str], partition: _Rows) -> Iterator[tuple[int, str]]:
+    """Rows of a range, numbered from 1; after a failure the set is opened again at the row that is wanted next."""
+    open_rows = importlib.import_module(o["module"]).open_rows
+    at, failures = partition.start, 0
+    while at != partition.end:
+        try:
+            for row in open_rows(o["dataset"], o.get("config"), o.get("split", "train"), at):
+                if not isinstance(row, Mapping):
+                    raise TypeError("a row must be a mapping")
+                at, failures = at + 1, 0
+                yield at, json.dumps(row)
+                if at == partition.end:
+                    return
+            return
+        except TypeError:
+            raise
+        except Exception as e:
+            failures += 1
+            if failures > int(o.get("retries", "5")) or any(d in str(e).lower() for d in RemoteRows.DENIED):
                 raise
-            except Exception as e:
-                failures += 1
-                if failures > int(o.get("retries", "5")) or any(d in str(e).lower() for d in RemoteRows.DENIED):
-                    raise
-                time.sleep(min(60.0, float(o.get("backoff", "5")) * 2 ** (failures - 1)))
+            time.sleep(min(60.0, float(o.get("backoff", "5")) * 2 ** (failures - 1)))
+
+
+def remote_stream(spark: SparkSession, module: str, dataset: str, **options: str) -> DataFrame:
+    """The rows of a remote set (row_no, row as JSON) as a stream that goes on as the set grows."""
+    spark.dataSource.register(RemoteRows)
+    return spark.readStream.format("remote_rows").options(module=module, dataset=dataset, **options).load()
 
 
 def remote_documents(spark: SparkSession, module: str, dataset: str, text_field: str = "text", max_documents: int | None = None, **options: str) -> DataFrame:

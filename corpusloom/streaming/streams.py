@@ -87,7 +87,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Everything there is now, through the stream, as a table in a shared folder with its checkpoint; run again, it goes on from there.
 
-    Rows are appended by the file sink; a complete result replaces the one before.
+    Rows are appended by the file sink; a complete result replaces the one before.  After
+    a batch that broke off, a source of our own runs that again, and comes to what is
+    new when it is called next.
     """
     spark, rows = stream.sparkSession, f"{folder}/rows"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus as C
+from corpusloom.operators import metrics as M
 from corpusloom.operators import tokens as K
 from corpusloom.operators import verify as V
 from corpusloom.plans import prepare
@@ -186,3 +187,13 @@ def test_tokenizers(spark):
     vocabulary = json.load(open(tokenizers.path("byte_bpe_50k.json")))["model"]["vocab"]
     report = T.audit(T.vocabulary(spark, vocabulary), spark.createDataFrame([(5, 3)], "id long, n long")).first()
     assert report.single_bytes == 256 and report.learned > 40_000
+
+
+def test_trailing_averages_at_every_record(spark):
+    rows = [(r, i, i * 7.5 % 400 if i % 11 else None, float(i % 4) if i % 6 else None) for r in ("a", None) for i in range(80)]
+    got = M.trailing_each(spark.createDataFrame(rows, "run string, i long, at double, v double"), "run", "at", "v", (10, 60)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        for s in (10, 60):
+            near = [v for r, _, at, v in rows if r == x.run and at is not None and x.at is not None and x.at - s <= at <= x.at and v]
+            assert (x[f"avg_{s}s"] is None and not near) or abs(x[f"avg_{s}s"] - sum(near) / len(near)) < 1e-9

@@ -103,3 +103,26 @@ def test_run_files(spark, tmp_path):
         (tmp_path / f"run{k}").mkdir()
         (tmp_path / f"run{k}" / "status.json").write_text(json.dumps({"step": k}))
     assert sorted((r.run_id, r.step) for r in R.run_files(spark, str(tmp_path), "status.json").collect()) == [("run1", 1), ("run2", 2)]
+
+
+def test_remote_stream(spark, tmp_path):
+    """A query that breaks off before a batch is committed, and a set that grows: each row once."""
+    from corpusloom.streaming import streams as T
+
+
+    def look(count, there=None):
+        (tmp_path / "count").write_text(str(count))
+        (tmp_path / "there").write_text(str(count if there is None else there))
+        stream = R.remote_stream(spark, "tests.remote_set", str(tmp_path), partitions="3", backoff="0.01")
+        return sorted((r.row_no, json.loads(r.row)["i"]) for r in T.run_once(stream, str(tmp_path / "out")).collect())
+
+    assert look(7) == [(i + 1, i) for i in range(7)]
+    for f in (tmp_path / "out" / "state" / "commits").glob("*0*"):
+        f.unlink()
+    assert look(12) == [(i + 1, i) for i in range(7)]  # the batch that wasn't committed is run again first
+    assert look(12) == [(i + 1, i) for i in range(12)]
+    with pytest.raises(Exception, match="ended at row"):
+        look(20, there=15)
+    assert look(20) == [(i + 1, i) for i in range(20)]
+    with pytest.raises(Exception, match="fewer than"):
+        look(3)
