@@ -172,12 +172,12 @@ def run_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RUNS} SELECT run, step, {", ".join(f"round(avg(nullif(value, 0)) OVER (PARTITION BY run ORDER BY elapsed RANGE BETWEEN {s} PRECEDING AND CURRENT ROW), 6) AS avg_{s}s" for s in M.TRAILING)} FROM r"""
+    f"""WITH {_RUNS} SELECT run, step, {", ".join(f"round(avg(nullif(value, 0)) OVER (PARTITION BY run ORDER BY elapsed RANGE BETWEEN {s} PRECEDING AND CURRENT ROW) + 1e-9, 6) AS avg_{s}s" for s in M.TRAILING)} FROM r"""
 )
 def trailing_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailing averages at every record of every run."""
+    """Trailing averages at every record of every run, moved by 1e-9 before rounding, as exact ties depend on the order of a sum."""
     runs = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("run"), F.col("event_id").alias("step"), "value", (F.col("event_id") % 5000).cast("double").alias("elapsed"))
-    return M.trailing_each(runs, "run", "elapsed", "value").select("run", "step", *(F.round(f"avg_{s}s", 6).alias(f"avg_{s}s") for s in M.TRAILING))
+    return M.trailing_each(runs, "run", "elapsed", "value").select("run", "step", *(F.round(F.col(f"avg_{s}s") + 1e-9, 6).alias(f"avg_{s}s") for s in M.TRAILING))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
