@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..operators import evaluate as E
 from ..operators import metrics as M
 from ..operators import stats as A
 from ..streaming import streams as T
@@ -138,6 +139,25 @@ def weighted_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).agg(F.round(A.perplexity(ll, words), 9).alias("word_perplexity"), F.round(A.perplexity(ll, size), 9).alias("byte_perplexity"), F.round(A.bits(ll, size), 9).alias("bits_per_byte"))
 
 
+@query(
+    f"""WITH t AS (SELECT source, text, list_transform(string_split(text, ' '), lambda w: length(w)) AS x FROM documents WHERE text IS NOT NULL),
+k AS (SELECT source, len(x) AS tokens, len(string_split_regex(text, '{S.SPACE}+')) AS words, strlen(text) AS bytes,
+  list_sum(list_transform(x, lambda v, i: -ln(1 + abs(v - CASE WHEN i = 1 THEN 2 ELSE x[i - 1] END)))) AS ll FROM t)
+SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(words) AS BIGINT) AS words, CAST(sum(bytes) AS BIGINT) AS bytes,
+  round(exp(-sum(ll) / sum(words)), 6) AS word_perplexity, round(exp(-sum(ll) / sum(bytes)), 6) AS byte_perplexity, round(-sum(ll) / (sum(bytes) * ln(2)), 6) AS bits_per_byte FROM k GROUP BY source"""
+)
+def rolling_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexities of all texts, from windows of 64 ids on, under a stand-in for a model that asks for the id before each one."""
+
+    def score(tokens: Column, first: Column) -> Column:
+        steps = F.transform(F.sequence(first, F.size(tokens) - 1), lambda i: -F.log(1.0 + F.abs(F.get(tokens, i) - F.get(tokens, i - 1))))
+        return F.aggregate(F.when(F.size(tokens) > first, steps), F.lit(0.0), lambda a, x: a + x)
+
+    ids = F.transform(F.split("text", " ", -1), lambda x: F.length(x))
+    got = E.rolling_perplexity(table(spark, sf_dir, "documents"), ids, score, 64, 2, ["source"])
+    return got.select("source", "tokens", "words", "bytes", *(F.round(c, 6).alias(c) for c in ("word_perplexity", "byte_perplexity", "bits_per_byte")))
+
+
 @query(f"WITH {_SCORES}, m AS (SELECT source, avg(-ll) AS loss FROM sc GROUP BY source) SELECT source, round(loss, 6) AS loss, round(exp(least(20, loss)), 3) AS perplexity FROM m")
 def evaluation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scores(spark, sf_dir).groupBy("source").agg(F.avg(-F.col("ll")).alias("loss"))

@@ -197,3 +197,15 @@ def test_trailing_averages_at_every_record(spark):
         for s in (10, 60):
             near = [v for r, _, at, v in rows if r == x.run and at is not None and x.at is not None and x.at - s <= at <= x.at and v]
             assert (x[f"avg_{s}s"] is None and not near) or abs(x[f"avg_{s}s"] - sum(near) / len(near)) < 1e-9
+
+
+def test_perplexity_scores_each_token_once(spark):
+    from corpusloom.operators import evaluate as E
+
+    docs = spark.createDataFrame([("a", "1 2 3 4 5 6 7"), ("a", None), ("b", ""), ("b", "8")], "g string, text string")
+    ids = F.filter(F.transform(F.split("text", " "), lambda x: F.try_to_number(x, F.lit("99")).cast("int")), lambda x: x.isNotNull())
+    total = lambda tokens, first: -F.aggregate(F.slice(tokens, first + 1, F.size(tokens)), F.lit(0.0), lambda a, x: a + x)
+    rows = E.window_scores(docs, ids, total, 4, 0, ["g"]).orderBy("g", "ll").collect()
+    assert sorted((r.g, -(r.ll or 0), r.tokens, r.words, r.bytes) for r in rows) == [("a", 6, 3, 7, 13), ("a", 7, 1, 0, 0), ("a", 15, 3, 0, 0), ("b", 0, 0, 1, 0), ("b", 8, 1, 1, 1)]
+    by = {r.g: r for r in E.rolling_perplexity(docs, ids, total, 4, 0, ["g"]).collect()}
+    assert abs(by["a"].word_perplexity - np.exp(28 / 7)) < 1e-9 and abs(by["b"].bits_per_byte - 8 / np.log(2)) < 1e-9
