@@ -38,10 +38,11 @@ def id_counts(rows: DataFrame, groups: list[str]) -> DataFrame:
     return counted.groupBy(*groups, "token").agg(F.sum("n").alias("n"))
 
 
-def shard_statistics(shards: DataFrame, end: int | None) -> DataFrame:
-    """Rows (split, path, least, most, ends, tokens) of read shards (split, path, ids)."""
+def shard_statistics(slices: DataFrame, end: int | None) -> DataFrame:
+    """Rows (split, path, least, most, ends, tokens) of read shards, of their slices (split, path, ids)."""
     ends = F.size(F.filter("ids", lambda x: x == (-1 if end is None else end))).cast("long")
-    return shards.select("split", "path", F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), ends.alias("ends"), F.size("ids").cast("long").alias("tokens"))
+    each = slices.select("split", "path", F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), ends.alias("ends"), F.size("ids").cast("long").alias("tokens"))
+    return each.groupBy("split", "path").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("ends").alias("ends"), F.sum("tokens").alias("tokens"))
 
 
 def added(histograms: DataFrame, column: str = "token") -> DataFrame:

@@ -41,9 +41,9 @@ def english_mix(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, Any]
 def held(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train",)) -> DataFrame:
     """Rows (split, path, tokens, least, most, ends, total) of the shards that a manifest lists."""
     entries = W.entries_of(spark, f"{folder}/manifest.json").where(F.col("split").isin(*splits))
-    read = B.read(spark, folder, entries)
-    weighed = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    told = A.shard_statistics(read, 3).join(read.select("path", weighed.alias("total")), "path")
+    read = storage.materialize(B.read(spark, folder, entries, 500), "slices")
+    weighed = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1 + F.col("at"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    told = A.shard_statistics(read, 3).join(read.groupBy("path").agg(F.sum(weighed).alias("total")), "path")
     return told.select("split", "path", "tokens", F.col("least").cast("long").alias("least"), F.col("most").cast("long").alias("most"), "ends", "total")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_ID = 65_535
+#: Ids of a slice of a shard; slices or shards that a task reads one after another; tasks that read at most.
+SLICE, TOGETHER, MOST_TASKS = 1 << 18, 64, 10_000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -72,7 +74,7 @@ def cut(pieces: DataFrame) -> DataFrame:
         return rows[[*(f.name for f in more), "ids"]]
 
     schema = T.StructType([*more, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return pieces.groupBy("uri").applyInPandas(one, schema)
+    return _dealt(pieces, "uri").groupBy("uri").applyInPandas(one, schema)
 
 
 def copy(entries: DataFrame, folder: str) -> DataFrame:
@@ -84,7 +86,7 @@ def copy(entries: DataFrame, folder: str) -> DataFrame:
                 _write_file(folder, r.path, _load(r.uri, r.token_count, 0, r.take))
             yield rows[["path", "take"]]
 
-    return entries.select("uri", "token_count", "take", "path").mapInPandas(run, "path string, take long")
+    return _dealt(entries.select("uri", "token_count", "take", "path"), "path").mapInPandas(run, "path string, take long")
 
 
 def _load(uri: str, tokens: int, begin: int = 0, end: int | None = None) -> np.ndarray:
@@ -96,16 +98,27 @@ def _load(uri: str, tokens: int, begin: int = 0, end: int | None = None) -> np.n
         return np.frombuffer(f.read_at(2 * ((tokens if end is None else end) - begin), 2 * begin), "<u2")
 
 
-def read(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
-    """Rows (split, entry_no, path, ids) of listed shards; a file whose size isn't twice its count is an error."""
+def read(spark: SparkSession, folder: str, entries: DataFrame, most: int = SLICE) -> DataFrame:
+    """Rows (split, entry_no, path, at, ids) of listed shards, in slices of at most so many ids; a file whose size isn't twice its count is an error."""
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for r in rows.itertuples():
-                ids = _load(f"{folder}/{r.path}", r.token_count).astype(np.int32)
-                yield pd.DataFrame({"split": [r.split], "entry_no": [r.entry_no], "path": [r.path], "ids": [ids]})
+                ids = _load(f"{folder}/{r.path}", r.token_count, r.at, min(r.at + most, r.token_count)).astype(np.int32)
+                yield pd.DataFrame({"split": [r.split], "entry_no": [r.entry_no], "path": [r.path], "at": [r.at], "ids": [ids]})
 
-    return entries.select("split", F.col("entry_no").cast("long").alias("entry_no"), "path", "token_count").mapInPandas(load, "split string, entry_no long, path string, ids array<int>")
+    last = F.greatest(F.col("token_count") - 1, F.lit(0)).cast("long")
+    spans = entries.select("split", F.col("entry_no").cast("long").alias("entry_no"), "path", "token_count", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(most).cast("long"))).alias("at"))
+    return _dealt(spans, "path", "at").mapInPandas(load, "split string, entry_no long, path string, at long, ids array<int>")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that say what to read, a few bytes each, by key over all cores, and beyond that over a task for every TOGETHER keys, up to MOST_TASKS.
+
+    Their own size tells Spark nothing, and it would give them all to one task.
+    """
+    n, cores = rows.select(*keys).distinct().count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, max(cores, n // TOGETHER), MOST_TASKS)), *keys)
 
 
 def sizes(spark: SparkSession, folder: str) -> DataFrame:
