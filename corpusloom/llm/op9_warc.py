@@ -9,8 +9,11 @@ Reading: each archive is read back record by record, digests are checked, and
 its captures are sorted by (URL key, timestamp, page_id) into runs, files with
 the first key of each block.  Runs are merged by a loser tree: groups of
 ``FAN_IN`` into longer runs while there are more than that, and at last all of
-them.  Every merge goes by ranges of the key, which samples of the runs mark off.  The parts in
-order are the capture histories of all URLs.
+them.  Every merge goes by ranges of the key of about ``RUN`` captures, which
+samples of the runs mark off.  A merged run is a row of pieces, a file for each
+range, whose first and last keys the driver keeps.  They are listed in files for
+``LISTED`` ranges each, and a range opens only pieces that overlap it.  The
+parts in order are the capture histories of all URLs.
 
 Files count once a task has returned their paths, so those of lost or repeated
 tasks are never read.
@@ -28,10 +31,10 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -44,6 +47,8 @@ from . import _shared
 ROLL, FAN_IN, BLOCK, SAMPLES = 256_000_000, 64, 4096, 64
 #: Captures that are sorted in memory; an archive with more of them gives several runs.
 RUN = 100_000
+#: Ranges of a merge that share a list of pieces.
+LISTED = 64
 #: The date of captures that carry none.
 NO_DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the archive format.
@@ -187,7 +192,7 @@ class RunWriter:
     """A sorted run: blocks of captures, then the first key of each."""
 
     def __init__(self, uri: str) -> None:
-        self.uri, self.n, self.first, self.held = uri, 0, [], []
+        self.uri, self.n, self.first, self.last, self.held = uri, 0, [], None, []
         store, path = _shared.filesystem(uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = store.open_output_stream(path)
@@ -201,17 +206,19 @@ class RunWriter:
 
     def _block(self) -> None:
         self.first.append(_key(self.held[0]))
+        self.last = _key(self.held[-1])
         self.file.write_batch(pa.RecordBatch.from_pylist(self.held, CAPTURE))
         self.held = []
 
-    def close(self) -> dict:
+    def close(self, samples: int = SAMPLES) -> dict:
+        """Path, number, last key and about so many keys from the first on."""
         if self.held:
             self._block()
         self.file.close()
         self.out.close()
         _shared.write_json(f"{self.uri}.keys", self.first)
-        step = -(-len(self.first) // SAMPLES)
-        return {"path": self.uri, "captures": self.n, "sample": json.dumps(self.first[:: max(1, step)])}
+        step = -(-len(self.first) // samples)
+        return {"path": self.uri, "captures": self.n, "sample": json.dumps(self.first[:: max(1, step)]), "last": json.dumps(self.last)}
 
 
 def read_run(uri: str, low: tuple | None, high: tuple | None) -> Iterator[tuple[tuple, dict]]:
@@ -278,17 +285,40 @@ def _per_row(spark: SparkSession, rows: list[tuple], schema: str, work: Callable
     return _shared.spread(spark.createDataFrame(rows, schema), len(rows)).mapInArrow(run, out)
 
 
-_RUN = "place long, path string, captures long, sample string"
+_RUN = "place long, path string, captures long, sample string, last string"
+
+
+@dataclass
+class Piece:
+    """A file of sorted captures: the first and the last key in it."""
+
+    path: str
+    first: tuple
+    last: tuple
 
 
 @dataclass
 class Run:
-    """Sorted captures in files that follow one another, and some of their keys."""
+    """Sorted captures in pieces that follow one another, and some of their keys."""
 
-    paths: list[str]
+    pieces: list[Piece]
     captures: int
     sample: list[tuple]
 
+    def add(self, path: str, captures: int, sample: str, last: str) -> None:
+        """Append a file; one without captures holds nothing to merge."""
+        if captures:
+            keys = [tuple(k) for k in json.loads(sample)]
+            self.pieces.append(Piece(path, keys[0], tuple(json.loads(last))))
+            self.captures += captures
+            self.sample += keys
+
+    def within(self, low: tuple | None, high: tuple | None) -> list[Piece]:
+        """The pieces with keys from low on and below high."""
+        start = 0 if low is None else bisect_left(self.pieces, low, key=lambda p: p.last)
+        stop = len(self.pieces) if high is None else bisect_left(self.pieces, high, key=lambda p: p.first)
+        return self.pieces[start:stop]
+
 
 def index_runs(spark: SparkSession, archives: list[str], folder: str) -> list[Run]:
     """Read archives back; sorted runs of captures for each."""
@@ -301,64 +331,78 @@ def index_runs(spark: SparkSession, archives: list[str], folder: str) -> list[Ru
                 writer.add(x)
             yield pa.RecordBatch.from_pylist([{"place": 0, **writer.close()}])
 
-    done = _per_row(spark, [(a,) for a in archives], "archive string", work, _RUN).collect()
-    return [Run([r.path], r.captures, _sample(r.sample)) for r in done]
-
-
-def _sample(text: str) -> list[tuple]:
-    return [tuple(k) for k in json.loads(text)]
+    runs = []
+    for r in _per_row(spark, [(a,) for a in archives], "archive string", work, _RUN).collect():
+        runs.append(Run([], 0, []))
+        runs[-1].add(r.path, r.captures, r.sample, r.last)
+    return runs
 
 
 def key_ranges(runs: list[Run], parts: int) -> list[tuple[tuple | None, tuple | None]]:
-    """Ranges of the key that hold about as many captures each, by the samples of runs."""
-    sample = sorted(k for r in runs for k in r.sample)
-    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    """Ranges of the key that hold about as many captures each, by the samples of runs: each key stands for its share of its run."""
+    sample = sorted((k, r.captures / len(r.sample)) for r in runs for k in r.sample)
+    before = list(accumulate((w for _, w in sample), initial=0.0))
+    bounds = sorted({sample[min(len(sample) - 1, bisect_left(before, before[-1] * i / parts))][0] for i in range(1, parts)}) if sample else []
     return list(zip([None, *bounds], [*bounds, None], strict=True))
 
 
-def read_runs(runs: list[list[str]], low: tuple | None, high: tuple | None) -> Iterator[dict]:
-    """Captures of runs from low on and below high, merged by a loser tree."""
-    return iter(LoserTree([chain.from_iterable(read_run(p, low, high) for p in paths) for paths in runs]))
+def merge_rows(group: int, runs: list[Run], parts: int, folder: str) -> list[tuple[int, int, str, str]]:
+    """A row (group, range, bounds, list) for each range; the list is a file that names the pieces of LISTED ranges by run."""
+    ranges, rows = key_ranges(runs, parts), []
+    for i in range(0, len(ranges), LISTED):
+        some = ranges[i : i + LISTED]
+        uri = f"{folder}/pieces-{uuid.uuid4().hex}.json"
+        overlap = [[(p.path, p.first, p.last) for p in r.within(some[0][0], some[-1][1])] for r in runs]
+        _shared.write_json(uri, [x for x in overlap if x])
+        rows += [(group, i + j, json.dumps(bounds), uri) for j, bounds in enumerate(some)]
+    return rows
+
+
+def merged(bounds: str, uri: str) -> Iterator[dict]:
+    """Captures of a range of the key, merged by a loser tree from the listed pieces that overlap it."""
+    low, high = (None if x is None else tuple(x) for x in json.loads(bounds))
+    store, path = _shared.filesystem(uri)
+    with store.open_input_stream(path) as f:
+        listed = json.loads(f.read())
+    runs = [Run([Piece(p, tuple(a), tuple(b)) for p, a, b in each], 0, []).within(low, high) for each in listed]
+    return iter(LoserTree([chain.from_iterable(read_run(p.path, low, high) for p in pieces) for pieces in runs if pieces]))
+
+
+def _ranges_of(runs: list[Run]) -> int:
+    return max(1, -(-sum(r.captures for r in runs) // RUN))
+
+
+_RANGE = "group long, range long, bounds string, list string"
 
 
 def merge_level(spark: SparkSession, runs: list[Run], folder: str) -> list[Run]:
-    """Merge each FAN_IN runs to one, by ranges of the key of about RUN captures; no task merges more than a range."""
+    """Merge each FAN_IN runs to one; no task merges more than a range."""
     groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
-    rows = []
-    for g, group in enumerate(groups):
-        ranges = key_ranges(group, max(1, -(-sum(r.captures for r in group) // RUN)))
-        rows += [(g, i, json.dumps([r.paths for r in group]), json.dumps(bounds)) for i, bounds in enumerate(ranges)]
+    rows = [row for g, group in enumerate(groups) for row in merge_rows(g, group, _ranges_of(group), folder)]
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        low, high = (None if x is None else tuple(x) for x in json.loads(row["bounds"]))
         writer = RunWriter(f"{folder}/run-{uuid.uuid4().hex}.arrow")
-        for x in read_runs(json.loads(row["runs"]), low, high):
+        for x in merged(row["bounds"], row["list"]):
             writer.add(x)
-        yield pa.RecordBatch.from_pylist([{"place": row["group"] << 32 | row["range"], **writer.close()}])
+        # A key or a few of each piece: about SAMPLES of a run of few pieces, and the first of each of many.
+        yield pa.RecordBatch.from_pylist([{"place": row["group"] << 32 | row["range"], **writer.close(max(1, SAMPLES // FAN_IN))}])
 
     out = [Run([], 0, []) for _ in groups]
-    for r in sorted(_per_row(spark, rows, "group long, range long, runs string, bounds string", work, _RUN).collect()):
-        run = out[r.place >> 32]
-        run.paths.append(r.path)
-        run.captures += r.captures
-        run.sample += _sample(r.sample)
-    for run in out:
-        run.sample = run.sample[:: max(1, len(run.sample) // SAMPLES)]
+    for r in sorted(_per_row(spark, rows, _RANGE, work, _RUN).collect()):
+        out[r.place >> 32].add(r.path, r.captures, r.sample, r.last)
     return out
 
 
 def merge_runs(spark: SparkSession, runs: list[Run], folder: str, parts: int) -> DataFrame:
-    """All captures in the order of their keys, as rows (part, place, capture); parts follow one another."""
+    """All captures in the order of their keys, as rows (part, place, capture); parts, so many at least, follow one another."""
     while len(runs) > FAN_IN:
         runs = merge_level(spark, runs, folder)
-    paths = [r.paths for r in runs]
-    ranges = [(i, json.dumps(bounds)) for i, bounds in enumerate(key_ranges(runs, parts))]
+    rows = merge_rows(0, runs, max(parts, _ranges_of(runs)), folder)
 
     def last(row: dict) -> Iterator[pa.RecordBatch]:
-        low, high = (None if x is None else tuple(x) for x in json.loads(row["bounds"]))
         held, place = [], 0
-        for x in read_runs(paths, low, high):
-            held.append(x | {"part": row["part"], "place": place})
+        for x in merged(row["bounds"], row["list"]):
+            held.append(x | {"part": row["range"], "place": place})
             place += 1
             if len(held) == BLOCK:
                 yield pa.RecordBatch.from_pylist(held, _PLACED)
@@ -366,7 +410,7 @@ def merge_runs(spark: SparkSession, runs: list[Run], folder: str, parts: int) ->
         if held:
             yield pa.RecordBatch.from_pylist(held, _PLACED)
 
-    return _per_row(spark, ranges, "part long, bounds string", last, f"part long, place long, {CAPTURE_DDL}")
+    return _per_row(spark, rows, _RANGE, last, f"part long, place long, {CAPTURE_DDL}")
 
 
 _PLACED = pa.schema([("part", pa.int64()), ("place", pa.int64()), *CAPTURE])

@@ -54,14 +54,45 @@ def test_merges_by_ranges(spark, monkeypatch, tmp_path):
         for r in sorted(rows, key=W._key):
             writer.add(r)
         done = writer.close()
-        runs.append(W.Run([done["path"]], done["captures"], W._sample(done["sample"])))
+        runs.append(W.Run([], 0, []))
+        runs[-1].add(**done)
         every += map(W._key, rows)
     merged = W.merge_level(spark, runs, f"file://{tmp_path}")
-    assert len(merged) == 4 and max(len(r.paths) for r in merged) > 1 and sum(r.captures for r in merged) == 7 * 25
+    assert len(merged) == 4 and max(len(r.pieces) for r in merged) > 1 and sum(r.captures for r in merged) == 7 * 25
     got = sorted(W.merge_runs(spark, runs, f"file://{tmp_path}", 3).collect(), key=lambda r: (r.part, r.place))
     assert [W._key(r.asDict()) for r in got] == sorted(every)
 
 
+def test_ranges_open_only_pieces_that_overlap(monkeypatch, tmp_path):
+    """Three runs of 40 pieces: a range opens the few that hold its keys, through lists of four ranges."""
+    monkeypatch.setattr(W, "LISTED", 4)
+    blank, runs, every, opened = dict.fromkeys(f.name for f in W.CAPTURE), [], [], []
+    for k in range(3):
+        runs.append(W.Run([], 0, []))
+        for piece in range(40):
+            writer = W.RunWriter(f"file://{tmp_path}/{k}-{piece}.arrow")
+            for i in range(10):
+                row = blank | {"url_key": f"u{piece * 10 + i:04d}", "timestamp": "t", "page_id": k, "path": f"p{k}", "offset": i}
+                writer.add(row)
+                every.append(W._key(row))
+            runs[-1].add(**writer.close())
+    read = W.read_run
+    monkeypatch.setattr(W, "read_run", lambda path, low, high: opened.append(path) or read(path, low, high))
+    rows, got = W.merge_rows(0, runs, 30, f"file://{tmp_path}"), []
+    assert len(rows) == 30 and len({r[3] for r in rows}) == 8
+    for _, _, bounds, listed in rows:
+        opened.clear()
+        got += map(W._key, W.merged(bounds, listed))
+        assert 3 <= len(opened) <= 9 and len(set(opened)) == len(opened)
+    assert got == sorted(every)
+
+
+def test_ranges_weigh_runs():
+    """A long run with few keys counts as much as its captures."""
+    long, short = W.Run([], 9000, [(f"a{i}",) for i in range(9)]), W.Run([], 90, [(f"b{i:02d}",) for i in range(90)])
+    assert [low for low, _ in W.key_ranges([long, short], 3)] == [None, ("a4",), ("a7",)] and W.key_ranges([], 3) == [(None, None)]
+
+
 def test_loser_tree():
     dice = random.Random(1)
     for k in (0, 1, 2, 3, 7, 8):
