@@ -5,8 +5,9 @@ is; the largest inner product is then the smallest Euclidean distance.  All are
 projected to ``DIMENSIONS`` dimensions by a Gaussian matrix, and a kd-tree indexes
 every projected vector.  The top of the tree is fitted on the projections of at
 most ``SAMPLE`` vectors, those with the smallest hash of their id; its leaves are
-cells of about ``CELL`` vectors, and each cell is a file in the shared folder,
-built once, that holds the rest of the tree.
+cells.  Vectors of a cell are counted, and dealt by a hash over files of about
+``CELL`` vectors in the shared folder, built once, that hold the rest of the
+tree.  So neither a large table nor a crowded cell makes a file grow.
 
 A search goes down to the leaf of its own projection for a first k-th best, and
 from there on takes projected neighbours in the order of their distance, walking
@@ -17,11 +18,13 @@ projected distance at which the test holds with a probability below 1 -
 ``CONFIDENCE``, and the search stops there.  As better vectors are found the
 radius shrinks.
 
-A task takes one block of queries through every ``TASKS``-th cell, one after
-another, skips cells that no radius reaches, and carries the k best found along,
-so what a query gives rise to doesn't grow with the number of cells.  Cells are
-listed in one file; the driver handles a row for each cell and block.  Equal
-vectors are one entry with its k + 1 smallest ids, since ties go to smaller ids.
+Queries are put in blocks by the cell that they fall in.  A task takes a block
+through the cells from the nearest to the farthest, its own first, and carries
+the k best found along.  The boxes of all cells are in one file, so cells that
+no radius of the block reaches are never read, the others once for the block,
+and what a query gives rise to doesn't grow with the number of cells.  The
+driver handles a row for each file and block.  Equal vectors are one entry with
+its k + 1 smallest ids, since ties go to smaller ids.
 
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, and rows without an id take no part; of several vectors
@@ -32,7 +35,6 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import io
-import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,10 +48,10 @@ from pyspark.sql import functions as F
 from . import _shared
 
 DIMENSIONS, LEAF, CONFIDENCE, SEED = 16, 64, 0.9, 5
-#: Vectors of a cell, about, and the most cells; vectors that the top of the tree is fitted on.
+#: Vectors of a file, about, and the most cells; vectors that the top of the tree is fitted on.
 CELL, MOST_CELLS, SAMPLE = 8_192, 4_096, 50_000
-#: Queries of a block, about, and tasks that share the cells for a block.
-QUERIES, TASKS = 1_024, 4
+#: Queries of a block at most, about.
+QUERIES = 256
 #: Queries that walk the tree together, and vectors that a search verifies between its first tests; each next step takes as many as all before.
 TOGETHER, FIRST = 128, 128
 
@@ -255,12 +257,6 @@ class Cell:
         found += [(-s, x) for s, x in before]
         return [(-s, x) for s, x in sorted(found)[:k]]
 
-    def near(self, queries: np.ndarray, k: int, ratio: float, best: list[list[tuple[float, int]]]) -> np.ndarray:
-        """Which queries the cell must be searched for: those whose stopping radius reaches its box."""
-        last = np.array([b[-1][0] if len(b) >= k else -np.inf for b in best])
-        radius = ratio * np.maximum(self.norm2 + (queries * queries).sum(axis=1) - 2 * last, 1e-12)
-        return self._reach(np.zeros(len(queries), np.int64), queries @ self.g) <= radius
-
 
 def _halves(n: int, level: int) -> np.ndarray:
     """Bounds of the nodes of a level over n vectors, each cut in the middle."""
@@ -297,8 +293,36 @@ def _matrix(b: pa.RecordBatch | pa.Table, size: int) -> np.ndarray:
     return np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()).reshape(-1, size)
 
 
-def build_cells(rows: DataFrame, size: int, total: int, norm2: float, keep: int, folder: str) -> list[str]:
-    """Index all vectors of one length; the paths of the cells."""
+@dataclass
+class Cells:
+    """What searches know of all cells of one length of vectors: their boxes and files."""
+
+    norm2: float
+    low: np.ndarray
+    high: np.ndarray
+    files: list[list[str]]
+
+    def save(self, uri: str) -> None:
+        names = np.array([f for each in self.files for f in each])
+        _save(uri, norm2=np.array(self.norm2), low=self.low, high=self.high, names=names, sizes=np.array([len(x) for x in self.files]))
+
+    @classmethod
+    def load(cls, uri: str) -> Cells:
+        parts = _load(uri)
+        names, ends = parts["names"].tolist(), np.cumsum(parts["sizes"]).tolist()
+        return cls(float(parts["norm2"]), parts["low"], parts["high"], [names[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+
+    def reach(self, p: np.ndarray) -> np.ndarray:
+        """Squared distances of projections (rows) from the boxes of cells (columns)."""
+        out = np.zeros((len(p), len(self.files)))
+        for d in range(p.shape[1]):
+            x = p[:, d : d + 1]
+            out += np.maximum(0, np.maximum(self.low[:, d] - x, x - self.high[:, d])) ** 2
+        return out
+
+
+def place(rows: DataFrame, size: int, total: int, norm2: float) -> DataFrame:
+    """Rows (vec_id, vector, cell) of all vectors of one length."""
     levels = max(0, min(MOST_CELLS, -(-total // CELL)) - 1).bit_length()
     of_size = rows.where(F.col("size") == size).select("vec_id", "vector")
     drawn = of_size.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector") if levels else of_size.limit(0).select("vector")
@@ -314,41 +338,64 @@ def build_cells(rows: DataFrame, size: int, total: int, norm2: float, keep: int,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.cells(projected(_matrix(b, size), norm2)))], ["vec_id", "vector", "cell"])
 
+    return of_size.mapInArrow(placed, "vec_id long, vector array<double>, cell long")
+
+
+def deal(rows: DataFrame, most: int, key: str) -> DataFrame:
+    """Adds part, so that those of a cell and part are about `most` rows; rows of equal keys stay together."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))  # MOST_CELLS rows at most
+    return rows.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
+
+
+def build_cells(placed: DataFrame, size: int, norm2: float, keep: int, folder: str) -> Cells:
+    """Index all vectors of one length, given with their cells."""
+
     def build(group: pa.Table) -> pa.Table:
         uri = f"{folder}/{uuid.uuid4().hex}.npz"
-        _save(uri, **Cell.build(np.asarray(group["vec_id"]), _matrix(group, size), norm2, keep))
-        return pa.table({"path": [uri]})
+        parts = Cell.build(np.asarray(group["vec_id"]), _matrix(group, size), norm2, keep)
+        _save(uri, **parts)
+        box = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (parts["low"][0], parts["high"][0])]
+        return pa.table([group["cell"][:1].combine_chunks(), pa.array([uri]), *box], ["cell", "path", "low", "high"])
 
-    # Copies beyond those that can be found are left out before the exchange, so that a frequent vector doesn't fill a cell.
+    # Copies beyond those that can be found are left out before the exchange, so that a frequent vector doesn't fill a file.
     copy = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    entries = of_size.withColumn("copy", copy).where(F.col("copy") <= keep).select("vec_id", "vector")
-    return sorted(r.path for r in entries.mapInArrow(placed, "vec_id long, vector array<double>, cell long").groupBy("cell").applyInArrow(build, "path string").collect())
+    entries = placed.withColumn("copy", copy).where(F.col("copy") <= keep).drop("copy")
+    built = deal(_shared.materialize(entries, "entries"), CELL, "vector").groupBy("cell", "part").applyInArrow(build, "cell long, path string, low array<double>, high array<double>")
+    found: dict[int, list] = {}
+    for r in built.collect():  # a row for each file
+        found.setdefault(r.cell, []).append(r)
+    low, high = (np.array([side([r[name] for r in x], axis=0) for x in found.values()]) for side, name in ((np.min, "low"), (np.max, "high")))
+    return Cells(norm2, low, high, [[r.path for r in x] for x in found.values()])
 
 
-def write_blocks(asked: DataFrame, size: int, n: int, folder: str) -> list[str]:
-    """Write queries of one length as n files of about equal size; their paths."""
+def write_blocks(asked: DataFrame, size: int, folder: str) -> list[str]:
+    """Write queries of one length, given with their cells, as files of about QUERIES at most; their paths."""
 
     def run(group: pa.Table) -> pa.Table:
         uri = f"{folder}/{uuid.uuid4().hex}.npz"
         _save(uri, ids=np.asarray(group["vec_id"]), vectors=_matrix(group, size))
         return pa.table({"path": [uri]})
 
-    dealt = asked.where(F.col("size") == size).select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"))
-    return [r.path for r in dealt.groupBy("part").applyInArrow(run, "path string").collect()]
+    return [r.path for r in deal(asked, QUERIES, "vec_id").groupBy("cell", "part").applyInArrow(run, "path string").collect()]
 
 
-def search_block(queries: dict[str, np.ndarray], cells: list[str], k: int, ratio: float) -> tuple[list[list[tuple[float, int]]], int]:
-    """The k best of each query over the cells, and how many vectors were verified."""
+def search_block(queries: dict[str, np.ndarray], cells: Cells, k: int, ratio: float, load: Callable[[str], dict[str, np.ndarray]] = _load) -> tuple[list[list[tuple[float, int]]], int]:
+    """The k best of each query over the cells, and how many vectors were verified; only cells that a radius reaches are loaded."""
     ids, vectors, verified = queries["ids"], queries["vectors"], 0
     best: list[list[tuple[float, int]]] = [[] for _ in ids]
-    for path in cells:
-        cell = Cell(_load(path))
-        near = np.flatnonzero(cell.near(vectors, k, ratio, best))
-        some = [best[i] for i in near]
-        cell.search(ids[near], vectors[near], k, ratio, some)
-        for i, b in zip(near.tolist(), some, strict=True):
-            best[i] = b
-        verified += cell.verified
+    reach = cells.reach(vectors @ projection(vectors.shape[1])[:-1])
+    length, last = cells.norm2 + (vectors * vectors).sum(axis=1), np.full(len(ids), -np.inf)
+    for c in np.argsort(reach.mean(axis=0), kind="stable").tolist():
+        for path in cells.files[c]:
+            near = np.flatnonzero(reach[:, c] <= ratio * np.maximum(length - 2 * last, 1e-12))
+            if not len(near):
+                break
+            cell, some = Cell(load(path)), [best[i] for i in near]
+            cell.search(ids[near], vectors[near], k, ratio, some)
+            for i, b in zip(near.tolist(), some, strict=True):
+                best[i] = b
+                last[i] = b[-1][0] if len(b) >= k else -np.inf
+            verified += cell.verified
     return best, verified
 
 
@@ -359,31 +406,27 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, confidence: float = C
     rows = _shared.materialize(usable(vectors, id_col, vector_col), "vectors")
     is_query = F.count_if(F.expr(queries)).alias("asked")
     sizes = rows.groupBy("size").agg(F.count("*").alias("total"), F.max("norm2").alias("norm2"), is_query).collect()  # a row for each length of vectors
-    ratio, listed, work = stop_ratio(confidence), {}, []
+    ratio, work = stop_ratio(confidence), []
     for s in sorted(sizes):
         if s.asked:
-            listed[str(s["size"])] = build_cells(rows, s["size"], s.total, s.norm2, k + 1, f"{folder}/cells")
-            tasks = min(TASKS, len(listed[str(s["size"])]))
-            blocks = write_blocks(rows.where(queries), s["size"], max(1, -(-s.asked // QUERIES)), f"{folder}/queries")
-            work += [(block, str(s["size"]), i, tasks) for block in blocks for i in range(tasks)]
+            placed = _shared.materialize(place(rows, s["size"], s.total, s.norm2), "placed")
+            listed = f"{folder}/cells-{s['size']}.npz"
+            build_cells(placed, s["size"], s.norm2, k + 1, f"{folder}/cells").save(listed)
+            work += [(block, listed) for block in write_blocks(placed.where(queries), s["size"], f"{folder}/queries")]
     if not work:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _shared.write_json(f"{folder}/cells.json", listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in b.to_pylist():
-                store, path = _shared.filesystem(f"{folder}/cells.json")
-                with store.open_input_stream(path) as f:
-                    cells = json.loads(f.read())[w["size"]][w["first"] :: w["tasks"]]
                 queries = _load(w["block"])
-                best, _ = search_block(queries, cells, k, ratio)
+                best, _ = search_block(queries, Cells.load(w["cells"]), k, ratio)
                 for at in range(0, len(best), 1024):
                     found = [(i, x, s) for i, each in zip(queries["ids"][at : at + 1024].tolist(), best[at : at + 1024], strict=True) for s, x in each]
                     columns = list(zip(*found, strict=True)) or [(), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    tasks = _shared.spread(spark.createDataFrame(work, "block string, size string, first int, tasks int"), len(work))
+    tasks = _shared.spread(spark.createDataFrame(work, "block string, cells string"), len(work))
     found = tasks.mapInArrow(run, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -171,6 +171,40 @@ def test_neighbours_stop_early(spread, share):
     assert cell.verified < share * len(asked) * 6000
 
 
+def test_neighbours_load_only_cells_within_reach():
+    """Forty far clusters, a cell of two files each: a block reads its own cluster's files, once."""
+    dice, loaded = np.random.default_rng(5), []
+    middle = dice.normal(size=(40, 32)) * 10
+    groups = [m + dice.normal(size=(300, 32)) * 0.05 for m in middle]
+    norm2 = max(float((x * x).sum(axis=1).max()) for x in groups)
+    files, boxes = {}, []
+    for c, x in enumerate(groups):
+        for part in (0, 1):
+            files[f"{c}-{part}"] = N.Cell.build(np.arange(len(x))[part::2] + 300 * c, x[part::2], norm2, 21)
+        boxes.append([side([files[f"{c}-{part}"][name][0] for part in (0, 1)], axis=0) for side, name in ((np.min, "low"), (np.max, "high"))])
+    cells = N.Cells(norm2, np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes]), [[f"{c}-0", f"{c}-1"] for c in range(40)])
+    longest = int(np.argmax((middle * middle).sum(axis=1)))  # where the largest inner product is the nearest, too
+    asked = np.arange(0, 300, 20)
+    best, _ = N.search_block({"ids": asked + 300 * longest, "vectors": groups[longest][asked]}, cells, 20, N.stop_ratio(), lambda path: loaded.append(path) or files[path])
+    assert {f"{longest}-0", f"{longest}-1"} <= set(loaded) and len(loaded) == len(set(loaded)) <= 8
+    every, hits = np.concatenate(groups), 0
+    for i, found in zip(asked, best, strict=True):
+        scores = every @ groups[longest][i]
+        order = [j for j in np.lexsort((np.arange(len(every)), -scores)).tolist() if j != i + 300 * longest][:20]
+        hits += len(set(order) & {j for _, j in found})
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_neighbours_split_crowded_cells(spark, monkeypatch):
+    """Queries and vectors of one cell are dealt over parts, equal keys together."""
+    monkeypatch.setattr(N, "MOST_CELLS", 2)
+    rows = spark.range(1000).selectExpr("id AS vec_id", "array(cast(id % 100 AS double)) AS vector", "id % 2 AS cell")
+    got = N.deal(rows, 50, "vector").groupBy("cell", "part").agg({"vector": "count", "vec_id": "count"}).collect()
+    assert len(got) == 20 and N.deal(rows.limit(0), 50, "vector").count() == 0
+    together = N.deal(rows, 50, "vector").groupBy("vector", "cell").agg({"part": "max"}).count()
+    assert together == N.deal(rows, 50, "vector").select("vector", "cell", "part").distinct().count()
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     """Nulls, empty texts, ties, repeated rows, no rows; extra columns go."""
     import corpus_pipeline as P
