@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network over words, with attention pooling, in numpy.
 
-A word's input is the embedding of its hash plus the mean embedding of its byte
-n-grams, so words never met still show their stems.  The network reads windows
+A word's input is the embedding of its hash plus the mean embedding of its
+n-grams of characters (code points, the marks of its ends included), so words never met still show their stems.  The network reads windows
 of ``WINDOW`` words that overlap by ``WINDOW - STRIDE`` and cover the whole text;
 attention weighs the states of both directions, and a logistic unit scores the
 window.  A document's score is that of its highest window.
@@ -95,12 +95,12 @@ def _words_together(texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word; buckets of all its n-grams, one word after another; how many each word has."""
-    marked = [b"^" + w + b"$" for w in words]
-    x = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    """Bucket of each word; buckets of all its n-grams of characters, one word after another; how many each word has."""
+    marked = [f"^{w.decode('utf-8', 'replace')}$" for w in words]  # a part of a long word may begin or end within a character
+    x = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) for w in marked])
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(len(x))  # bytes to the word's end
+    left = np.repeat(ends, sizes) - np.arange(len(x))  # characters to the word's end
     owner = np.repeat(np.arange(len(words)), sizes)
     power = np.full(len(x), 31, np.uint64) ** (left.astype(np.uint64) & np.uint64(127))
     whole = np.add.reduceat(x * power, ends - sizes)

@@ -267,7 +267,7 @@ def plain_toxicity(p, text):
     sig = lambda z: 1 / (1 + np.exp(-z))
 
     def vector(w):
-        x = b"^" + w + b"$"
+        x = [ord(c) for c in f"^{w.decode('utf-8', 'replace')}$"]
         out = p["words"][bucket(sum(c * pow(31, (len(x) - i) & 127, whole) for i, c in enumerate(x)))].astype(float)
         grams = []
         for n in T.NGRAMS:
@@ -336,6 +336,15 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2 / e - g[at]) < 2e-3 * abs(g[at]) + 1e-5, name
 
 
+def test_toxicity_ngrams_are_of_characters():
+    """Words of three characters in any script have as many n-grams, and share those of equal characters."""
+    for word in ("abc", "été", "мир", "日本語", "😀😁😂"):
+        assert T._hashes([word.encode()])[2].tolist() == [3 + 2 + 1]
+    one, two = (set(T._hashes([w.encode()])[1].tolist()) for w in ("привет", "приветы"))
+    assert len(one & two) >= 12
+    assert T._hashes(["日".encode()[:2]])[2].tolist() == [1]
+
+
 @pytest.mark.parametrize("together", [T.TOGETHER, 40])
 def test_toxicity_words(monkeypatch, odd_rows, together):
     texts = [t for _, t in odd_rows] + ["(a) ... 'b' c-d, ÀÉ!", "...", "x" * 300 + " y", "\"" * 70, "", None, "İΣσς end.", "a\x1cb\x85c"]
