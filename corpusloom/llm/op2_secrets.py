@@ -2,10 +2,12 @@
 
 `trigram_query` derives from each rule's pattern a Boolean query over trigrams
 that any match must contain (lower-cased, so one index serves all rules).  The
-index lists for each trigram of these queries the documents that hold it.  The
-lists are intersected and united by document as the queries say, which leaves
-candidates; the pattern then runs over the whole texts of these alone.  A rule
-without mandatory trigrams runs over every text.
+index is a written table of posting lists by trigram, read off each text in one
+pass.  Lists are intersected from the shortest on, and united, as the queries
+say, which leaves candidates; the pattern then runs over the whole texts of
+these alone.  A rule without mandatory trigrams runs over every text.  The index
+holds the trigrams that rules have asked for, as all trigrams of all texts would
+take several times their space; other rules reuse its lists and add new ones.
 
 Postings carry a hash of doc_id and text instead of the text, so building and
 intersecting the index moves little.  Candidates are written and counted, and
@@ -19,6 +21,7 @@ rows; extra columns are ignored by `find_secrets` and kept by `redact`.
 
 from __future__ import annotations
 
+import re
 import re._constants as kinds
 import re._parser as parser
 from dataclasses import dataclass, field
@@ -57,7 +60,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class Query:
-    """all: every part holds; any: one of them.  A query without parts is true for 'all'."""
+    """all: every part holds; any: one of them."""
 
     how: str = "all"
     parts: tuple[Query | str, ...] = field(default=())
@@ -65,12 +68,6 @@ class Query:
     def trigrams(self) -> set[str]:
         return set().union(*({p} if isinstance(p, str) else p.trigrams() for p in self.parts))
 
-    def column(self, has) -> Column:
-        parts = [has(p) if isinstance(p, str) else p.column(has) for p in self.parts]
-        if not parts:
-            return F.lit(self.how == "all")
-        return reduce((lambda a, b: a & b) if self.how == "all" else (lambda a, b: a | b), parts)
-
 
 def _of_strings(strings: set[str]) -> Query | None:
     """One of the strings occurs; None if some string is too short to say anything."""
@@ -160,17 +157,58 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def trigram_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, row_key): the rows whose lower-cased text holds each of the trigrams."""
-    grams = F.array(*map(F.lit, trigrams))
-    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(grams, lambda g: F.contains(low, g)))  # lower-cases once
-    return rows.select("row_key", F.explode(F.element_at(held, 1)).alias("trigram"))
+def own_trigrams(text: Column, wanted: list[str]) -> Column:
+    """Those of the trigrams that the lower-cased text holds, each once: one pass that looks at every position of it."""
+    after: dict[str, list[str]] = {}
+    for g in sorted(wanted):
+        after.setdefault(re.escape(g[0]), []).append(re.escape(g[1:]))
+    either = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in after.items())
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=[{''.join(after)}])(?=({either}))"), F.lit(1)))
 
 
-def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """Rows (row_key, one Boolean by kind): postings are brought together by row and held against each query."""
-    by_row = index.groupBy("row_key").agg(F.collect_set("trigram").alias("held"))
-    return by_row.select("row_key", *(q.column(lambda g: F.array_contains("held", g)).alias(f"may_{k}") for k, q in queries.items()))
+@dataclass(frozen=True)
+class TrigramIndex:
+    """Posting lists in a written table (trigram, row_key), sorted by trigram in each file, and the length of each list."""
+
+    postings: DataFrame
+    sizes: dict[str, int]
+
+    @classmethod
+    def build(cls, rows: DataFrame, trigrams: set[str]) -> TrigramIndex:
+        """The lists of these trigrams over rows (row_key, text)."""
+        held = rows.select(F.explode(own_trigrams(F.col("text"), list(trigrams))).alias("trigram"), "row_key")
+        postings = _shared.materialize(held.sortWithinPartitions("trigram"), "postings")
+        counts = postings.groupBy("trigram").agg(F.count("*").alias("n")).collect()  # a row for each trigram of the rules
+        return cls(postings, dict.fromkeys(trigrams, 0) | {r.trigram: r.n for r in counts})
+
+    def extended(self, rows: DataFrame, trigrams: set[str]) -> TrigramIndex:
+        """The index with the lists that other rules also need; texts are read again for new trigrams alone."""
+        new = trigrams - set(self.sizes)
+        if not new:
+            return self
+        more = TrigramIndex.build(rows, new)
+        return TrigramIndex(self.postings.unionByName(more.postings), self.sizes | more.sizes)
+
+    def most(self, q: Query | str) -> int:
+        """How many rows a query gives at most: the shortest list of 'all', all lists of 'any'."""
+        if isinstance(q, str):
+            return self.sizes[q]
+        return (min if q.how == "all" else sum)(self.most(p) for p in q.parts)
+
+    def rows(self, q: Query | str) -> DataFrame:
+        """The row_keys that a query holds for: lists are intersected from the shortest on, and united."""
+        if isinstance(q, str):
+            return self.postings.where(F.col("trigram") == q).select("row_key")
+        each = [self.rows(p) for p in sorted(q.parts, key=self.most)]
+        if q.how == "all":
+            return reduce(lambda found, more: found.join(more, "row_key", "left_semi"), each)
+        return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def candidates(index: TrigramIndex, queries: dict[str, Query]) -> DataFrame:
+    """Rows (row_key, one Boolean by kind) for which some query holds."""
+    found = reduce(lambda a, b: a.unionByName(b), (index.rows(q).withColumn("kind", F.lit(k)) for k, q in queries.items()))
+    return found.groupBy("row_key").agg(*(F.bool_or(F.col("kind") == k).alias(f"may_{k}") for k in queries))
 
 
 def _java(rule: Rule) -> str:
@@ -202,14 +240,14 @@ def rule_spans(text: Column, rule: Rule, no: int) -> Column:
     return F.aggregate(found, start, step, lambda s: s["spans"])
 
 
-def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds spans, an array of structs (start, kind_no, end) in order, to rows with row_key and text."""
+def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES, index: TrigramIndex | None = None) -> DataFrame:
+    """Adds spans, an array of structs (start, kind_no, end) in order, to rows with row_key and text; an index of these rows may be given."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     if queries:
-        trigrams = sorted(set().union(*(q.trigrams() for q in queries.values())))
-        may = candidates(trigram_index(rows, trigrams), queries)
+        trigrams = set().union(*(q.trigrams() for q in queries.values()))
+        may = candidates(index.extended(rows, trigrams) if index else TrigramIndex.build(rows, trigrams), queries)
         # Written first: it is counted, and beyond a broadcast both sides of the join are plain exchanges, whose large partitions Spark splits.
-        may = _shared.materialize(may.where(reduce(lambda a, b: a | b, (F.col(f"may_{k}") for k in queries))), "candidates")
+        may = _shared.materialize(may, "candidates")
         few = may.count() * ROW_BYTES <= MOST_BROADCAST
         rows = rows.join(F.broadcast(may) if few else may.hint("shuffle_hash"), "row_key", "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
@@ -222,10 +260,14 @@ def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.withColumn("spans", F.array_sort(F.concat(*each)))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, text, row_key) of documents, which an index is built over."""
+    return _shared.texts_of(docs, id_col, text_col).withColumn("row_key", row_key())
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", index: TrigramIndex | None = None) -> DataFrame:
     """A row for each document: doc_id, the number of spans of each kind (n_<kind>), spans as kind:start:end, and their SHA-256."""
-    rows = _shared.texts_of(docs, id_col, text_col).withColumn("row_key", row_key())
-    found = with_spans(rows, rules)
+    found = with_spans(keyed(docs, id_col, text_col), rules, index)
     names = F.array(*(F.lit(r.kind) for r in rules))
     spelled = F.transform("spans", lambda s: F.concat_ws(":", names[s["kind_no"]], s["start"].cast("string"), s["end"].cast("string")))
     kind_nos = F.transform("spans", lambda s: s["kind_no"])

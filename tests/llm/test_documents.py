@@ -91,6 +91,28 @@ def test_candidates_by_a_shuffle(spark, monkeypatch):
     assert few == sorted(map(str, S.find_secrets(docs).collect()))
 
 
+def test_lists_are_intersected_from_the_shortest(spark):
+    texts = ["AKIA and password", "kia", "aki kia", "akia", "", None, "pass word", "akiakia sword " * 3, "x" * 5000 + "akia", "akia"]
+    rows = S.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    index = S.TrigramIndex.build(rows, {"aki", "kia", "pas", "wor", "a.b"})
+    by_key = {r.row_key: (r.text or "").lower() for r in rows.collect()}
+    for g, n in index.sizes.items():
+        assert n == sum(g in t for t in by_key.values()) and sorted(r.row_key for r in index.rows(g).collect()) == sorted(k for k, t in by_key.items() if g in t)
+    q = S.Query("all", ("aki", "kia", S.Query("any", ("pas", "wor"))))
+    assert index.most(q) == min(index.sizes["aki"], index.sizes["kia"], index.sizes["pas"] + index.sizes["wor"])
+    assert {r.row_key for r in index.rows(q).collect()} == {k for k, t in by_key.items() if "aki" in t and "kia" in t and ("pas" in t or "wor" in t)}
+    again = index.extended(rows, {"aki", "xak"})
+    assert index.extended(rows, {"aki", "pas"}) is index and again.sizes == index.sizes | {"xak": 1} and again.rows("aki").count() == index.sizes["aki"]
+
+
+def test_other_rules_reuse_an_index(spark, odd_docs):
+    rows = S.keyed(odd_docs)
+    index = S.TrigramIndex.build(rows, set().union(*(q.trigrams() for r in S.RULES if (q := S.trigram_query(r.pattern)))))
+    other = (S.Rule("secret", "secret[a-z]*"), S.Rule("key", "api_key"))
+    plain = sorted(map(str, S.find_secrets(odd_docs, other).collect()))
+    assert sorted(map(str, S.find_secrets(odd_docs, other, index=index).collect())) == plain
+
+
 def test_trigram_queries():
     holds = lambda q, t: all(holds(p, t) if isinstance(p, S.Query) else p in t for p in q.parts) if q.how == "all" else any(holds(p, t) if isinstance(p, S.Query) else p in t for p in q.parts)
     for pattern, yes, no in [("AKIA[A-Z]+", "akiazz", "aki"), ("foo(bar|baz)+x", "foobarbazx", "foobxr"), ("ab?cdef", "acdef", "abcxef"), ("(foo.*|zap)end", "fooxxend", "zipend")]:
