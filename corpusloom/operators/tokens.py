@@ -10,6 +10,8 @@ from ..functions.text import bind
 
 #: Rows of one block of a running sum; blocks of a group are summed first, so that no task holds a whole group.
 BLOCK = 50_000
+#: Ranges of the key of a global order, a power of 16: 10^10 rows give about 150,000 rows each.
+RANGES = 65_536
 
 
 def word_count(c: Column) -> Column:
@@ -113,7 +115,7 @@ def everything(*columns: str) -> Window:
     return Window.orderBy(*columns)
 
 
-def placed(df: DataFrame, groups: list[str], order: list[str], place: str = "place", parts: int = 64) -> DataFrame:
+def placed(df: DataFrame, groups: list[str], order: list[str], place: str = "place", parts: int = RANGES) -> DataFrame:
     """Adds the place of each row in the order of hexadecimal keys, from 1, by group: in two levels, so that no task holds a group.
 
     The first column of the order is a hash in hexadecimal; `parts` is a power of 16 of ranges of it at most.
@@ -152,7 +154,7 @@ def batches(stream: DataFrame, rows: int, columns: int) -> DataFrame:
     return gathered.where(F.size("x") == columns).select("batch", "row", F.transform("x", lambda x: x["token"]).alias("inputs"), F.transform("x", lambda x: x["target"]).alias("targets"))
 
 
-def stream_pieces(docs: DataFrame, size: int, order: str = "row_id", ahead: int = 0, block: int = 1_000) -> DataFrame:
+def stream_pieces(docs: DataFrame, size: int, order: str = "row_id", ahead: int = 0, block: int = BLOCK) -> DataFrame:
     """Documents (order, ids) as one stream in their order, cut where parts of `size` positions end: rows (part, pos, ids).
 
     A part also has the first `ahead` positions of the next one.  Slices are made before they become rows, so none holds its whole document.

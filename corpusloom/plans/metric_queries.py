@@ -229,6 +229,14 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(T.first_copies(rows, ["source"]), "dedup").where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).select("source", "digest")
 
 
+@query(f"SELECT event_type, sha256({S.clean('props')}) AS digest FROM events WHERE props IS NOT NULL GROUP BY ALL")
+def streamed_recent_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text of an event type once; state is dropped 60 days after a text was first seen, longer than the table spans."""
+    rows = _stream(spark, sf_dir, "events").where("props IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = _once(T.first_copies(rows, ["event_type"], "props", time_col="ts", late="60 days"), "recent")
+    return kept.select("event_type", "digest")
+
+
 @query(f"""WITH {split_sql(f"SELECT doc_id, source, n_chars AS n, {S.coin(1337, 'source', 'doc_id')} < 0.2 AS c FROM documents", 20_000, 4_000)} SELECT source, doc_id AS row_id, n_tokens, split, take FROM y WHERE take > 0""")
 def streamed_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train and validation budgets for every source, filled in the order of a stream that comes in three parts, each read by a query of its own."""
