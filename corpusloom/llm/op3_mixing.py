@@ -16,7 +16,8 @@ many copies meets in one task.
 
 Defined results: a null source is the source named ''; sources missing from
 given weights have weight 0 and are left out; documents with a null id draw by
-the hash of their text; rows with equal ids draw equal counts; null and empty
+the hash of their text; rows with equal ids draw equal counts; those equal in id
+and text, too, are placed by a hash of all their columns; null and empty
 texts are documents like any other; an empty table gives no rows.  All columns
 of the input are kept; `replica` (from 1) and `position` (from 1) are added, in
 place of columns of these names if there are any.
@@ -107,9 +108,10 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: in
     # A row for each range of the key, whose number the session's settings fix.
     before = F.sum("n").over(Window.orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = _shared.materialize(sizes.select("mix_range", F.coalesce(before, F.lit(0)).alias("mix_before")), "range-starts")
-    dealt = copies([packed]).repartitionByRange(_shared.shuffle_partitions(spark), "mix_range")
+    tie = F.xxhash64(*(F.to_json(F.struct(docs[c])) if "map<" in kind else docs[c] for c, kind in docs.dtypes if c in kept)).alias("mix_tie")
+    dealt = copies([packed, tie]).repartitionByRange(_shared.shuffle_partitions(spark), "mix_range")
     text = F.col("mix_row").getField(f"c{kept.index(text_col)}")
-    within = F.row_number().over(Window.partitionBy("mix_range").orderBy("mix_key", "mix_who", "replica", text))
+    within = F.row_number().over(Window.partitionBy("mix_range").orderBy("mix_key", "mix_who", "replica", text, "mix_tie"))
     placed = dealt.withColumn("mix_within", within).join(F.broadcast(starts), "mix_range")
     return placed.select(
         *(F.col("mix_row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)),

@@ -127,6 +127,9 @@ def test_mixing(spark, odd_docs, no_docs):
     assert sorted(x.position for x in r) == list(range(1, len(r) + 1))
     alike = spark.range(400).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
     assert M.replicate(alike, size=3.0).select("position").distinct().count() > 400  # rows without an id, or of one, are spread by their texts
+    equal = spark.range(60).select(F.lit(1).alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), F.col("id").alias("n"), F.create_map(F.lit("k"), "id").alias("m"))
+    orders = [[(x.n, x.replica) for x in M.replicate(d, size=4.0).orderBy("position").collect()] for d in (equal.repartition(3), equal.repartition(7, "n"))]
+    assert orders[0] == orders[1] and len(orders[0]) >= 60  # rows equal in id and text have a place of their own
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"), F.lit(1).alias("position"))
     n = {x["source"]: x["count"] for x in M.replicate(docs, {"hot": 1.0, "s1": 2.0, "s2": 0.0}).groupBy("source").count().collect()}
     assert set(n) == {"hot", "s1"} and abs(n["hot"] - 6667) < 400 and abs(n["s1"] - 13333) < 800
