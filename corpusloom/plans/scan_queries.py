@@ -5,7 +5,8 @@ What they write has many files of equal base names, as a corpus has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -22,6 +23,9 @@ from . import written as W
 from .registry import query, table
 from .written_queries import _MIXED, english_mix
 
+#: Lines of a file whose hash is taken.
+HASHED = 2_000
+
 _STRIPPED = f"SELECT {S.strip('text')} AS text, count(*) AS n FROM documents WHERE {S.strip('text')} <> '' GROUP BY 1"
 
 
@@ -140,6 +144,50 @@ def experiment_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("run_id").alias("run"), "status.orders", "status.last", F.size("checkpoints").cast("long").alias("listed"), "selected")
 
 
+@query(
+    """WITH o AS (SELECT o_custkey AS run, o_orderkey AS version, o_orderstatus AS status, o_orderpriority AS priority FROM orders)
+SELECT run, version, coalesce(status = lag(status) OVER w AND priority = lag(priority) OVER w, false) AS resumable FROM o WINDOW w AS (PARTITION BY run ORDER BY version)"""
+)
+def resumable_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each configuration of a run can go on from the one before: all settings but its name are equal."""
+    o = table(spark, sf_dir, "orders")
+    setting = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority", F.lit("model_name"), F.col("o_orderkey").cast("string"))
+    runs = o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("version"), setting.alias("own"))
+    before = runs.withColumn("before", F.lag("own").over(Window.partitionBy("run").orderBy("version")))
+    return before.select("run", "version", U.compatible(F.col("own"), F.col("before")).alias("resumable"))
+
+
+@query(
+    """SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment AS segment, NULL AS nation FROM customer
+UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier"""
+)
+def stacked_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers with other columns each, written as one CSV under the union of them, and read back by the columns that are known."""
+    customer = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    supplier = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    out = storage.work_dir(spark, "register")
+    U.write_csv([customer, supplier], out)
+    return U.known_columns(spark.read.option("header", True).csv(out), ["kind", "key", "name", "segment", "nation", "notes"])
+
+
+@query(
+    f"""SELECT event_id // {HASHED} AS part, sha256(string_agg(event_id || ',' || user_id || ',' || event_type || chr(10), '' ORDER BY event_id)) AS sha256 FROM events GROUP BY 1"""
+)
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of whole files, of HASHED lines each, by which a release is held against its list."""
+    out = storage.work_dir(spark, "release")
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        B.write_bytes(out, f"part-{key[0]:06d}.csv", "".join(x + "\n" for x in rows.sort_values("event_id").line).encode())
+        return pd.DataFrame({"part": [key[0]]})
+
+    line = F.concat_ws(",", "event_id", "user_id", "event_type")
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / HASHED).alias("part"), "event_id", line.alias("line"))
+    events.groupBy("part").applyInPandas(one, "part long").count()
+    found = U.file_hashes(spark, f"{out}/part-*.csv")
+    return found.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("part"), "sha256")
+
+
 @query()
 def tokenizer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A real vocabulary over all documents: what it holds, how its tokens are used, and how densely it encodes."""
