@@ -5,6 +5,9 @@ What they write has many files of equal base names, as a corpus has.
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from .written_queries import _MIXED, english_mix
 
 #: Lines of a file whose hash is taken.
 HASHED = 2_000
+#: Documents of a file in a folder of files.
+DOCUMENTS = 200
 
 _STRIPPED = f"SELECT {S.strip('text')} AS text, count(*) AS n FROM documents WHERE {S.strip('text')} <> '' GROUP BY 1"
 
@@ -95,6 +100,54 @@ def scanned_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(R.json_documents(spark, f"{root}/*"))
 
 
+_FOLDER = f"SELECT {S.strip('t')} AS t FROM (SELECT CASE WHEN doc_id // {DOCUMENTS} % 3 = 0 THEN regexp_replace(text, '[\r\n]+', ' ', 'g') ELSE text END AS t FROM documents)"
+
+
+@query(f"SELECT t AS text, count(*) AS n FROM ({_FOLDER}) WHERE t <> '' GROUP BY 1")
+def scanned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, JSON-line and JSON files of DOCUMENTS documents in folders within folders, read as one."""
+    root = storage.work_dir(spark, "folder")
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        k, texts = key[0], rows.text.tolist()
+        kind, data = [
+            ("txt", "\n".join(re.sub("[\r\n]+", " ", t) for t in texts)),
+            ("jsonl", "\n".join(json.dumps({"text": t}) for t in texts)),
+            ("json", json.dumps(texts)),
+        ][k % 3]
+        B.write_bytes(root, f"{k % 7}/{k % 2}/{k}.{kind}", data.encode())
+        return pd.DataFrame({"k": [k]})
+
+    full = _docs(spark, sf_dir).where(X.nonblank(F.col("text")).isNotNull())
+    full.groupBy(F.floor(F.col("doc_id") / DOCUMENTS).alias("k")).applyInPandas(one, "k long").count()
+    return _told(R.directory(spark, root))
+
+
+@query("SELECT source, doc_id FROM documents WHERE source IS NOT NULL")
+def source_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of Parquet files for each source, each found by its source."""
+    root = storage.work_dir(spark, "sources")
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "doc_id")
+    sources = sorted(r.source for r in rows.select("source").distinct().collect())  # a row for each source
+    rows.write.partitionBy("source").parquet(root)
+    return U.stacked([R.source_folder(spark, root, s, f"source={s}", "part-*.parquet").select(F.lit(s).alias("source"), "doc_id") for s in sources])
+
+
+@query(
+    """SELECT 0 AS benchmark, CASE WHEN item_id % 4 = 0 OR length(text) < 21 THEN substr(text, 1, 20) ELSE substr(text, 1, 20) || ' ' || substr(text, 21) END AS text FROM benchmark WHERE item_id % 2 = 0 AND text <> ''
+UNION ALL SELECT 1, text FROM benchmark WHERE item_id % 2 = 1 AND text <> ''"""
+)
+def benchmark_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two benchmark sets in files of other fields each: questions with their choices, some of them empty, and whole texts; answers are left out."""
+    root = storage.work_dir(spark, "benchmarks")
+    rows = table(spark, sf_dir, "benchmark").where("text <> ''")
+    choice = F.when(F.col("item_id") % 4 == 0, "").otherwise(F.expr("substr(text, 21)"))
+    rows.where("item_id % 2 = 0").select(F.substring("text", 1, 20).alias("question"), choice.alias("choice"), F.lit("yes").alias("answer")).write.option("compression", "gzip").json(f"{root}/asked")
+    rows.where("item_id % 2 = 1").select("text").write.option("compression", "gzip").json(f"{root}/whole")
+    listed = {name: spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/{name}").inputFiles() for name in ("asked", "whole")}
+    return R.benchmark_rows(spark, {"asked": (listed["asked"], ["question", "choice"]), "whole": (listed["whole"], ["text"])})
+
+
 @query(f"WITH {_MIXED} SELECT split, CAST(min(id) AS BIGINT) AS least, CAST(max(id) AS BIGINT) AS most, count(*) AS tokens, count(DISTINCT path) AS shards, true AS passed FROM st GROUP BY split")
 def verified_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report on the shards of the mix and their manifest."""
@@ -191,8 +244,6 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tokenizer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A real vocabulary over all documents: what it holds, how its tokens are used, and how densely it encodes."""
-    import json
-
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
