@@ -1,5 +1,6 @@
 """Queries that take whole tables, against plain Python on small fixtures."""
 
+import hashlib
 import math
 
 import pytest
@@ -88,3 +89,18 @@ def test_stream_of_documents(spark, last):
     shards = {r.shard: (r.least, r.most, r.ends, r.tokens) for r in K.scanned(df, 10, 3).collect()}
     parts = [stream[i : i + 10] for i in range(0, len(stream), 10)]
     assert shards == {i: (min(p), max(p), p.count(3), len(p)) for i, p in enumerate(parts)}
+
+
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_streams_of_tables_in_any_layout(spark, tmp_path, layout):
+    """A table is one file or a folder of files; tables of like names beside it are left alone."""
+    rows = [(i, f"src{i % 3}", None if i == 5 else f"text  {i % 4}", ["en", "de"][i % 2]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
+    docs.withColumn("text", F.lit("other")).write.parquet(f"{tmp_path}/documents_old.parquet")
+    path = f"{tmp_path}/documents.parquet"
+    if layout == "file":
+        docs.toPandas().to_parquet(path)
+    else:
+        docs.repartition(3).write.parquet(path)
+    got = sorted((r.source, r.digest) for r in QUERIES["streamed_dedup"](spark, str(tmp_path)).collect())
+    assert got == sorted({(s, hashlib.sha256(t.replace("  ", " ").encode()).hexdigest()) for _, s, t, _ in rows if t})
