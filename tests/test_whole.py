@@ -81,6 +81,17 @@ def test_register_of_customers_without_orders(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT run, orders, last, listed, selected FROM ({SQL['experiment_register']})").fetchall())
 
 
+def test_parameters_of_every_configuration(spark, tmp_path):
+    orders = [(0, 0), (1, 4), (7, 12), (1003, 5), (9, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in QUERIES["parameter_arithmetic"](spark, str(tmp_path)).select("configuration", "depth", "d_model", "embedding", "blocks").collect())
+    want = []
+    for key, run in sorted(orders):
+        depth, d = 4 + key % 4, None if run is None else 64 * (4 + run % 5)
+        want.append((key, depth, d, *((None, None) if d is None else (16384 * d, depth * (2 * d * d + 2 * d * d // 4 + 6 * d * d + 2 * d + 2)))))
+    assert got == want
+
+
 def test_vocabulary_of_all_sources(spark, tmp_path):
     rows = [(1, "src1", "a b a", "en"), (2, "src2", "b c", "en"), (3, "src7", "d a", "de"), (4, "src9", None, "de")]
     spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
