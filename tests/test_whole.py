@@ -92,6 +92,13 @@ def test_parameters_of_every_configuration(spark, tmp_path):
     assert got == want
 
 
+def test_synthetic_tokens_of_all_events(spark, tmp_path):
+    events = [(0, 0), (1, 0), (5, 3), (123_456_789, 9), (7_000_000_000, 1)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.pos, r.stream, r.token) for r in QUERIES["synthetic_tokens"](spark, str(tmp_path)).collect())
+    assert got == sorted((at, user, (at * 1103515245 + 7 + user) % 16384) for at, user in events)
+
+
 def test_vocabulary_of_all_sources(spark, tmp_path):
     rows = [(1, "src1", "a b a", "en"), (2, "src2", "b c", "en"), (3, "src7", "d a", "de"), (4, "src9", None, "de")]
     spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
